@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import html, licenses, mixing, packing, pii, quality, simhash, sql, tokenfile, toxicity
+from loomdoc.llm import html, licenses, media, mixing, packing, pii, quality, simhash, sql, tokenfile, toxicity
 from loomdoc.llm.common import table
 from loomdoc.llm.tokens import vocabulary_file
 
@@ -55,6 +55,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.derive(media.store(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
@@ -67,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_personal_data, op3_simhash, op4_token_files, op5_quality, op6_main_text, op7_mixing, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_personal_data, op3_simhash, op4_token_files, op5_quality, op6_main_text, op7_mixing, op8_media, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
