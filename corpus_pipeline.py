@@ -1,2 +1,60 @@
+"""Corpus pipeline: documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. Stages keep nulls, empty texts, repeated rows and extra
+columns; an empty table passes through all of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdoc.llm import mixing, packing, pii, simhash, toxicity
+from loomdoc.llm.common import OWN, table, written
+from loomdoc.llm.tokens import vocabulary_file
+
+#: SQL can express neither the classifier nor the near-duplicate search; tests hold run() against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5. The model learns from the labelled ones outside the held-out fold."""
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model, score=OWN + "score").where(F.col(OWN + "score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return simhash.representatives(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts replaced by its kind in square brackets; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight asks for, in an order over all sources."""
+    return mixing.mix(docs, copy=OWN + "copy", order=OWN + "order").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(docs, vocabulary_file("byte_bpe_50k.json"), end_id=0, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
