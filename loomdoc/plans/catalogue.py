@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from loomdoc.plans import layout_queries, store_queries, text_queries, vector_queries  # noqa: F401  they register
+from loomdoc.plans.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
