@@ -27,6 +27,11 @@ def register(*extensions: str) -> Callable[[Chunker], Chunker]:
     return add
 
 
+def chunker_for(extension: str) -> Chunker:
+    """The chunker of an extension; files without one are split plainly."""
+    return _CHUNKERS.get(extension.lower(), chunk_plain)
+
+
 def chunk_extensions() -> list[str]:
     return sorted(_CHUNKERS)
 
@@ -168,4 +173,4 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", config: ChunkConf
     return reduce(DataFrame.unionByName, [*done, chunk_plain(rest, key)])
 
 
-__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "heading_prefix", "metadata", "pages", "register", "table_cells"]
+__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "chunker_for", "heading_prefix", "metadata", "pages", "register", "table_cells"]
