@@ -83,12 +83,12 @@ def delete_returning(spark: SparkSession, root: str) -> DataFrame:
     return stays.select("id", F.lit(False).alias("deleted")).unionAll(gone.select("id", F.lit(True).alias("deleted")))
 
 
-@query("""SELECT sum(conv_id) AS conversations, count(*) AS messages, count(DISTINCT conv_id) AS logs FROM conversations WHERE role IN ('user', 'assistant')""")
+@query("""SELECT sum(conv_id)::BIGINT AS conversations, count(*) AS messages, count(DISTINCT conv_id) AS logs FROM conversations WHERE role IN ('user', 'assistant')""")
 def qa_log_append(spark: SparkSession, root: str) -> DataFrame:
     """Questions, then answers appended to the log; counted."""
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     log = rows.where("role = 'user'").unionByName(rows.where("role = 'assistant'"))
-    return log.agg(F.sum("conv_id").cast("decimal(38,0)").alias("conversations"), F.count("*").alias("messages"), F.count_distinct("conv_id").alias("logs"))
+    return log.agg(F.sum("conv_id").alias("conversations"), F.count("*").alias("messages"), F.count_distinct("conv_id").alias("logs"))
 
 
 @query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, NULL)) AS v(id, sources)")
