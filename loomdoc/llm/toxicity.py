@@ -124,11 +124,14 @@ def _solve(table: pd.DataFrame, vocabulary: dict[bytes, int], ridge: float, fair
     w, bias = np.zeros(len(vocabulary), np.float32), 0.0
     speed, speed_b = np.zeros_like(w), 0.0
     rate = 1.0
+    # the penalty is quadratic, and large where many texts have identity terms: an implicit step for it can't diverge
+    penalty = 2 * fairness * (change.T @ change) / len(change) if change is not None else None
+    damped = np.linalg.inv(np.eye(len(w)) + rate * penalty).astype(np.float32) if penalty is not None else None
     for _ in range(steps):
         error = weight * (1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y)
         slope = x.T @ error + ridge * w / 100
-        if change is not None:
-            slope += 2 * fairness * (change.T @ (change @ w)) / len(change)
+        if penalty is not None:
+            slope = damped @ (slope + penalty @ w)
         speed, speed_b = 0.9 * speed - rate * slope, 0.9 * speed_b - rate * float(error.sum())
         w, bias = w + speed, bias + speed_b
     return Model({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, float(bias))
