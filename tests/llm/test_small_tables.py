@@ -200,7 +200,7 @@ def test_quality(docs, none):
 
 
 def test_frequent_lines_go_and_depleted_documents_too(spark):
-    own = lambda i: " ".join(f"own{i}w{k}" for k in range(40))
+    own = lambda i: " ".join(f"own{chr(97 + i % 26)}w{k}" for k in range(40))  # noqa: E731  letters, as all digits are one to the rule
     rows = [(i, f"{own(i)}\nShared LINE  number {i}", "a") for i in range(8)] + [(20, f"{own(20)}\nshared line number 3", "b")] + [(30 + i, own(99), "a") for i in range(9)]
     rows += [(50 + i, own(7)[:0] + " ".join(["x y z"] * 9) + f"\nshared line number 1\nunique {i}", "a") for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string")
