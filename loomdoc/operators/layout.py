@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -166,6 +167,25 @@ def compiled(blocks: DataFrame, doc: str) -> DataFrame:
 # What depends on the order of what was grouped before goes page by page; a page is small.
 
 
+def _by_page(rows: DataFrame, by: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+    """`run` of every page. Pages come sorted, so that a task takes one after the other out of its batches."""
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            both = pd.concat([*held, batch], ignore_index=True)
+            page = pd.factorize(both[by])[0]
+            cuts = [0, *(np.flatnonzero(page[1:] != page[:-1]) + 1).tolist()]
+            done = [out for a, b in zip(cuts, cuts[1:], strict=False) if len(out := run(both.iloc[a:b]))]
+            held = [both.iloc[cuts[-1] :]] if len(both) else []
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        for last in held:
+            yield run(last)
+
+    return rows.repartition(by).sortWithinPartitions(by).mapInPandas(pages, schema)
+
+
 def _cut(boxes: list[tuple], order: list[int]) -> list[int]:
     """XY-cut: a free row between boxes parts them, else a free column, else top-left order."""
     if len(order) < 2:
@@ -191,7 +211,7 @@ def xy_cut(shapes: DataFrame, by: str) -> DataFrame:
         out["position"] = np.arange(len(out))
         return out
 
-    return shapes.groupBy(by).applyInPandas(run, T.StructType([*shapes.schema.fields, T.StructField("position", T.LongType())]))
+    return _by_page(shapes, by, run, T.StructType([*shapes.schema.fields, T.StructField("position", T.LongType())]))
 
 
 def word_lines(words: DataFrame, by: str) -> DataFrame:
@@ -217,7 +237,7 @@ def word_lines(words: DataFrame, by: str) -> DataFrame:
         return rows.assign(line=rank[found].astype(np.int64), median_height=float(heights[len(heights) // 2]))
 
     schema = T.StructType([*words.schema.fields, T.StructField("line", T.LongType()), T.StructField("median_height", T.DoubleType())])
-    return words.groupBy(by).applyInPandas(run, schema)
+    return _by_page(words, by, run, schema)
 
 
 def regions(words: DataFrame, by: str) -> DataFrame:
@@ -261,4 +281,4 @@ def aligned_run(rows: DataFrame, by: str, tolerance: float = 10.0) -> DataFrame:
                 begin, reference = i, starts if len(starts) >= 3 else None
         return page.iloc[slice(*best)] if best[1] - best[0] >= 3 else page.iloc[:0]
 
-    return rows.groupBy(by).applyInPandas(run, rows.schema)
+    return _by_page(rows, by, run, rows.schema)
