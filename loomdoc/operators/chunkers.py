@@ -84,7 +84,10 @@ def chunk_rows(documents: DataFrame, key: str = "doc_id", config: ChunkConfig =
     values = F.transform(F.col("header"), lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))
     rows = rows.withColumn("values", values).where(F.exists("values", lambda v: v != ""))
     pairs = F.zip_with("header", "values", lambda h, v: F.concat(F.when(h == "", "Column").otherwise(h), F.lit(": "), v))
-    parts = rows.withColumn("row", F.col("at") - 1).select(key, "source_file", "sheet", "pos", "row", F.posexplode(recursive_split(F.array_join(pairs, " | "), config.chunk_size, config.overlap)).alias("part", "content"))
+    parts = rows.withColumn("row", F.col("at") - 1).select(key, "source_file", "sheet", "pos", "row", F.array_join(pairs, " | ").alias("line"))
+    # a row that fits stays as it is, with the space after an empty last cell
+    pieces = F.when(t.token_count(F.col("line")) <= config.chunk_size, F.array("line")).otherwise(recursive_split(F.col("line"), config.chunk_size, config.overlap))
+    parts = parts.select(key, "source_file", "sheet", "pos", "row", F.posexplode(pieces).alias("part", "content"))
     return parts.select(key, _ordinal([key], "pos", "part").alias("chunk"), "content", metadata(source_file=F.col("source_file"), sheet=F.col("sheet"), row=F.col("row")).alias("metadata"))
 
 

@@ -99,4 +99,4 @@ def embed(texts: DataFrame, column: str, provider, batch: int = 32) -> DataFrame
                 out += [list(map(float, x)) for x in got]
             yield pd.Series(out, dtype=object)
 
-    return texts.withColumn("embedding", v.unit(run(F.col(column))))
+    return texts.withColumn("embedding", run(F.col(column))).withColumn("embedding", v.unit(F.col("embedding")))

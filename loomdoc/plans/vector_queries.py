@@ -66,7 +66,7 @@ def cited_context(spark: SparkSession, root: str) -> DataFrame:
     return rag.context_rows(hits, ["text", "source_file", "page_number"], ["distance", "chunk_id"]).select("chunk_id", "label", "context")
 
 
-@query(f"""WITH hits AS (SELECT a.vec_id, {_DISTANCE} AS d FROM {_UNIT} a, {_UNIT} q WHERE q.vec_id = 0 ORDER BY d, a.vec_id LIMIT 5),
+@query(f"""WITH hits AS (SELECT a.vec_id, {_DISTANCE} AS d FROM {_UNIT} a JOIN documents ON doc_id = a.vec_id, {_UNIT} q WHERE q.vec_id = 0 ORDER BY d, a.vec_id LIMIT 5),
 blocks AS (SELECT row_number() OVER (ORDER BY d, vec_id) AS n, '[S' || row_number() OVER (ORDER BY d, vec_id) || '] text : ' || text AS b FROM hits JOIN documents ON doc_id = vec_id)
 SELECT 'Answer from the documents only.' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || 'Không có' || chr(10) || chr(10) || 'What is new?' AS prompt FROM blocks""")
 def prompt_context(spark: SparkSession, root: str) -> DataFrame:

@@ -50,10 +50,10 @@ def test_heading_path_stands_in_every_chunk(spark):
 
 
 def test_pages_stay_apart_and_repeats_go(spark):
-    text = "before\n<!-- page: 1 -->\nalpha\n\n# H\nalpha\n# H\nalpha\n<!-- page: 2 -->\nbeta"
+    text = "before\n<!-- page: 1 -->\nalpha\n\n# H\nalpha\n# G\ngamma\n# H\nalpha\n<!-- page: 2 -->\nbeta"
     chunks = run(spark, text, "a.pdf", ChunkConfig(20, 5))
-    assert [(c["content"], c["metadata"].get("page_number")) for c in chunks] == [("before", None), ("alpha", "1"), ("H\n\nalpha", "1"), ("beta", "2")]
-    assert [c["metadata"]["chunk_id"] for c in chunks] == ["1", "2", "3", "4"]
+    assert [(c["content"], c["metadata"].get("page_number")) for c in chunks] == [("before", None), ("alpha", "1"), ("H\n\nalpha", "1"), ("G\n\ngamma", "1"), ("beta", "2")]
+    assert [c["metadata"]["chunk_id"] for c in chunks] == ["1", "2", "3", "4", "5"]
     assert chunks[0]["metadata"]["parent_id"].startswith("page:0:")
 
 
