@@ -2,7 +2,7 @@
 
 Documents are encoded and an end id is added; only longer ones than a sequence are cut, into full pieces from the
 end, so that the first piece may be shorter. A full piece is a sequence by itself. The others go, dealt by a hash of
-their document and number into groups of about `group` pieces, to vector best-fit: pieces in falling order of
+their document, number and row (a row number written with the pieces, which tells copies apart) into groups of about `group` pieces, to vector best-fit: pieces in falling order of
 length; each goes to the open sequence which has room for it in every dimension and the smallest weighted residual
 norm after it, or to a new one. A group is bounded, so no task holds more than that many pieces; a group ends with
 at most a few sequences that others could have filled, one in thousands.
@@ -104,13 +104,15 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id"
     kind = documents.schema[key].dataType
     rows = documents.select(F.col(key).cast("string").alias("key"), text_or_empty(text).alias("text"))
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("ids", T.BinaryType())])
-    pieces = written(rows.mapInArrow(_pieces(vocabulary, end_id, max_tokens, with_ids), schema), "packing-pieces")
+    encoded = rows.mapInArrow(_pieces(vocabulary, end_id, max_tokens, with_ids), schema)
+    # written before it is read, so that a retry deals the same
+    pieces = written(encoded.withColumn(OWN + "row", F.monotonically_increasing_id()), "packing-pieces")
     groups = max(1, -(-pieces.count() // group))
-    deal = pieces.select("*", F.pmod(F.xxhash64("key", "piece", "crc"), F.lit(groups)).alias(OWN + "group"))
+    deal = pieces.select("*", F.pmod(F.xxhash64("key", "piece", "crc", OWN + "row"), F.lit(groups)).alias(OWN + "group"))
     capacities = (float(max_tokens), float(max_documents), float(max_attention))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "key", "piece", "crc"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "key", "piece", "crc", OWN + "row"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         sequence, offset = best_fit(rows["length"].to_numpy(np.int64), capacities)
         return pd.DataFrame({**{c: rows[c] for c in ("key", "piece", "start", "length", "crc", "ids")}, "sequence_id": (int(rows[OWN + "group"].iloc[0]) << 32 if len(rows) else 0) + sequence, "offset": offset})
 
