@@ -58,7 +58,12 @@ RESULT = T.StructType(
 )
 
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_SPACE = re.compile(r"\s*")
+_PLAIN = re.compile(r"(?:\s|[()]|(?<![A-Za-z0-9.+:-])[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?(?![A-Za-z0-9.+:-]))*")  # nothing but tokens
 _RANK = {"or": 1, "and": 2, "with": 3}
+_KNOWN = frozenset([*ACCEPTED, *EXCEPTIONS, *(label for _, label, _ in NOTICES)])
+_TAGS = re.compile(re.escape(TAG_TEXT) + r"[ \t]*", re.IGNORECASE)
+_BREAK = re.compile(r"[\r\n]")
 
 
 @lru_cache(maxsize=1)
@@ -107,6 +112,51 @@ def parse(expression: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def prefix(line: str) -> tuple[str, list[str] | None]:
+    """The longest licence expression that the line begins with, and it in postfix order; the whole line and None without one.
+
+    An expression ends where an operand follows an operand, at a character that expressions don't have, and at an operand
+    with punctuation after it. Operators of running prose are lower case: with more text behind them, they only count
+    before what looks like a licence name.
+    """
+    whole = parse(line)
+    if whole is not None and _PLAIN.fullmatch(line):
+        return line, whole
+    best = at = depth = 0
+    operand = prose = False  # whether an operand has just ended; whether an operator in lower case has
+    while found := _TOKEN.match(line, _SPACE.match(line, at).end()):
+        token, at = found[0], found.end()
+        if token == "(":
+            if operand:
+                break
+            depth += 1
+        elif token == ")":
+            if not operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in _RANK:
+            if not operand:
+                break
+            operand, prose = False, token.islower()
+            continue
+        else:
+            name = token.rstrip(".:-")
+            if operand or not name or not name[0].isalnum() or prose and not _named(name):
+                break
+            operand, prose = True, False
+            if name != token:
+                best = found.start() + len(name) if not depth else best
+                break
+        if operand and not depth:
+            best = at
+    return (line[:best], parse(line[:best])) if best else (line, None)
+
+
+def _named(word: str) -> bool:
+    """Whether a word in running prose looks like a licence or an exception."""
+    return word.lower() in _KNOWN or any(c.isdigit() or c == "-" for c in word)
+
+
 def evaluate(postfix: list[str], accepted: Iterable[str] = ACCEPTED, exceptions: Iterable[str] = EXCEPTIONS) -> bool:
     """Whether the policy accepts the expression: `or` needs one side, `and` both, `with` the licence or a known exception."""
     accepted, exceptions = set(accepted), set(exceptions)
@@ -161,8 +211,12 @@ def scan(text: str | None) -> dict:
             base.append(seen)
             base_labels.add(BASE[phrase])
     if tagged:
-        for line_ in re.findall(re.escape(TAG_TEXT) + r"[ \t]*([^\r\n]*)", text, re.IGNORECASE):
-            postfix = parse(line_)
+        tags = list(_TAGS.finditer(text))
+        for tag, following in zip(tags, [*tags[1:], None], strict=True):
+            # a tag ends at its line's end, or where the next one begins
+            stop = following.start() if following else len(text)
+            broken = _BREAK.search(text, tag.end(), stop)
+            line_, postfix = prefix(text[tag.end() : broken.start() if broken else stop])
             expressions.append(line_)
             accepted.append(None if postfix is None else evaluate(postfix))
             if postfix is not None:
