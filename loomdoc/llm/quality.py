@@ -13,12 +13,10 @@ rows are kept; lines without a word are never counted or removed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import OWN, text_or_empty, written
+from loomdoc.llm.common import OWN, let, text_or_empty, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -27,11 +25,6 @@ WINDOW = 8
 BROADCAST_ROWS = 100_000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once per row, though the body uses it again and again."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
