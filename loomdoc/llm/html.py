@@ -2,9 +2,10 @@
 
 A page is a sequence of tokens: words score positive, tags negative, and what stands in elements that are never content
 (menus, forms, adverts, comments ...) counts as tags do. The weights are learned from labelled pages: pages which mark
-their content by an `article` or `main` element are the labels, a bounded sample of them (`max_pages` in expectation, by
-hash) is read, and a structured perceptron moves the weights until the best-scoring region is the marked one. The linear
-scan for the best contiguous region then serves all pages, marked or not, with the mark itself scoring as any tag.
+their content by an `article` or `main` element are the labels, a bounded sample of the distinct ones (`max_pages`, the
+smallest hashes) is read, and a structured perceptron moves the weights until the best-scoring region is the marked one.
+The mark is the label and no feature: no weight is learned for it, and it scores as an unknown tag. The linear scan for
+the best contiguous region then serves all pages, marked or not.
 
 Defined results: null, empty and contentless pages have the empty text; unclosed tags, comments and references are read
 as browsers do; equal scores prefer the earliest and longest region; repeated rows and null keys are kept; only the
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -37,8 +38,10 @@ AROUND = frozenset("""ad ads advert adverts advertisement advertising banner spo
  comments reply replies disqus share sharing social related recommended pagination pager search login contentinfo complementary""".split())
 CONTENT = frozenset(("article", "main"))
 
-# a tag, a comment, a declaration; quoted values may have angle brackets
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_OPEN = re.compile(r"<(?:[!?]|/?[A-Za-z])")
+# a tag whose quoted values may have angle brackets, and one that ends at the next bracket
+_QUOTED = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PIECES = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\S+")
@@ -46,11 +49,12 @@ _WORD = re.compile(r"\S+")
 
 @dataclass(slots=True)
 class Token:
-    kind: str  # the feature: "word", "/name", "name" or "around"
+    kind: str  # the feature: "word", "/name", "name", "around", or "mark" (content elements: never learned)
     text: str | None  # of a run of words; None for tags
     block: bool  # whether it ends a block
     words: int  # how many tokens it stands for
     around: bool  # in an element that is never content
+    mark: str = ""  # the name of a content element, with a slash where it ends
 
 
 def _aside(name: str, attributes: str) -> bool:
@@ -61,12 +65,36 @@ def _aside(name: str, attributes: str) -> bool:
     return any(not AROUND.isdisjoint(_PIECES.findall(m.lower())) for m in _NAMED.findall(attributes))
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name (lower case; empty for comments and declarations), whether it closes, and attributes of each tag.
+
+    A reader may send the place to go on from. Each character is looked at a bounded number of times: once a quoted value
+    has no end, tags end at the next bracket up to the page's end, and behind the last bracket there is no tag.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while found := _OPEN.search(page, at):
+        start = found.start()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            tag = (start, end + 3 if end >= 0 else len(page), "", False, "")
+        elif start > last:
+            return
+        elif page[start + 1] in "!?":
+            tag = (start, page.index(">", start) + 1, "", False, "")
+        else:
+            whole = _QUOTED.match(page, start) if quoted else None
+            quoted = bool(whole)
+            whole = whole or _PLAIN.match(page, start)
+            tag = (start, whole.end(), whole[2].lower(), bool(whole[1]), whole[3])
+        at = (yield tag) or tag[1]
+
+
 def tokens(page: str) -> list[Token]:
-    """Runs of words and tags in page order."""
+    """Runs of words and tags in page order. Marks of the content are tokens of the kind `mark`, which no weight is learned for."""
     out: list[Token] = []
     at, n = 0, len(page)
     around: list[str] = []  # open elements from the outermost one that is never content
-    search = _TAG.search
+    opened: Counter[str] = Counter()  # the same by name
 
     def words(start: int, end: int) -> None:
         if start < end:
@@ -74,29 +102,37 @@ def tokens(page: str) -> list[Token]:
             count = len(text.split())
             out.append(Token("around" if around else "word", text, False, count, bool(around)))
 
-    while found := search(page, at):
-        words(at, found.start())
-        at = found.end()
-        name = found[2] or found[5]
+    reader = tags(page)
+    tag = next(reader, None)
+    while tag:
+        start, end, name, close, attributes = tag
+        words(at, start)
+        at = end
+        block = name not in INLINE
+        mark = "" if around or name not in CONTENT else "/" + name if close else name
         if not name:
-            continue
-        name, close, attributes = name.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
-        if close:
-            if name in around:
-                while around.pop() != name:
-                    pass
-                out.append(Token("/" + name if not around else "around", None, name not in INLINE, 1, True))
-                continue
-            out.append(Token("around" if around else "/" + name, None, name not in INLINE, 1, bool(around)))
-            continue
-        aside = bool(around) or _aside(name, attributes)
-        out.append(Token("around" if aside else name, None, name not in INLINE or name == "br", 1, aside))
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
-            continue
-        if aside and name not in VOID and not attributes.endswith("/"):
-            around.append(name)
+            pass
+        elif close:
+            if opened[name]:
+                while (inner := around.pop()) != name:
+                    opened[inner] -= 1
+                opened[name] -= 1
+                out.append(Token("/" + name if not around else "around", None, block, 1, True))
+            else:
+                out.append(Token("around" if around else "mark" if mark else "/" + name, None, block, 1, bool(around), mark))
+        else:
+            aside = bool(around) or _aside(name, attributes)
+            out.append(Token("around" if aside else "mark" if mark else name, None, block or name == "br", 1, aside, "" if aside else mark))
+            if name in RAW:
+                closing = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
+                at = closing.end() if closing else n
+            elif aside and name not in VOID and not attributes.endswith("/"):
+                around.append(name)
+                opened[name] += 1
+        try:
+            tag = reader.send(at)
+        except StopIteration:
+            tag = None
     words(at, n)
     return out
 
@@ -105,10 +141,10 @@ def _marked(sequence: list[Token]) -> tuple[int, int] | None:
     """The range within the first content element, or None where a page has none."""
     start = name = None
     for i, t in enumerate(sequence):
-        if start is None and t.kind in CONTENT:
-            start, name, depth = i + 1, t.kind, 1
-        elif start is not None and t.kind in (name, "/" + name):
-            depth += 1 if t.kind == name else -1
+        if start is None and t.mark in CONTENT:
+            start, name, depth = i + 1, t.mark, 1
+        elif start is not None and t.mark in (name, "/" + name):
+            depth += 1 if t.mark == name else -1
             if not depth:
                 return start, i
     return None if start is None else (start, len(sequence))
@@ -147,7 +183,7 @@ def learn(pages: list[str], rounds: int = 6, least: float = 0.001, unknown: floa
             if _trim(sequence, p, q) != gold:
                 missed += 1
                 for sign, (x, y) in ((0.1, gold), (-0.1, (p, q))):
-                    for t in sequence[x:y]:
+                    for t in (t for t in sequence[x:y] if t.kind != "mark"):
                         weights[t.kind] = weights.get(t.kind, unknown) + sign * max(1, t.words) / len(sequence)
                 for k in weights:
                     weights[k] = max(least, weights[k]) if k == "word" else min(-least, weights[k])
@@ -184,13 +220,21 @@ def main_text(page: str | None, weights: dict[str, float], unknown: float = -0.0
     return "\n\n".join(x for x in joined if x)
 
 
-def train(pages: DataFrame, column: str = "html", max_pages: int = 400) -> dict[str, float]:
-    """Weights from a bounded sample of the pages that mark their content; where none does, the starting weights."""
-    marked = pages.select(F.col(column).alias("page")).where(F.lower("page").rlike("<(article|main)[\\s>]"))
-    share = min(1.0, max_pages / max(1, marked.count()))
-    sample = marked.where(F.pmod(F.xxhash64("page"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+def train(pages: DataFrame, column: str = "html", max_pages: int = 400, max_bytes: int = 1 << 26) -> dict[str, float]:
+    """Weights from a bounded sample of the pages that mark their content; where none does, the starting weights.
+
+    Copies of a page count once. Of the `max_pages` smallest hashes, what fits into `max_bytes` of outlines reaches the driver.
+    """
+    marked = pages.select(F.col(column).alias("page")).where(F.lower("page").rlike("<(article|main)[\\s>]")).withColumn("hash", F.xxhash64("page"))
+    counted = marked.groupBy("hash").agg(F.count("*"))
+    share = min(1.0, 4 * max_pages / max(1, counted.count()))
+    # about four times as many as needed by a threshold, so that only those are sorted
+    low = marked.where(F.pmod("hash", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    sample = low.groupBy("hash").agg(F.first("page").alias("page")).orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").limit(max_pages)
     # tags and counts are all that learning needs, so that long pages reach the driver as short ones
-    rows = sample.mapInArrow(_outline, "page string").collect()
+    outlines = sample.select("page", "hash").mapInArrow(_outline, "page string, hash long")
+    fits = outlines.withColumn("bytes", F.sum(F.octet_length("page")).over(Window.orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = fits.where(F.col("bytes") <= max_bytes).collect()  # over max_pages rows
     return learn(sorted(r["page"] for r in rows))
 
 
@@ -200,11 +244,11 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for page in batch.column(0).to_pylist():
             parts, at = [], 0
-            for found in _TAG.finditer(page):
-                parts += [" w" * len(_WORD.findall(page[at : found.start()])), found[0]]
-                at = found.end()
+            for start, end, *_ in tags(page):
+                parts += [" w" * len(_WORD.findall(page[at:start])), page[start:end]]
+                at = end
             out.append("".join([*parts, " w" * len(_WORD.findall(page[at:]))]))
-        yield pa.record_batch([pa.array(out, pa.string())], names=["page"])
+        yield pa.record_batch([pa.array(out, pa.string()), batch.column(1)], names=["page", "hash"])
 
 
 def extractor(weights: dict[str, float]):
