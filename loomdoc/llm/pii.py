@@ -2,10 +2,13 @@
 
 Seeds are the base kinds' matches (email, ip, card, phone) and secrets of a sure shape (32 to 64 hexadecimal digits). The
 two and the three lexical tokens before a seed are lexical patterns; those with `support` distinct seeds are induced.
-A second pass over all texts counts everything that fills the place after an induced pattern, and keeps the fillers that
-look like identifiers. Patterns and instances then score each other in Spark for some rounds: a pattern by the share of
-its fillers that its instances' scores make up, an instance by the patterns that extract it. What stands after a pattern
-of high confidence is found, though no base kind matches it.
+A second pass over all texts takes everything that fills the place after an induced pattern: what stands up to the next
+white space, and where that has a digit, up to eight groups of digits more. Patterns, fillers and the fillers' shapes (runs
+of small letters, capitals and digits as one sign each) then score each other in Spark for some rounds: a pattern by the
+share of its fillers that identifiers make up, a shape likewise, and a filler by the patterns that it stands behind, all
+its places counted, moved by how much more or less often its shape is an identifier than fillers are on the whole. So a
+plain word needs a surer pattern than a number does, and no shape is ruled out. What scores `confidence` after a pattern
+of that confidence is found, though no base kind matches it.
 
 The second pass knows the induced patterns by a bitmap of BITS bits, whose size doesn't depend on the data; a join on
 the pattern itself follows, so that false hits of the bitmap only cost rows. Occurrences, not texts, are shuffled.
@@ -17,13 +20,15 @@ and get the spans of their own text; extra columns aren't read. Spans of kinds t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -44,6 +49,9 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"""[^\s"'<>,;()\[\]{}|=:]+|["'<>,;()\[\]{}|=:]""")
 _DIGIT = re.compile("[0-9]")
+_FILLER = re.compile(r"""[^\s"'<>,;\[\]{}|=]+""")
+_GROUPS = re.compile(r"(?: [(]?[0-9][0-9().\-/]*+){1,8}")
+_RUNS = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"))
 
 
 def luhn(digits: str) -> bool:
@@ -134,8 +142,31 @@ def _array(rows: list, kind: T.StructType) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([(f.name, to[f.dataType]) for f in kind.fields])))
 
 
+def filler(text: str, start: int) -> int:
+    """Where the filler that begins at `start` ends: before white space, quotation marks and punctuation at its end."""
+    found = _FILLER.match(text, start)
+    if not found:
+        return start
+    end = found.end()
+    if _DIGIT.search(found[0]) and (more := _GROUPS.match(text, end)):
+        end = more.end()
+    # a bracket at the end belongs to a filler that opens it
+    loose = text.count(")", start, end) - text.count("(", start, end)
+    while end > start and (text[end - 1] in ".!?:-" or text[end - 1] == ")" and loose > 0):
+        loose -= text[end - 1] == ")"
+        end -= 1
+    return end
+
+
+def shape(text: str) -> str:
+    """Runs of digits as 9, of letters as a, A or Aa; other characters as they are."""
+    for pattern, sign in _RUNS:
+        text = pattern.sub(sign, text)
+    return text
+
+
 def _second(bits: bytes):
-    """Fillers of the places after patterns of the bitmap: counts by pattern, and occurrences that look like identifiers."""
+    """Fillers of the places after patterns of the bitmap, a row each; and the number of places by pattern."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -161,27 +192,43 @@ def _second(bits: bytes):
                 if not hits:
                     continue
                 totals.update(h for _, h in hits)
-                wanted = {i for i, _ in hits if len(tokens[i]) >= 6 and _DIGIT.search(tokens[i])}
-                if wanted:
-                    taken = base_spans(text) + secret_spans(text)
-                    spans = {i: m for i, m in enumerate(_TOKEN.finditer(text)) if i in wanted}
-                    for i, h in hits:
-                        if i in wanted:
-                            start = spans[i].start()
-                            end = start + len(spans[i][0].rstrip(".!?"))
-                            seed = next((s for s in taken if s[1] == start), None)
-                            if seed:
-                                rows.append((h, _hash(text[seed[1] : seed[2]].lower()), None, None, None, None, 1))
-                            elif not any(s[1] < end and start < s[2] for s in taken):
-                                rows.append((h, _hash(text[start:end].lower()), key, hashed, start, end, 0))
-            rows += [(h, None, None, None, None, None, n) for h, n in totals.items()]
+                wanted = {i for i, _ in hits}
+                taken = sorted((s[1], s[2]) for s in base_spans(text) + secret_spans(text))
+                starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+                places: dict[int, tuple | None] = {}
+                for i, m in enumerate(_TOKEN.finditer(text)):
+                    if i in wanted:
+                        places[i] = _place(text, m.start(), taken, starts, reach)
+                for i, h in hits:
+                    if places.get(i):
+                        instance, form, start, end, seed = places[i]
+                        rows.append((h, instance, form, None, None, None, None, 1) if seed else (h, instance, form, key, hashed, start, end, 0))
+            rows += [(h, None, None, None, None, None, None, n) for h, n in totals.items()]
             if rows:
-                pattern, instance, keys, hashes, start, end, n = (list(x) for x in zip(*rows, strict=True))
-                yield pa.record_batch([pa.array([_signed(x) for x in pattern], pa.int64()), pa.array([None if x is None else _signed(x) for x in instance], pa.int64()), pa.array(keys, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(n, pa.int64())], names=["pattern", "instance", "key", "hash", "start", "end", "n"])
+                pattern, instance, form, keys, hashes, start, end, n = (list(x) for x in zip(*rows, strict=True))
+                signed = [pa.array([None if x is None else _signed(x) for x in column], pa.int64()) for column in (pattern, instance, form)]
+                rest = [pa.array(hashes, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(n, pa.int64())]
+                yield pa.record_batch([*signed, pa.array(keys, batch.column(0).type), *rest], names=["pattern", "instance", "shape", "key", "hash", "start", "end", "n"])
 
     return run
 
 
+def _place(text: str, start: int, taken: list[tuple[int, int]], starts: list[int], reach: list[int]) -> tuple | None:
+    """What fills the place: hashes of it and of its shape, begin, end, whether it is a seed. None where it is empty or in a span.
+
+    taken: the spans in order, with their starts and the farthest end up to each.
+    """
+    at = bisect_left(starts, start)
+    if at < len(starts) and starts[at] == start:
+        seed = text[start : taken[at][1]]
+        return _hash(seed.lower()), _hash(shape(seed)), start, taken[at][1], True
+    end = filler(text, start)
+    if end == start or at and reach[at - 1] > start or at < len(starts) and starts[at] < end:
+        return None
+    found = text[start:end]
+    return _hash(found.lower()), _hash(shape(found)), start, end, False
+
+
 def _bitmap(patterns: DataFrame) -> bytes:
     """The patterns' lowest bits as a bitmap of BITS bits: BITS / 32768 rows of 4 KB, whatever the data."""
     place = F.pmod(F.col("pattern"), F.lit(BITS)) + 1
@@ -192,23 +239,39 @@ def _bitmap(patterns: DataFrame) -> bytes:
     return bytes(out)
 
 
-def confident(edges: DataFrame, totals: DataFrame, rounds: int = 3, smooth: float = 2.0) -> DataFrame:
-    """The patterns' confidence after `rounds` of mutual scoring: columns pattern, confidence.
+def _logit(p: Column) -> Column:
+    bound = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return F.log(bound / (1 - bound))
+
 
-    edges: pattern, instance, n, seed; totals: pattern, total (all fillers). Seeds have score 1, other instances what the
-    patterns that extract them leave no doubt about.
+def confident(edges: DataFrame, totals: DataFrame, rounds: int = 3, smooth: float = 2.0, shape_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Confidence of the patterns (pattern, confidence) and scores of what isn't a seed (instance, shape, score) after `rounds`.
+
+    edges: pattern, instance, shape, n, seed; totals: pattern, total (all its places). Seeds have score 1. A pattern's
+    confidence is the mass of its fillers' scores in its places, a shape's the same in all fillers with it, both smoothed:
+    by `smooth` places without an identifier for a pattern, with as many as fillers have on the whole for a shape. What a
+    shape is worth beyond the whole moves the log odds of a filler by `shape_weight` of it.
     """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for i in range(rounds):
+        # a prior of 0 has no logit and no filler to score
+        whole = scored.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("mass")).first()
+        prior = (whole["mass"] or 0.0) / (whole["n"] or 1)
         mass = scored.groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
-        patterns = written(mass.join(totals, "pattern").select("pattern", (F.col("mass") / (F.greatest("total", "mass") + smooth)).alias("confidence")), f"pii-patterns-{i}")
-        if i < rounds - 1:
-            doubt = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg(F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))).alias("doubt"))
-            scored = edges.join(doubt, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.col("doubt"), F.lit(0.0))))
-    return patterns
-
-
-def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+        confidence = F.col("mass") / (F.greatest("total", "mass") + smooth)
+        patterns = written(mass.join(totals, "pattern").select("pattern", confidence.alias("confidence")), f"pii-patterns-{i}")
+        by_shape = scored.groupBy("shape").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("mass"))
+        shapes = by_shape.select("shape", ((F.col("mass") + smooth * prior) / (F.col("n") + smooth)).alias("typical"))
+        places = edges.where("not seed").join(patterns, "pattern").groupBy("instance", "shape")
+        pure = places.agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("pure")).join(shapes, "shape")
+        odds = _logit(F.col("pure")) + shape_weight * (_logit(F.col("typical")) - _logit(F.lit(prior)))
+        instances = written(pure.select("instance", "shape", (1 / (1 + F.exp(-odds))).alias("score")), f"pii-instances-{i}")
+        scores = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        scored = edges.join(instances, ["instance", "shape"], "left").withColumn("score", scores)
+    return patterns, instances
+
+
+def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 3, shape_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Two tables: (key, hash, spans) of every row's base and secret spans, and (key, hash, found) of those with more.
 
     hash is xxhash64 of the text, so that key and hash name a row's text.
@@ -219,14 +282,17 @@ def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", suppo
     base = written(rows.mapInArrow(_first, first), "pii-base")
     seeds = base.select(F.explode("seeds").alias("seed")).select("seed.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"))
     induced = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support), "pii-induced")
-    second = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("instance", T.LongType()), T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n", T.LongType())])
-    fillers = written(rows.mapInArrow(_second(_bitmap(induced)), second), "pii-fillers")
-    totals = fillers.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("total")).join(induced, "pattern", "left_semi")
-    totals = written(totals, "pii-totals")
-    edges = fillers.where("instance is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("n") == 1).alias("seed"))
-    edges = written(edges.join(induced, "pattern", "left_semi"), "pii-edges")
-    sure = confident(edges, totals, rounds).where(F.col("confidence") >= confidence)
-    spans = fillers.where("instance is not null and start is not null").join(sure, "pattern", "left_semi")
+    long = ("pattern", "instance", "shape")
+    second = T.StructType([*[T.StructField(c, T.LongType()) for c in long], T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n", T.LongType())])
+    # false hits of the bitmap end here
+    fillers = rows.mapInArrow(_second(_bitmap(induced)), second).join(induced, "pattern", "left_semi")
+    fillers = written(fillers, "pii-fillers")
+    totals = written(fillers.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("total")), "pii-totals")
+    # an instance is a seed or not wherever it stands
+    edges = fillers.where("instance is not null").groupBy("pattern", "instance", "shape", (F.col("n") == 1).alias("seed")).agg(F.count("*").alias("n"))
+    patterns, instances = confident(written(edges, "pii-edges"), totals, rounds, shape_weight=shape_weight)
+    sure, likely = patterns.where(F.col("confidence") >= confidence), instances.where(F.col("score") >= confidence)
+    spans = fillers.where("instance is not null and start is not null").join(sure, "pattern", "left_semi").join(likely, ["instance", "shape"], "left_semi")
     found = spans.groupBy("key", "hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("found").alias("kind"), "start", "end"))).alias("found"))
     return base.select("key", "hash", "spans"), written(found, "pii-found")
 
