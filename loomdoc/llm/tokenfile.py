@@ -12,8 +12,8 @@ A file holds one range of keys:
 Boundary i is the end of document i, so that select(i - 1) is its start: 2 + log2(u / n) bits a document and no table of
 64-bit offsets. Ids of two bytes serve vocabularies up to 65,536.
 
-Files are written by the tasks to a shared folder under a name of their own and then renamed, so that a lost executor's
-task only writes its file again. Defined results: null and empty texts have the end id only; null keys come first;
+Files are written by the tasks to a shared folder, each attempt of a task under a name of its own, and the manifest has
+those of the attempts that counted: a lost executor's task writes its file again, and what it left is never read. Defined results: null and empty texts have the end id only; null keys come first;
 equal keys are in the order of the hash of their text; an empty table gives files without documents.
 """
 
@@ -40,6 +40,7 @@ MAGIC = b"LTOKEF1\0"
 HEAD = "<9Q"
 EVERY = 256
 ROWS = 512  # texts that are encoded at a time
+SLICE = 1 << 16  # low parts that are packed at a time
 
 
 class EliasFano:
@@ -56,8 +57,11 @@ class EliasFano:
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         high[places] = 1
-        low = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), places[::EVERY].astype("<u8"))
+        low = [np.zeros(0, np.uint8)]
+        for at in range(0, n, SLICE):  # a multiple of eight, so that slices end at bytes
+            part = ((values[at : at + SLICE, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            low.append(np.packbits(part.ravel(), bitorder="little"))
+        return cls(n, bits, np.concatenate(low), np.packbits(high, bitorder="little"), places[::EVERY].astype("<u8"))
 
     def select(self, i: int) -> int:
         """The i-th number, from 0: the sampled position nearest below, then 1s counted byte by byte."""
@@ -117,7 +121,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int) -> Callable:
         tokens = encoder(vocabulary, width)
         shard = TaskContext.get().partitionId()
         store, root = _open(folder)
-        own = f"{root}/.{shard}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ltok"
+        own = f"{root}/{name}"
         lengths: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         nulls: list[np.ndarray] = []
@@ -142,8 +147,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, width: int) -> Callable:
             while piece := ids.read(1 << 22):
                 out.write(piece)
         store.delete_file(own + ".ids")
-        store.move(own, f"{root}/shard-{shard:06d}.ltok")
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([f"{folder}/shard-{shard:06d}.ltok"]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "documents", "ids"])
+        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "documents", "ids"])
 
     return write
 
