@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Java class of what Python strips and splits at.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WORD = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 TOKENS_PER_WORD = 1.3
 
@@ -28,7 +29,11 @@ def collapse(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    return F.size(words(text))
 
 
 def tokens_of(n_words: Column) -> Column:
@@ -37,7 +42,7 @@ def tokens_of(n_words: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return tokens_of(F.size(words(text)))
+    return tokens_of(word_count(text))
 
 
 def lines(text: Column) -> Column:
@@ -69,21 +74,17 @@ def sentences(text: Column) -> Column:
 
 def list_items(text: Column) -> Column:
     """Items of a bullet list with their continuation lines; text before the first bullet makes it paragraphs, one item the text."""
-    rows = lines(text)
-    start = F.struct(F.array().cast("array<string>").alias("items"), F.lit(False).alias("prose"))
-
-    def step(s: Column, line: Column) -> Column:
-        bullet = line.rlike(rf"^{SPACE}*(?:[-*+]|\d+\.){SPACE}+")
-        grown = F.concat(F.slice(s["items"], 1, F.size(s["items"]) - 1), F.array(F.concat(F.element_at(s["items"], -1), F.lit("\n"), line)))
-        items = F.when(bullet, F.concat(s["items"], F.array(line))).when(F.size(s["items"]) > 0, grown).otherwise(s["items"])
-        prose = s["prose"] | (~bullet & (F.size(s["items"]) == 0) & (strip(line) != ""))
-        return F.struct(items.alias("items"), prose.alias("prose"))
+    blank = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
+    bullet = rf"{blank}*(?:[-*+]|\d+\.){blank}+"
+    parts = F.split(F.array_join(lines(text), "\n"), rf"\n(?={bullet})")
 
-    def finish(s: Column) -> Column:
-        items = F.transform(s["items"], strip)
-        return F.when(s["prose"], paragraphs(text)).when(F.size(items) > 1, items).otherwise(F.array(strip(text)))
+    def items(p: Column) -> Column:
+        # what stands before the first bullet is blank, or the text is prose
+        found = F.filter(p, lambda x, i: (i > 0) | x.rlike(f"^{bullet}"))
+        prose = ~p[0].rlike(f"^{bullet}") & (strip(p[0]) != "")
+        return F.when(prose, paragraphs(text)).when(F.size(found) > 1, F.transform(found, strip)).otherwise(F.array(strip(text)))
 
-    return F.aggregate(rows, start, step, finish)
+    return let(parts, items)
 
 
 def word_windows(text: Column, size: Column | int, overlap: Column | int) -> Column:
