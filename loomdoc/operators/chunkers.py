@@ -98,11 +98,14 @@ def chunk_slides(documents: DataFrame, key: str = "doc_id", config: ChunkConfig
     content = t.strip(F.regexp_replace("markdown", front, ""))
     slides = F.filter(F.transform(F.split(content, r"(?m)^\s*---\s*$"), t.strip), lambda s: s != "")
     rows = documents.select(key, "source_file", F.posexplode(slides).alias("slide", "text")).withColumn("slide", F.col("slide") + 1)
-    title = r"(?m)^##\s+(.+?)\s*$"
-    rows = rows.withColumn("title", F.when(F.col("text").rlike(title), t.strip(F.regexp_extract("text", title, 1))).otherwise("[Untitled Slide]"))
     # the first title line goes from the body
-    body = t.strip(F.concat(F.regexp_extract("text", rf"(?s)\A(.*?){title}", 1), F.regexp_extract("text", rf"(?s)\A.*?{title}(.*)\z", 2)))
-    rows = rows.withColumn("body", F.when(F.col("text").rlike(title), body).otherwise(F.col("text"))).withColumn("head", F.concat(F.lit("## "), "title"))
+    lines = t.lines(F.col("text"))
+    title = rf"^##{t.SPACE}+(.*[^\s\x1c-\x1f\x85\p{{Z}}]){t.SPACE}*$"
+    at = F.array_position(F.transform("lines", lambda x: x.rlike(title)), True).cast("int")
+    rows = rows.withColumn("lines", lines).withColumn("at", at)
+    rows = rows.withColumn("title", F.when(F.col("at") > 0, F.regexp_extract(F.get("lines", F.col("at") - 1), title, 1)).otherwise("[Untitled Slide]"))
+    rest = t.strip(F.array_join(F.filter("lines", lambda x, i: i + 1 != F.col("at")), "\n"))
+    rows = rows.withColumn("body", F.when(F.col("at") > 0, rest).otherwise(F.col("text"))).withColumn("head", F.concat(F.lit("## "), "title"))
     whole = F.concat("head", F.lit("\n\n"), "body")
     size = F.greatest(F.lit(50), config.chunk_size - t.token_count(F.col("head")) - 5)
     parts = recursive_split(F.col("body"), F.col("size"), F.least(F.lit(config.overlap), F.floor(F.col("size") / 3).cast("int")))
@@ -112,15 +115,21 @@ def chunk_slides(documents: DataFrame, key: str = "doc_id", config: ChunkConfig
     return numbered.select(key, "chunk", "content", metadata(source_file=F.col("source_file"), page_number=F.col("slide"), slide_number=F.col("slide"), slide_title=F.col("title"), chunk_id=F.col("chunk"), chunk_part=F.col("part")).alias("metadata"))
 
 
-def pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pages between page markers: key, source_file, first (position), page_number (null before the first marker), content."""
+def page_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines between page markers: key, source_file, pos, line, first (the page's first position), page_number (null before the first)."""
     rows = exploded_lines(documents.select(key, "source_file", "markdown"), [key, "source_file"])
     order = Window.partitionBy(key).orderBy("pos")
     marker = rf"(?i)^{t.SPACE}*<!--{t.SPACE}*page:{t.SPACE}*(\d+){t.SPACE}*-->{t.SPACE}*$"
     rows = rows.withColumn("marker", F.when(F.col("line").rlike(marker), F.regexp_extract("line", marker, 1).cast("int")))
-    rows = rows.withColumn("page_number", F.last("marker", ignorenulls=True).over(order)).withColumn("part", F.sum(F.col("marker").isNotNull().cast("int")).over(order))
+    rows = rows.withColumn("page_number", F.last("marker", ignorenulls=True).over(order))
+    begins = F.when(F.col("marker").isNotNull() | (F.col("pos") == 0), F.col("pos") + F.col("marker").isNotNull().cast("int"))
+    return rows.withColumn("first", F.last(begins, ignorenulls=True).over(order)).where("marker is null").drop("marker")
+
+
+def pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages between page markers: key, source_file, first (position), page_number (null before the first marker), content."""
     text = t.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"))
-    found = rows.where("marker is null").groupBy(key, "source_file", "part", "page_number").agg(F.min("pos").alias("first"), text.alias("content"))
+    found = page_lines(documents, key).groupBy(key, "source_file", "first", "page_number").agg(text.alias("content"))
     return found.where("content <> ''").select(key, "source_file", "first", "page_number", "content")
 
 
@@ -128,7 +137,7 @@ def pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def chunk_pages(documents: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Each page by itself: units packed under headings, repeated chunks of a page dropped before they are numbered."""
     by = [key, "source_file", "first", "page_number"]
-    units = pages(documents, key).select(*by, F.posexplode(semantic_units(F.col("content"))).alias("pos", "unit"))
+    units = semantic_units(page_lines(documents, key), by)
     chunks = packed_chunks(unit_parts(units, config), by, config)
     same = F.row_number().over(Window.partitionBy(key, "page_number", t.casefold(t.collapse(F.col("content")))).orderBy("first", "chunk"))
     kept = chunks.withColumn("same", same).where("same = 1")
@@ -147,7 +156,7 @@ def _unit_values() -> dict[str, Column]:
 def chunk_image(documents: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Texts that recognition found in an image; an image without text has no chunk."""
     by = [key, "source_file"]
-    units = documents.select(*by, F.posexplode(semantic_units(F.col("markdown"))).alias("pos", "unit"))
+    units = semantic_units(exploded_lines(documents, by), by)
     chunks = packed_chunks(unit_parts(units, config), by, config).withColumn("number", _ordinal([key], "chunk"))
     values = {"source_file": F.col("source_file"), "chunk_id": F.col("number"), "chunk_part": F.col("number"), "image_number": F.lit(1), "source_extension": t.extension(F.col("source_file")), **_unit_values()}
     return chunks.select(key, F.col("number").alias("chunk"), "content", metadata(**values).alias("metadata"))
@@ -162,9 +171,10 @@ def chunk_plain(documents: DataFrame, key: str = "doc_id", config: ChunkConfig =
 def chunk_documents(documents: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig(), strict: bool = False) -> DataFrame:
     """Chunks of documents (key, source_file, markdown) by extension.
 
-    Others than the registered extensions are split plainly, or with `strict` make the query fail, as an upload does.
+    Others than the registered extensions, and documents without a file name, are split plainly, or with `strict` make the
+    query fail, as an upload does. Each branch reads `documents` again: give a written table where it is dear.
     """
-    rows = documents.withColumn("ext", t.extension(F.col("source_file")))
+    rows = documents.withColumn("ext", F.coalesce(t.extension(F.col("source_file")), F.lit("")))
     groups: dict[Chunker, list[str]] = {}
     for ext, chunker in _CHUNKERS.items():
         groups.setdefault(chunker, []).append(ext)

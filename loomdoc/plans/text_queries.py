@@ -168,7 +168,7 @@ def table_header_repeat(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def semantic_pack(spark: SparkSession, root: str) -> DataFrame:
     """Units of the sections packed under their heading path."""
-    units = lines_in_sections(spark, root, ".md").select("doc_id", F.posexplode(structure.semantic_units(F.col("markdown"))).alias("pos", "unit"))
+    units = structure.semantic_units(structure.exploded_lines(lines_in_sections(spark, root, ".md"), ["doc_id"]), ["doc_id"])
     chunks = structure.packed_chunks(structure.unit_parts(units, ChunkConfig()), ["doc_id"], ChunkConfig())
     return chunks.select("doc_id", "chunk", "content", "block_type", "heading_path")
 

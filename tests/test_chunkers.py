@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import text as t
 from loomdoc.operators import chunkers
 from loomdoc.operators.splitting import ChunkConfig
-from loomdoc.operators.structure import exploded_lines, heading_paths, semantic_units, units_of
+from loomdoc.operators.structure import exploded_lines, heading_paths, semantic_units
 
 
 def run(spark, markdown, name, config=ChunkConfig()):
@@ -85,17 +85,52 @@ def test_other_extensions_are_split_plainly_or_fail(spark):
         raise AssertionError
 
 
-def test_heading_windows_agree_with_the_reader(spark):
+def units(spark, text):
+    rows = spark.createDataFrame([(1, text)], "d int, markdown string")
+    return [r["unit"].asDict() for r in semantic_units(exploded_lines(rows, ["d"]), ["d"]).orderBy("pos").collect()]
+
+
+def test_paths_of_headings(spark):
     text = "a\n# A\nb\n### C\nc\n## B\nd\n# Z\n#### Q\ne"
-    lines = spark.createDataFrame([(1, text)], "d int, markdown string")
-    got = {r["line"]: r["heading_path"] for r in heading_paths(exploded_lines(lines, ["d"]), ["d"]).collect()}
-    assert all(got[u["content"]] == u["heading_path"] for u in units_of(text))
+    want = [("a", []), ("b", ["A"]), ("c", ["A", "", "C"]), ("d", ["A", "B"]), ("e", ["Z", "", "", "Q"])]
+    assert [(u["content"], u["heading_path"]) for u in units(spark, text)] == want
+    lines = heading_paths(exploded_lines(spark.createDataFrame([(1, text)], "d int, markdown string"), ["d"]), ["d"])
+    assert [r["heading_path"] for r in lines.orderBy("pos").collect() if r["level"] == 0] == [p for _, p in want]
+
+
+def test_runs_of_a_kind(spark):
+    text = "one\n two \n- x\n1) y\nthree\n\nfour\n| a |\n|b|\n|\n#no heading\n> quote"
+    assert [(u["block_type"], u["content"]) for u in units(spark, text)] == [("paragraph", "one\ntwo"), ("list", "- x\n1) y"), ("paragraph", "three"), ("paragraph", "four"), ("table", "| a |\n|b|\n|"), ("paragraph", "#no heading\n> quote")]
 
 
 def test_units_of_html_image(spark):
-    text = '<img> images/x.png\n<!-- ocr-meta: engine=tess; confidence=0.9100; regions=3; bbox=1.0,2.0,3.0,4.0 -->\n"""\nSeen\n"""\nafter'
-    (row,) = spark.createDataFrame([(text,)], "m string").select(semantic_units(F.col("m")).alias("u")).collect()
-    assert [(u["content"], u["block_type"], u["ocr_regions"]) for u in row["u"]] == [("Seen", "image_ocr", 3), ("after", "paragraph", None)]
+    text = '<img> images/x.png\n<!-- ocr-meta: engine=tess; confidence=0.9100; regions=3; bbox=1.0,2.0,3.0,4.0 -->\n"""\nSeen\n# no heading\n> kept\n"""\nafter'
+    first, second = units(spark, text)
+    assert first == {"content": "Seen\n# no heading\n> kept", "block_type": "image_ocr", "heading_path": [], "indexable": True, "image_path": "images/x.png", "image_alt": None, "ocr_engine": "tess", "ocr_confidence": 0.91, "ocr_regions": 3, "bbox": "1.0,2.0,3.0,4.0"}
+    assert (second["content"], second["block_type"], second["ocr_regions"], second["heading_path"]) == ("after", "paragraph", None, [])
+
+
+def test_marks_open_and_end_by_turns(spark):
+    """A mark after an image line opens a block only where none is open; a block without an end goes to the last line."""
+    text = '<img> a\n"""\nA1\n<img> b\n"""\nout\n"""\nplain\n<img>\n"""\nC\n\nD'
+    got = [(u["block_type"], u["content"], u["image_path"]) for u in units(spark, text)]
+    assert got == [("image_ocr", "A1\n<img> b", "a"), ("paragraph", 'out\n"""\nplain', None), ("image_ocr", "C\nD", None)]
+
+
+def test_units_of_markdown_images(spark):
+    label = "> **Nội dung nhận dạng từ ảnh:**"
+    meta = "<!-- ocr-meta: engine=e; confidence=0.5; regions=1 -->"
+    text = f"![a](p.png)\n\n{meta}\n{label}\n> one\n>  two\n>\nafter\n![b](q.png)\n{label}\n> three\n\n> apart\n![c](r.png)\n> no label\n{meta}\n# H\n![d](s.png)\n{meta}\n\n{label}"
+    got = [(u["block_type"], u["content"], u["image_alt"], u["ocr_engine"], u["indexable"]) for u in units(spark, text)]
+    assert got == [
+        ("image_ocr", "one\ntwo", "a", "e", True), ("paragraph", "after", None, None, None), ("image_ocr", "three", "b", None, True), ("paragraph", "> apart", None, None, None),
+        ("image_ocr", "", "c", None, False), ("paragraph", f"> no label\n{meta}", None, None, None), ("image_ocr", "", "d", "e", False), ("paragraph", label, None, None, None),
+    ]
+
+
+def test_documents_without_a_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, None, "no name"), (2, "a.docx", "# T\nworld"), (3, "b", "plain")], "doc_id int, source_file string, markdown string")
+    assert sorted((r["doc_id"], r["content"]) for r in chunkers.chunk_documents(docs).collect()) == [(1, "no name"), (2, "## T\n\nworld"), (3, "plain")]
 
 
 def test_names(spark):
