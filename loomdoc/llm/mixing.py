@@ -5,6 +5,11 @@ mean of a row is weight * total / rows of the source. A row's count inverts the
 uniform number from a hash of seed, key and text; the row is exploded by the count and the copies are put in the order
 of another hash, over all partitions. Only a count per source is gathered before, with partial sums.
 
+A source's distribution is one array of partial sums, made once per source; a row's count is the number of them that its
+uniform number reaches. The sources' table is broadcast where its measured size is under `BROADCAST_BYTES`; beyond, rows
+and sources are joined by source and one of `SALTS` salts, so that a hot source is many tasks. Copies go straight to the
+partition of their hash, whose bounds are known beforehand as it is uniform, and are sorted there: no pass samples them.
+
 Means over `PART` are split into equal parts with a uniform number each, as a sum of Poisson numbers is one. Hashes are
 md5, of which the first 52 bits are an exact double.
 
@@ -17,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdoc.llm.common import OWN, text_or_empty
+from loomdoc.llm.common import OWN, let, text_or_empty, written
 
 PART = 16.0
+#: Measured bytes of the sources' table (names and distributions) up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -28,18 +36,25 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, u: Column, most: int) -> Column:
-    """The smallest k with P(X <= k) > u: the sum of 1 for every partial sum of the distribution that u reaches."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("total"), F.lit(0).alias("k"))
+def distribution(mean: Column, most: int) -> Column:
+    """The partial sums P(X <= 0), P(X <= 1), ... of a Poisson distribution, as far as a number under 1 can reach them."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("sums"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * mean / i
-        return F.struct(p.alias("p"), (s["total"] + p).alias("total"), (s["k"] + F.when(u >= s["total"], 1).otherwise(0)).alias("k"))
+        return F.struct(p.alias("p"), F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + p)).alias("sums"))
+
+    return F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), start, step)["sums"], lambda x: x < 1)
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
+def poisson(sums: Column, u: Column) -> Column:
+    """The smallest k with P(X <= k) > u: how many partial sums u reaches."""
+    return let(u, lambda v: F.size(F.filter(sums, lambda x: v >= x)))
 
 
-def means(documents: DataFrame, source: str = "source", weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
+def means(
+    documents: DataFrame, source: str = "source", weights: dict[str | None, float] | None = None, total: int | None = None
+) -> DataFrame:
     """A row per source: source, rows, mean. Without weights all sources weigh the same; without total, rows stay as many."""
     counts = documents.groupBy(F.col(source).alias(OWN + "source")).agg(F.count("*").alias("rows"))
     if weights is None:
@@ -55,23 +70,49 @@ def means(documents: DataFrame, source: str = "source", weights: dict[str | None
     return counts.select(OWN + "source", "rows", (F.col("weight") * scale / F.col("rows")).alias(OWN + "mean"))
 
 
-def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 42, most: int = 60, copy: str = "copy", order: str = "shuffle_key") -> DataFrame:
+def _with_rates(documents: DataFrame, rates: DataFrame, key: str, text: str, source: str, most_bytes: int) -> DataFrame:
+    """Rows with the columns of their source's rates; the join shuffles only where the rates are too large to broadcast."""
+    name = F.octet_length(F.coalesce(F.col(OWN + "source").cast("string"), F.lit("")))
+    measured = rates.agg(F.coalesce(F.sum(name + 8 * F.size(OWN + "sums") + 64), F.lit(0))).first()[0]
+    same = documents[source].eqNullSafe(rates[OWN + "source"])
+    if measured <= most_bytes:
+        return documents.join(F.broadcast(rates), same)
+    salted = rates.withColumn(OWN + "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = documents.withColumn(OWN + "salt", F.pmod(F.xxhash64(key, text), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows[source].eqNullSafe(salted[OWN + "source"]) & (rows[OWN + "salt"] == salted[OWN + "salt"])).drop(OWN + "salt")
+
+
+def mix(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: dict[str | None, float] | None = None,
+    total: int | None = None,
+    seed: int = 42,
+    most: int = 60,
+    copy: str = "copy",
+    order: str = "shuffle_key",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """`documents`, each row as often as its count says, with its copy number (from 0), in the order of a hash.
 
     `most` ends the inversion: 16 (PART) is the largest mean of a part, and a Poisson number of it is over 60 with a
-    probability under 1e-16.
+    probability under 1e-16. Partition i of n has the hashes from i / n to (i + 1) / n in order, so that partitions one
+    after the other are in order too.
     """
-    rates = means(documents, source, weights, total).drop("rows")
-    # the sources' table is small or not: the planner measures it, and splits a hot source where the join shuffles
-    rows = documents.join(rates, documents[source].eqNullSafe(rates[OWN + "source"]))
     mean = F.col(OWN + "mean")
     parts = F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
-    name = F.md5(text_or_empty(text).cast("binary"))
-    share = mean / parts
-    counted = rows.withColumn(OWN + "name", name).withColumn(OWN + "share", share)
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda j: poisson(F.col(OWN + "share"), uniform(F.lit(seed), F.col(key), F.col(OWN + "name"), j), most))
+    rates = means(documents, source, weights, total).select(OWN + "source", mean, parts.alias(OWN + "parts"))
+    rates = rates.select(OWN + "source", OWN + "parts", distribution(mean / F.col(OWN + "parts"), most).alias(OWN + "sums"))
+    rows = _with_rates(documents, written(rates, "mixing-rates"), key, text, source, broadcast_bytes)
+    counted = rows.withColumn(OWN + "name", F.md5(text_or_empty(text).cast("binary")))
+    draw = lambda j: poisson(F.col(OWN + "sums"), uniform(F.lit(seed), F.col(key), F.col(OWN + "name"), j))
+    draws = F.transform(F.sequence(F.lit(1), OWN + "parts"), draw)
     counted = counted.withColumn(OWN + "n", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
-    copies = counted.where(F.col(OWN + "n") > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(OWN + "n") - 1)))
+    # an empty array ends a row without copies: a filter on the count would have it computed twice
+    copies = counted.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col(OWN + "n"))).alias(copy, OWN + "one"))
     placed = copies.withColumn(order, uniform(F.lit(f"{seed}-order"), F.col(key), F.col(OWN + "name"), F.col(copy)))
-    spread = placed.drop(OWN + "source", OWN + "mean", OWN + "name", OWN + "share", OWN + "n")
-    return spread.orderBy(order)
+    spread = placed.drop(*[OWN + c for c in ("source", "parts", "sums", "name", "n", "one")])
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartitionById(partitions, F.floor(F.col(order) * partitions).cast("int")).sortWithinPartitions(order)
