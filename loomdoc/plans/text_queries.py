@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import text as t
 from loomdoc.operators import chunkers, evaluation, structure
 from loomdoc.operators.splitting import ChunkConfig, recursive_split
+from loomdoc.plans import split_sql as sql
 from loomdoc.plans.registry import query
 from loomdoc.session import table
 
@@ -56,12 +57,26 @@ def list_items(spark: SparkSession, root: str) -> DataFrame:
     return documents(spark, root).select("doc_id", F.posexplode(t.list_items(made)).alias("part", "content"))
 
 
-@query()
+_PARAGRAPHS = "(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, 400 AS size, 50 AS overlap FROM documents)"
+
+
+@query(f"SELECT doc_id, (u.i - 1)::INT AS chunk, chunks[u.i] AS content FROM ({sql.split(_PARAGRAPHS, 'doc_id')}), unnest(range(1, len(chunks) + 1)) AS u(i)")
 def recursive_chunks(spark: SparkSession, root: str) -> DataFrame:
     return documents(spark, root).select("doc_id", F.posexplode(recursive_split(F.replace("text", F.lit("\n"), F.lit("\n\n")), 400, 50)).alias("chunk", "content"))
 
 
-@query()
+def _grid_sql() -> str:
+    def one(name: str, c: ChunkConfig) -> str:
+        chunks = f"SELECT doc_id, content, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS normal FROM ({sql.sections(c.chunk_size, c.overlap)})"
+        return f"SELECT '{name}' AS config, * FROM (SELECT DISTINCT ON (doc_id, normal) * FROM ({chunks}))"
+
+    grids = " UNION ALL ".join(one(n, c) for n, c in GRID.items())
+    return f"""SELECT config, count(*) AS chunks, round(avg(tokens), 2) AS average_tokens, max(tokens) AS max_tokens,
+round((count(*) - count(DISTINCT normal)) / count(*), 4) AS duplicate_rate, 0.0::DOUBLE AS pdf_citation_coverage
+FROM (SELECT *, {sql.count('content')} AS tokens FROM ({grids})) GROUP BY config"""
+
+
+@query(_grid_sql())
 def chunk_stats_grid(spark: SparkSession, root: str) -> DataFrame:
     """Three chunk configurations over all documents as PDF pages."""
     made = lines_in_sections(spark, root, ".pdf")
@@ -69,12 +84,14 @@ def chunk_stats_grid(spark: SparkSession, root: str) -> DataFrame:
     return evaluation.chunk_statistics(grids[0].unionAll(grids[1]).unionAll(grids[2]), ["config"])
 
 
-@query(r"""WITH m AS (SELECT doc_id, source, lang, list_filter(string_split(text, chr(10)), lambda x: true) AS l FROM documents)
-SELECT doc_id, 1 AS chunk, '## ' || lang || chr(10) || chr(10) || 'Document ' || doc_id AS content, lang AS section FROM m
-UNION ALL SELECT doc_id, 2, '## ' || source || chr(10) || chr(10) || regexp_replace(array_to_string(l, chr(10) || chr(10)), '^\s+|\s+$', '', 'g'), source FROM m""")
+_BODIES = "(SELECT doc_id, source, lang, replace(text, chr(10), chr(10) || chr(10)) AS text, 400 AS size, 50 AS overlap FROM documents)"
+
+
+@query(f"""WITH c AS ({sql.split(_BODIES, 'doc_id, source, lang')})
+SELECT doc_id, 1 AS chunk, '## ' || lang || chr(10) || chr(10) || 'Document ' || doc_id AS content, lang AS section FROM c
+UNION ALL SELECT doc_id, (u.i + 1)::INT, '## ' || source || chr(10) || chr(10) || chunks[u.i], source FROM c, unnest(range(1, len(chunks) + 1)) AS u(i)""")
 def docx_sections(spark: SparkSession, root: str) -> DataFrame:
-    """With a chunk size that no document reaches: sections alone."""
-    made = chunkers.chunk_sections(lines_in_sections(spark, root, ".docx"), config=ChunkConfig(10_000_000, 0))
+    made = chunkers.chunk_sections(lines_in_sections(spark, root, ".docx"))
     return made.select("doc_id", "chunk", "content", F.col("metadata")["section"].alias("section"))
 
 
@@ -91,7 +108,14 @@ def pdf_pages(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.pages(_paged(spark, root)).select("doc_id", "page_number", "content")
 
 
-@query()
+_PAGES = f"""(SELECT doc_id, page, 400 AS size, 50 AS overlap, text FROM (SELECT doc_id, CASE WHEN i < 3 THEN NULL ELSE (i // 3)::INT END AS page, string_agg({sql.strip('line')}, chr(10) ORDER BY i) AS text FROM (
+  SELECT doc_id, i, l[i + 1] AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), unnest(range(0, len(l))) AS u(i)) GROUP BY ALL))"""
+
+
+@query(f"""WITH p AS (SELECT doc_id, page, {sql.pack('chunks', '400', '0')} AS c FROM ({sql.split(_PAGES, 'doc_id, page')})),
+r AS (SELECT doc_id, page, u.i, c[u.i] AS content FROM p, unnest(range(1, len(c) + 1)) AS u(i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, replace(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), 'ß', 'ss') ORDER BY i) AS n FROM r)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 0), i)::INT AS chunk, content, page::VARCHAR AS page_number, 'page:' || coalesce(page, 0) || ':' || sha1('')[1:12] AS parent_id FROM k WHERE n = 1""")
 def pdf_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunkers.chunk_pages(_paged(spark, root)).select("doc_id", "chunk", "content", F.col("metadata")["page_number"].alias("page_number"), F.col("metadata")["parent_id"].alias("parent_id"))
 
@@ -108,15 +132,21 @@ def pdf_dedup(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("doc_id", "page", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("chunk"), F.col("line").alias("content"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS l FROM documents), r AS (SELECT doc_id, source, i, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS line FROM l, unnest(range(1, len(l) + 1)) AS u(i))
-SELECT doc_id, i::INT AS slide, CASE WHEN i % 2 = 1 THEN source ELSE '[Untitled Slide]' END AS title, '## ' || CASE WHEN i % 2 = 1 THEN source ELSE '[Untitled Slide]' END || chr(10) || chr(10) || line AS content FROM r""")
+_SLIDES = f"""(SELECT *, greatest(50, 400 - {sql.count('head')} - 5) AS size, least(50, greatest(50, 400 - {sql.count('head')} - 5) // 3) AS overlap FROM (
+  SELECT doc_id, u.i AS slide, CASE WHEN u.i % 2 = 1 THEN source ELSE '[Untitled Slide]' END AS title, '## ' || CASE WHEN u.i % 2 = 1 THEN source ELSE '[Untitled Slide]' END AS head, l[u.i] AS text
+  FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql.strip('x')}), lambda x: x <> '') AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)))"""
+
+
+@query(f"""WITH c AS ({sql.split(_SLIDES, 'doc_id, slide, title, head, text')}),
+p AS (SELECT doc_id, slide, title, CASE WHEN {sql.count("head || ' ' || text")} <= 400 THEN [head || chr(10) || chr(10) || text] ELSE list_transform(chunks, lambda x: head || chr(10) || chr(10) || x) END AS c FROM c)
+SELECT doc_id, slide::INT AS slide, title, u.i::INT AS part, c[u.i] AS content FROM p, unnest(range(1, len(c) + 1)) AS u(i)""")
 def pptx_slides(spark: SparkSession, root: str) -> DataFrame:
     """Every line as a slide, every other one with the source as title."""
     line = F.filter(F.split("text", "\n"), lambda x: t.strip(x) != "")
     made = F.array_join(F.transform(line, lambda x, i: F.concat(F.when(i % 2 == 0, F.concat(F.lit("## "), F.col("source"), F.lit("\n"))).otherwise(""), x)), "\n\n---\n\n")
     rows = documents(spark, root).select("doc_id", F.concat("source", F.lit(".pptx")).alias("source_file"), made.alias("markdown"))
-    chunks = chunkers.chunk_slides(rows, config=ChunkConfig(10_000_000, 0))
-    return chunks.select("doc_id", F.col("metadata")["slide_number"].cast("int").alias("slide"), F.col("metadata")["slide_title"].alias("title"), "content")
+    meta = lambda name: F.col("metadata")[name]
+    return chunkers.chunk_slides(rows).select("doc_id", meta("slide_number").cast("int").alias("slide"), meta("slide_title").alias("title"), meta("chunk_part").cast("int").alias("part"), "content")
 
 
 _SUPPLIERS = "list_transform(list(s_name ORDER BY s_suppkey), lambda x: x)"
@@ -155,7 +185,15 @@ def table_islands(spark: SparkSession, root: str) -> DataFrame:
     return structure.islands(rows, ["doc_id"], t.is_table_line(F.col("line"))).select("doc_id", "first_pos", "n_lines")
 
 
-@query()
+_HEADER = "'| key | status | priority |' || chr(10) || '| --- | --- | --- |'"
+_ROWS = f"""list_reduce(list_transform(r, lambda x: {{'done': []::VARCHAR[], 'text': x, 'words': len({sql.words('x')})::INT}}), lambda a, x: CASE
+  WHEN a.words > 14 AND {sql.tokens('(a.words + x.words)')} > 60 THEN {{'done': list_append(a.done, a.text), 'text': {_HEADER} || chr(10) || x.text, 'words': (14 + x.words)::INT}}
+  ELSE {{'done': a.done, 'text': a.text || chr(10) || x.text, 'words': (a.words + x.words)::INT}} END, {{'done': []::VARCHAR[], 'text': {_HEADER}, 'words': 14::INT}})"""
+
+
+@query(f"""WITH r AS (SELECT o_custkey, list('| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' |' ORDER BY o_orderkey) AS r FROM orders GROUP BY o_custkey),
+f AS (SELECT o_custkey, {_ROWS} AS f FROM r), c AS (SELECT o_custkey, list_append(f.done, f.text) AS c FROM f)
+SELECT o_custkey, (u.i - 1)::INT AS part, c[u.i] AS content FROM c, unnest(range(1, len(c) + 1)) AS u(i)""")
 def table_header_repeat(spark: SparkSession, root: str) -> DataFrame:
     """Orders of each customer as a Markdown table, split under a budget of 60 tokens."""
     cells = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority")))
@@ -165,7 +203,7 @@ def table_header_repeat(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("o_custkey", F.posexplode(structure.split_table(made, F.lit(60))).alias("part", "content"))
 
 
-@query()
+@query(f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, place) - 1)::INT AS chunk, content, 'paragraph' AS block_type, prefix AS heading_path FROM ({sql.sections(400, 50)})""")
 def semantic_pack(spark: SparkSession, root: str) -> DataFrame:
     """Units of the sections packed under their heading path."""
     units = structure.semantic_units(structure.exploded_lines(lines_in_sections(spark, root, ".md"), ["doc_id"]), ["doc_id"])
