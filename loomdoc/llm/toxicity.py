@@ -87,7 +87,7 @@ def _rows(vocabulary: dict[bytes, int], copies: int):
                 labels.append(label)
                 own.append(pick(words))
                 others.append([pick(swapped(words, k)) for k in range(copies)] if any(w in _SWAPS for w in words) else [])
-            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32())))], names=["label", "own", "others"])
+            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32()))), batch.column(2)], names=["label", "own", "others", "hash"])
 
     return run
 
@@ -95,16 +95,20 @@ def _rows(vocabulary: dict[bytes, int], copies: int):
 def fit(labelled: DataFrame, text: str, label: str, max_features: int = 600, copies: int = 3, ridge: float = 0.02, fairness: float = 1.0) -> Model:
     """A model from all rows of `labelled`, of which `max_features` numbers a row reach the driver at most."""
     sample = labelled.where(F.col(label).isin(0, 1)).select(text_or_empty(text).alias("text"), F.col(label).cast("int").alias("label"))
-    sample = written(sample, "toxicity-sample")
+    # rows are dealt one by one, as copies of a text would share its hash; the written order is what a retry deals again
+    sample = written(sample.withColumn("hash", F.xxhash64("text")), "toxicity-sample")
+    dealt = sample.repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model({}, 30.0 if n1 else -30.0)
     a, b = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
-    counted = sample.repartition("text").mapInArrow(_count, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = dealt.mapInArrow(_count, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = counted.where(F.col("n0") + F.col("n1") >= 3).orderBy((F.abs(F.log(a / b)) * F.abs(a - b)).desc(), "feature").limit(max_features).select("feature").collect()
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([bytes(r["feature"]) for r in best] + list(_SWAPS)))}
-    table = sample.repartition("text").mapInArrow(_rows(vocabulary, copies), "label int, own array<int>, others array<array<int>>").toPandas()
+    rows = dealt.mapInArrow(_rows(vocabulary, copies), "label int, own array<int>, others array<array<int>>, hash long").toPandas()
+    # the same order in every run, for the same sums
+    table = rows.sort_values(["hash", "label"], kind="stable", ignore_index=True)
     return _solve(table, vocabulary, ridge, fairness)
 
 
