@@ -54,8 +54,22 @@ def is_table_line(line: Column) -> Column:
     return let(strip(line), lambda x: x.startswith("|") & x.endswith("|"))
 
 
+def _foldings() -> dict[str, str]:
+    """What full case folding makes of the characters that lower case leaves otherwise."""
+    return {c: c.casefold() for c in map(chr, range(0x80, 0x1E944)) if not "\ud800" <= c <= "\udfff" and c.lower().casefold() != c.lower() and c == c.lower()}
+
+
+_FOLDINGS = _foldings()
+_ONE = {c: f for c, f in _FOLDINGS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDINGS.items() if len(f) > 1}
+
+
 def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Lower case with full case folding: sharp s as ss, final sigma as sigma, ligatures as letters."""
+    some = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _MORE.items()])
+    unfolded = F.aggregate(pairs, some, lambda x, p: F.replace(x, p["c"], p["f"]))
+    return F.when(some.rlike("[" + "".join(_MORE) + "]"), unfolded).otherwise(some)
 
 
 def squeezed(text: Column) -> Column:

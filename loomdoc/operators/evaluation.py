@@ -6,24 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions import text as t
+from loomdoc.operators.search import check_top_k, where_clause
 
 MIN_CASES, MIN_NO_CONTEXT, MAX_DISTANCE = 10, 2, 0.8
 CASE_FILTERS = ("article_id", "source_file")
 
 
-def keyword_hits(cases: DataFrame, corpus: DataFrame, k: int | None = None) -> DataFrame:
-    """Corpus chunks whose keywords a question has, by distance 1 - matched / keywords: question_id, chunk_id, distance, rank.
+GRAM = 3
 
-    Keywords are joined to the words of the questions by the first word of each, so that only pairs that share it are
-    looked at; the whole keyword must then stand in the question. corpus: chunk_id, keywords.
+
+def _grams(x: Column) -> Column:
+    """All parts of up to GRAM characters, each once."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - n + 1)), lambda i: F.substring(x, i, F.lit(n)))
+    return F.filter(F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)])), lambda g: g != "")
+
+
+def keyword_hits(cases: DataFrame, corpus: DataFrame, k: int = 5, filters: dict[str, str | None] | None = None) -> DataFrame:
+    """The k nearest chunks of each question by distance 1 - matched / keywords: question_id, chunk_id, distance, rank.
+
+    A keyword counts if the question has it anywhere, within a word too; equal distances go by chunk_id. Distinct keywords
+    meet the questions by their first characters, and only then the chunks, of which no more than k with the same keywords
+    are ranked, as the others can't be among the first k: a keyword that a third of all chunks has is one row.
+    corpus: chunk_id, keywords, and the fields of `filters`.
     """
-    normal = lambda c: F.lower(t.collapse(c))
-    words = cases.select("question_id", normal(F.col("question")).alias("q")).withColumn("w", F.explode(F.array_distinct(t.words(F.col("q")))))
-    keys = corpus.select("chunk_id", F.size("keywords").alias("total"), F.posexplode(F.transform("keywords", normal)).alias("k", "keyword")).withColumn("w", F.get(t.words(F.col("keyword")), 0))
-    found = words.join(keys, "w").where(F.contains("q", F.col("keyword"))).select("question_id", "chunk_id", "total", "k").distinct()
-    scored = found.groupBy("question_id", "chunk_id", "total").agg(F.count("*").alias("matched")).select("question_id", "chunk_id", t.keyword_distance(F.col("matched"), F.col("total")).alias("distance"))
-    ranked = scored.where(F.col("distance") <= MAX_DISTANCE).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    normal = lambda c: t.casefold(t.collapse(c))
+    asked = cases.select("question_id", normal(F.col("question")).alias("q"))
+    chunks = corpus.where(where_clause(filters, CASE_FILTERS)).select("chunk_id", F.transform("keywords", normal).alias("keys")).where(F.size("keys") > 0)
+    same = Window.partitionBy("keys").orderBy("chunk_id")
+    ranked = chunks.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= check_top_k(k))
+    sets = ranked.select("keys").distinct()
+    words = sets.select(F.explode(F.array_distinct("keys")).alias("keyword")).distinct()
+    begun = words.withColumn("gram", F.substring("keyword", 1, GRAM))
+    met = asked.select("question_id", "q", F.explode(_grams(F.col("q"))).alias("gram")).join(begun, "gram")
+    matches = met.where(F.contains("q", F.col("keyword"))).select("question_id", "keyword").distinct()
+    held = sets.select("keys", F.explode("keys").alias("keyword"))
+    scored = matches.join(held, "keyword").groupBy("question_id", "keys").agg(F.count("*").alias("matched"))
+    scored = scored.select("question_id", "keys", t.keyword_distance(F.col("matched"), F.size("keys")).alias("distance")).where(F.col("distance") <= MAX_DISTANCE)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id"))
+    hits = scored.join(ranked, "keys").withColumn("rank", place).where(F.col("rank") <= k)
+    return hits.select("question_id", "chunk_id", "distance", "rank")
 
 
 def retrieved_sources(hits: DataFrame, case: str = "question_id", order: str = "rank") -> DataFrame:
@@ -73,6 +94,29 @@ def validated_corpus(corpus: DataFrame) -> DataFrame:
     return rows.where((F.col("blank") != "") | (F.col("n") > 1)).select("id", "blank", (F.col("n") > 1).alias("repeated"))
 
 
+def sources_missing(cases: DataFrame, corpus: DataFrame, fields: tuple[str, ...] = CASE_FILTERS) -> DataFrame:
+    """Cases whose expected source no chunk of the corpus has in the case's field. cases: expected_source, expected_source_field."""
+    known = corpus.select(F.explode(F.array(*[F.struct(F.lit(f).alias("expected_source_field"), F.col(f).cast("string").alias("expected_source")) for f in fields])).alias("s")).select("s.*").distinct()
+    return cases.where(F.col("expected_source").isNotNull()).join(known, ["expected_source_field", "expected_source"], "left_anti")
+
+
+def read_cases(spark, path: str) -> DataFrame:
+    """Cases of a JSON file: a list of objects, or an object with the list under `cases`."""
+    rows = spark.read.option("multiLine", True).json(path)
+    if "cases" in rows.columns:
+        rows = rows.select(F.explode("cases").alias("c")).select("c.*")
+    kinds = {"question": "string", "expected_source": "string", "expected_source_field": "string", "expect_no_context": "boolean", "filters": "map<string,string>"}
+    text = lambda c: F.from_json(F.to_json(F.col(c)), "map<string,string>")
+    value = lambda c, k: F.lit(None).cast(k) if c not in rows.columns else text(c) if c == "filters" else F.col(c).cast(k)
+    made = rows.select(*[value(c, k).alias(c) for c, k in kinds.items()])
+    return made.withColumn("question", t.strip(F.col("question"))).withColumn("expect_no_context", F.coalesce("expect_no_context", F.lit(False)))
+
+
+def percent(share: Column) -> Column:
+    """A share as text with two decimals and a percent sign."""
+    return F.concat(F.format_number(share * 100, "0.00"), F.lit("%"))
+
+
 def chunk_statistics(chunks: DataFrame, by: list[str]) -> DataFrame:
     """Per group: chunks, mean and largest tokens, share of repeated contents, share of PDF chunks with a page.
 

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from loomdoc.functions import vector as v
 
 TOP_K, THRESHOLD = 5, 0.68
+DIGITS = 12  # of a distance that ranks; what is behind them is noise of the sums
 FILTER_FIELDS = ("article_id", "source_file", "document_id", "file_type")
 
 
@@ -48,36 +49,39 @@ def top_k(chunks: DataFrame, vector: list[float], k: int = TOP_K, filters: dict
 
 def _nearest(k: int):
     def cell(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest chunks of this cell for each of its queries."""
+        """The k nearest chunks of this cell for each of its queries, and those at the same rounded distance as the k-th."""
         if queries.empty or chunks.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []}).astype({"query_id": "int64", "chunk_id": "int64", "distance": "float64"})
+            return pd.DataFrame({"query_id": queries["id"][:0], "chunk_id": chunks["id"][:0], "distance": np.zeros(0)})
         a, b = np.stack(queries["vector"].to_numpy()), np.stack(chunks["vector"].to_numpy())
-        ids = chunks["id"].to_numpy()
-        out: list[tuple] = []
-        for i, q in zip(queries["id"].to_numpy(), a, strict=True):
-            d = ((b - q) ** 2).sum(axis=1)
-            best = np.lexsort((ids, d))[:k]
-            out += zip([i] * len(best), ids[best], d[best], strict=True)
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "distance"])
+        out = []
+        for at in range(0, len(a), 256):
+            some = a[at : at + 256]
+            near = 2 - 2 * (some @ b.T)  # unit vectors; exact distances only for what may be among the nearest
+            last = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, [min(k, near.shape[1]) - 1]]
+            i, j = np.nonzero(near <= last + 1e-9)
+            exact = np.round(((some[i] - b[j]) ** 2).sum(axis=1), DIGITS)
+            out.append(pd.DataFrame({"query_id": queries["id"].to_numpy()[at + i], "chunk_id": chunks["id"].to_numpy()[j], "distance": exact}))
+        return pd.concat(out, ignore_index=True)
 
     return cell
 
 
 def top_k_batch(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k nearest chunks of every query: query_id, chunk_id, distance, rank.
+    """The k nearest chunks of every query: query_id, chunk_id, distance, rank, by distance (to DIGITS digits) and chunk_id.
 
-    Queries and chunks are dealt into blocks; every pair of blocks is a cell with a bounded number of rows, which gives k
-    candidates for each of its queries; a last ranking per query joins the cells.
+    Queries and chunks are dealt into blocks; every pair of blocks is a cell with a bounded number of rows, which gives
+    candidates for each of its queries by one matrix product; a last ranking per query joins the cells. Keys keep their type.
     """
     check_top_k(k)
-    rows = lambda df: df.where(v.valid(F.col(embedding))).select(F.col(key).cast("long").alias("id"), v.unit(F.col(embedding)).alias("vector"))
+    rows = lambda df: df.where(v.valid(F.col(embedding))).select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("vector"))
     q, c = rows(queries), rows(chunks)
     n_q, n_c = (max(1, -(-df.count() // block)) for df in (q, c))
-    q = q.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n_c))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    cells = q.withColumn("c", F.col("c").cast("long")).groupBy("q", "c").cogroup(c.withColumn("q", F.col("q").cast("long")).groupBy("q", "c"))
-    found = cells.applyInPandas(_nearest(k), T.StructType([T.StructField("query_id", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("distance", T.DoubleType())]))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), "chunk_id"))
+    q = q.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+    c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n_c))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    cells = q.groupBy("q", "c").cogroup(c.groupBy("q", "c"))
+    kinds = [T.StructField("query_id", q.schema["id"].dataType), T.StructField("chunk_id", c.schema["id"].dataType), T.StructField("distance", T.DoubleType())]
+    found = cells.applyInPandas(_nearest(k), T.StructType(kinds))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -113,49 +113,49 @@ def citation_clean(spark: SparkSession, root: str) -> DataFrame:
     return rag.answered(rows).select("conv_id", "turn", "cleaned", F.array_join("sources", ",").alias("sources"), "no_answer_reason")
 
 
-# Every benchmark text is a question; every document's keywords are its first three words of over four letters.
-_KEYS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 4)[1:3]"
+# Every benchmark text is a question; a document's keywords are its first words of over four letters, of the whole text.
+_LONG = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 4)"
+_KEYS = f"list_filter({_LONG}, lambda w, i: list_position({_LONG}, w) = i)[1:5]"
+_HITS = rf"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark), k AS (SELECT doc_id, source, {_KEYS} AS keys FROM documents),
+s AS (SELECT item_id, doc_id, source, round(greatest(0, 1 - len(list_filter(keys, lambda x: contains(q, x))) / len(keys)), 3) AS distance FROM q, k WHERE len(keys) > 0),
+hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id)::INT AS rank FROM s WHERE distance <= 0.8 QUALIFY rank <= 5)"""
 
 
 def _keywords(spark: SparkSession, root: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4), 1, 3)
-    return table(spark, root, "documents").select(F.col("doc_id").alias("chunk_id"), words.alias("keywords")).where(F.size("keywords") > 0)
+    words = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4)), 1, 5)
+    return table(spark, root, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), words.alias("keywords"))
 
 
-@query(rf"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark), k AS (SELECT doc_id, {_KEYS} AS keys FROM documents),
-words AS (SELECT doc_id, len(keys) AS total, u.i, keys[u.i] AS word FROM k, unnest(range(1, len(keys) + 1)) AS u(i)),
-m AS (SELECT item_id, doc_id, total, count(*) AS matched FROM q JOIN words ON contains(q, word) AND list_contains(string_split(q, ' '), word) GROUP BY ALL)
-SELECT item_id AS question_id, doc_id AS chunk_id, round(greatest(0, 1 - matched / total), 3) AS distance FROM m WHERE round(greatest(0, 1 - matched / total), 3) <= 0.8""")
-def keyword_retrieval(spark: SparkSession, root: str) -> DataFrame:
+def _hits(spark: SparkSession, root: str, filters: dict | None = None) -> DataFrame:
     cases = table(spark, root, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return evaluation.keyword_hits(cases, _keywords(spark, root)).select("question_id", "chunk_id", "distance")
+    return evaluation.keyword_hits(cases, _keywords(spark, root), 5, filters)
+
 
+@query(f"{_HITS} SELECT item_id AS question_id, doc_id AS chunk_id, distance, rank FROM hits")
+def keyword_retrieval(spark: SparkSession, root: str) -> DataFrame:
+    return _hits(spark, root)
 
-@query(rf"""WITH hits AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
-judged AS (SELECT item_id % 5 = 0 AS expect_no_context, CASE WHEN item_id % 5 = 0 THEN doc_id IS NULL ELSE doc_id IS NOT NULL END AS passed FROM benchmark LEFT JOIN hits USING (item_id))
-SELECT count(*) AS cases, round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END) FILTER (NOT expect_no_context), 6) AS recall, round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END) FILTER (expect_no_context), 6) AS no_context_accuracy,
-  round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END), 6) AS pass_rate, 0::BIGINT AS errors FROM judged""")
+
+# A case expects the source of the document with its number; every fifth expects no context, and every eleventh fails technically.
+@query(f"""{_HITS}, found AS (SELECT item_id, list(source) AS sources FROM hits GROUP BY item_id),
+judged AS (SELECT b.item_id % 5 = 0 AS none, b.item_id % 11 = 0 AS error, CASE WHEN b.item_id % 5 = 0 THEN sources IS NULL ELSE coalesce(list_contains(sources, d.source), false) END AND b.item_id % 11 <> 0 AS passed
+  FROM benchmark b LEFT JOIN found USING (item_id) LEFT JOIN documents d ON d.doc_id = b.item_id)
+SELECT count(*) AS cases, round(avg(passed::INT) FILTER (NOT none), 6) AS recall, round(avg(passed::INT) FILTER (none), 6) AS no_context_accuracy, round(avg(passed::INT), 6) AS pass_rate, count(*) FILTER (error) AS errors FROM judged""")
 def retrieval_eval(spark: SparkSession, root: str) -> DataFrame:
-    """Benchmark texts as cases: found in a document or not; every fifth expects no context. Pairs meet by their first eight words' prefix."""
-    items = table(spark, root, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("needle"))
-    hits = _containing(items, table(spark, root, "documents"))
-    sources = hits.groupBy("question_id").agg(F.min("doc_id").alias("article_id")).withColumn("source_file", F.lit(None).cast("string")).withColumn("rank", F.lit(1)).withColumn("article_id", F.col("article_id").cast("string"))
-    found = evaluation.retrieved_sources(sources)
-    judged = items.select("question_id").join(found, "question_id", "left").withColumn("expect_no_context", F.col("question_id") % 5 == 0).withColumn("error", F.lit(False))
-    judged = judged.withColumn("passed", evaluation.passed(F.col("expect_no_context"), F.element_at(F.coalesce("sources", F.array(F.lit("-"))), 1), F.col("sources")))
-    out = evaluation.summary(judged)
+    corpus = _keywords(spark, root).select("chunk_id", "source_file")
+    hits = _hits(spark, root).join(corpus, "chunk_id").withColumn("article_id", F.lit(None).cast("string"))
+    found = evaluation.retrieved_sources(hits)
+    expected = corpus.select(F.col("chunk_id").alias("question_id"), F.col("source_file").alias("expected"))
+    cases = table(spark, root, "benchmark").select(F.col("item_id").alias("question_id")).join(expected, "question_id", "left").join(found, "question_id", "left")
+    judged = cases.withColumn("expect_no_context", F.col("question_id") % 5 == 0).withColumn("error", F.col("question_id") % 11 == 0)
+    out = evaluation.summary(judged.withColumn("passed", evaluation.passed(F.col("expect_no_context"), F.col("expected"), F.col("sources"))))
     return out.select("cases", *[F.round(c, 6).alias(c) for c in ("recall", "no_context_accuracy", "pass_rate")], "errors")
 
 
-def _containing(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs (question_id, doc_id) where the document has the item's text: an equi-join on the item's first two words, then the whole text.
-
-    Items are as many as a labelled set has; documents are exploded to their distinct pairs of words that some item begins with.
-    """
-    pair = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 2), " ")
-    keyed = items.withColumn("begin", pair(F.col("needle")))
-    words = F.split("text", r"[ \n]")
-    pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = documents.select("doc_id", F.explode(pairs).alias("begin"))
-    candidates = rows.join(keyed, "begin").select("doc_id", "question_id", "needle")
-    return candidates.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("question_id", "doc_id").distinct()
+@query("""SELECT item_id AS question_id FROM benchmark WHERE item_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM documents WHERE CASE WHEN item_id % 3 = 1 THEN doc_id = item_id * 7 ELSE source = 'source' || item_id END)""")
+def missing_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Expected sources, by article or by file, that the corpus doesn't have."""
+    i = F.col("item_id")
+    cases = table(spark, root, "benchmark").select(i.alias("question_id"), F.when(i % 3 == 1, (i * 7).cast("string")).when(i % 3 == 2, F.concat(F.lit("source"), i.cast("string"))).alias("expected_source"), F.when(i % 3 == 1, "article_id").otherwise("source_file").alias("expected_source_field"))
+    corpus = table(spark, root, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("source_file"))
+    return evaluation.sources_missing(cases, corpus).select("question_id")
