@@ -10,19 +10,16 @@ partner in an earlier leaf visits its own. So every pair meets in a leaf, and no
 A leaf's home fingerprints are split into blocks of bounded size, each held by one task at a time, past which the leaf's
 other fingerprints and its visitors stream; hot leaves only have more blocks. A block prunes once more with a vantage
 point of its own over all 64 bits before it compares exactly. What leaves a block is a spanning forest of its links, not
-the pairs. Components come from alternating large-star and small-star steps, each a written table.
+the pairs. Components come from alternating large-star and small-star steps, each a written table, until nothing changes.
 
 Equal texts have equal fingerprints and are one point of the search; the trees are small and the only thing that the
-driver builds, from at most `sample` fingerprints.
+driver builds, from a sample whose size follows their leaves (8 MB of fingerprints at most).
 
 Near copies (`representatives`) are links of a Jaccard similarity of 4/5 or more over distinct five-word shingles, and
 the prints only find candidates for them: the trees' links, and texts that share one of BANDS hashes of MinHashes. Every
-candidate is confirmed on the shingles' 64-bit hashes before it counts. The trees' links come first; then each text of a
-bucket tries the nearest one of another component, so that dense groups join in few comparisons; then all pairs of a
-bucket that still are of different components.
-
-Defined results: texts without a word, null ones too, have fingerprint zero and link like any other; a null key never
-is a component's name unless all keys there are null; repeated rows are repeated in the result.
+candidate is confirmed on the shingles' 64-bit hashes before it counts. The trees' links come first; then, within blocks
+of every bucket that still has different components, the nearest pairs are confirmed first and those that a confirmed
+path joins aren't tried, so that what leaves a block are no more links than it has members.
 """
 
 from __future__ import annotations
@@ -34,17 +31,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from loomdoc.llm.common import OWN, text_or_empty, written
+from loomdoc.llm.common import OWN, released, text_or_empty, written
 
 BLOCK = 4096  # home fingerprints that a task holds at a time
 LEAF = 2000  # home fingerprints that a leaf is meant for
-DEPTH = 11  # levels of a tree at most, so that leaves are few enough to count and broadcast
+DEPTH = 18  # levels of a tree at most: trees of 4 MB each, a sample of 8 MB; for leaves of LEAF up to 500 million prints
+SAMPLE = 4  # prints of the sample for each leaf
+LEAVES = 100_000  # leaves whose counts are broadcast at most; with more of them the join shuffles
+FOREST = 1 << 20  # edges that are contracted at a time
+HOT = 4096  # a point with more than one in HOT of all edges is broadcast, not shuffled
 SHINGLES = 1 << 15  # hashes that are counted at a time
+CELL, CELL_BYTES = 512, 1 << 24  # members of a bucket that a task holds at a time, and bytes of their sets
 BANDS, MINIMA = 25, 5  # a pair at a similarity of 0.8 shares no band in 5 of 100,000 cases: (1 - 0.8 ** 5) ** 25
 _FLIPS, _FACTORS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
 
@@ -199,7 +201,7 @@ class Tree:
         return homes, row[~home], leaf[~home]
 
 
-def _route(trees: list[Tree], radius: int):
+def _route(trees: list[Tree], radius: int, depth: int):
     """Rows (leaf, visitor, print, id, wide) of every point: a home in every tree, and its visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def _route(trees: list[Tree], radius: int):
                     leaves = np.concatenate([homes, leaf])
                     visitor = np.concatenate([np.zeros(len(homes), bool), np.ones(len(leaf), bool)])
                     points = part.take(pa.array(np.concatenate([np.arange(len(homes)), row])))
-                    yield pa.record_batch([pa.array(leaves + (k << DEPTH), pa.int32()), pa.array(visitor), *points.columns], names=["leaf", "visitor", "print", "id", "wide"])
+                    yield pa.record_batch([pa.array(leaves + (k << depth), pa.int32()), pa.array(visitor), *points.columns], names=["leaf", "visitor", "print", "id", "wide"])
 
     return run
 
@@ -242,6 +244,18 @@ def _joined(parts: list[_Points]) -> _Points:
     return _Points(np.concatenate([p.prints for p in parts]), np.concatenate([p.ids for p in parts]), wide)
 
 
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hook the larger root of each pair to the smaller one, and flatten, until all pairs share theirs."""
+    while True:
+        a, b = parent[a], parent[b]
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            return
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != (up := parent[parent])).any():
+            parent[:] = up
+
+
 class _Block:
     """Home points in the order of the distance to a vantage point, with a union-find over them."""
 
@@ -256,17 +270,6 @@ class _Block:
         self.end = np.searchsorted(distance, np.arange(65) + radius, "right")
         self.parent = np.arange(len(points))
 
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Hook the larger root of each pair to the smaller one, and flatten, until all pairs share theirs."""
-        while True:
-            a, b = self.parent[a], self.parent[b]
-            a, b = a[a != b], b[a != b]
-            if not len(a):
-                return
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-            while (self.parent != (up := self.parent[self.parent])).any():
-                self.parent = up
-
     def meet(self, others: _Points) -> tuple[np.ndarray, np.ndarray]:
         """Links of the others, one each, to the block; what they link within the block is united."""
         distance = np.bitwise_count(others.prints ^ self.vantage).astype(np.int64)
@@ -287,7 +290,7 @@ class _Block:
                     continue
                 new = np.concatenate([[True], i[1:] != i[:-1]])
                 first = j[new][np.cumsum(new) - 1]
-                self.unite(first, j)
+                _unite(self.parent, first, j)
                 left.append(some.ids[i[new]])
                 right.append(self.points.ids[first[new]])
         if not left:
@@ -341,23 +344,26 @@ def _links(radius: int, wide_radius: int):
     return run
 
 
-def links(points: DataFrame, radius: int = 4, parts: int = 3, wide_radius: int = 0, sample: int = 8192) -> DataFrame:
+def links(points: DataFrame, radius: int = 4, parts: int = 3, wide_radius: int = 0, least_sample: int = 8192) -> DataFrame:
     """A spanning set of the links between points: columns a, b (their ids).
 
     points: print, id, wide. Links need prints within the radius and, where wide isn't null, wide prints within theirs.
-    The trees are built from `sample` prints in expectation, and from a quarter of them at most.
+    The trees' depth follows the number of points, and the sample that they are built from follows the depth: SAMPLE
+    prints for each leaf, or `least_sample` where that is more, in expectation, and a quarter of the points at most.
     """
     spark = points.sparkSession
     n = points.count()
     depth = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF)), 0, DEPTH))
-    share = min(0.25, sample / max(1, n))
-    drawn = points.select("print").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if depth else points.select("print").limit(0)
+    share = min(0.25, max(least_sample, SAMPLE << depth) / max(1, n))
+    whole = 1 << 30
+    drawn = points.select("print").where(F.pmod(F.xxhash64("id"), F.lit(whole)) < F.lit(int(share * whole))) if depth else points.select("print").limit(0)
     vantage = np.sort(np.array([r["print"] for r in drawn.collect()], np.int64)).view(np.uint64)
     trees = [Tree.build(mask, depth, vantage) for mask in ranges(parts)]
-    routed = points.select("print", "id", "wide").mapInArrow(_route(trees, radius // parts), "leaf int, visitor boolean, print long, id long, wide binary")
+    routed = points.select("print", "id", "wide").mapInArrow(_route(trees, radius // parts, depth), "leaf int, visitor boolean, print long, id long, wide binary")
     routed = written(routed, "simhash-routed")
-    # a row per leaf, at most parts * 2 ** DEPTH of them, so that they can be broadcast
-    leaves = F.broadcast(routed.where("not visitor").groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    leaves = routed.where("not visitor").groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    if parts << depth <= LEAVES:
+        leaves = F.broadcast(leaves)
     # an empty leaf has no block, and none of its visitors has a partner there
     rows = routed.join(leaves, "leaf").withColumn("own", F.when(~F.col("visitor"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # a home point is in its block, and streams past the blocks before it; a visitor streams past all blocks
@@ -367,23 +373,72 @@ def links(points: DataFrame, radius: int = 4, parts: int = 3, wide_radius: int =
     return dealt.mapInArrow(_links(radius, wide_radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """The smallest name of every linked point's component: columns v, root. Large-star and small-star in turn."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star-0")
-    for i in range(rounds):
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each run of about FOREST edges (u, v): every point with the smallest one that its run links to it."""
+
+    def forest(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(2))
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        parent = np.arange(len(names))
+        _unite(parent, at[: len(u)], at[len(u) :])
+        own = parent != np.arange(len(names))
+        return pa.record_batch([pa.array(names[own]), pa.array(names[parent[own]])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= FOREST:
+            yield forest(held)
+            held = []
+    if held:
+        yield forest(held)
+
+
+def _by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows joined with the groups (key, size, ...) that they are counted in; `total` is the number of rows counted.
+
+    Groups of more than one in HOT of them are fewer than HOT, so that they are broadcast: the join that shuffles has no
+    hot key.
+    """
+    hot = groups.where(F.col("size") > total // HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("size") <= total // HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _to_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The n edges (u, v) with the smallest neighbour m of u; and u with m."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+    return _by_group(edges, least, "u", n), least
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The smallest name of every linked point's component: columns v, root.
+
+    Edges are contracted to forests within partitions, then large-star and small-star steps alternate until nothing
+    changes; with a guard of `rounds`, an error tells that they are not enough.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    edges = written(pairs.mapInArrow(_forests, "u long, v long").distinct(), "star")
+    was = _digest(edges)
+    done = 0
+    while was[0]:
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"components are not stable after {rounds} rounds")
         # large star: larger neighbours go to the smallest neighbour
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, f"star-{i}-large")
+        to_least, _ = _to_least(both, 2 * was[0])
+        large = to_least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = written(large, "star-large")
         # small star: smaller neighbours and the point itself go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        small = written(small.where("u <> v").distinct(), f"star-{i}-small")
-        same = _digest(small) == _digest(edges)
-        edges = small
-        if same:
+        to_least, least = _to_least(large, was[0])
+        small = to_least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        small = written(small.where("u <> v").distinct(), "star")
+        now = _digest(small)
+        released(edges, large)
+        edges, done = small, done + 1
+        if now == was:
             break
+        was = now
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
@@ -398,11 +453,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = 0
-            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                both = int((merged[1:] == merged[:-1]).sum())
-            near.append(5 * both >= 4 * (len(x) + len(y) - both))
+            near.append(5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and _alike(x, y))
         kept = batch.filter(pa.array(near, pa.bool_()))
         yield pa.record_batch([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -413,104 +464,142 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return written(both.select("a", "b", "left", "right").mapInArrow(_similar, "a long, b long"), name)
 
 
-def _across(radius: int, nearest: bool):
-    """Pairs of the sorted rows (bucket, block, role, id, root, wide) that have different roots and wide prints within the radius.
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 4/5 at least."""
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
 
-    Role 0 is the block itself, past which role 1 streams; with `nearest`, only each row's nearest one of the block.
-    """
 
-    def pairs(ids, roots, wide, home) -> Iterator[pa.RecordBatch]:
-        own_ids, own_roots, own_wide = home
-        step = 1 + (1 << 18) // len(own_ids)
+class _Cell:
+    """Members of a bucket with their sets, and a union-find over the components that they have been found in so far."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.ids, self.roots, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
+        self.wide = np.zeros((0, 4), np.uint64)
+        self.sets: list[np.ndarray] = []
+        self.up: dict[int, int] = {}
+
+    def add(self, ids: np.ndarray, roots: np.ndarray, wide: np.ndarray, sets: list[np.ndarray]) -> None:
+        self.ids, self.roots, self.wide = np.concatenate([self.ids, ids]), np.concatenate([self.roots, roots]), np.concatenate([self.wide, wide])
+        self.sets += sets
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in sets], np.int64)])
+
+    def _root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
+
+    def meet(self, ids: np.ndarray, roots: np.ndarray, wide: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        """Confirmed links of others to the members, no more than join components; the nearest are tried first."""
+        sizes = np.array([len(x) for x in sets], np.int64)
+        left, right = [], []
+        step = 1 + (1 << 18) // len(self.ids)
         for at in range(0, len(ids), step):
-            distance = np.zeros((len(ids[at : at + step]), len(own_ids)), np.uint16)
+            distance = np.zeros((len(ids[at : at + step]), len(self.ids)), np.uint16)
             for k in range(4):
-                distance += np.bitwise_count(wide[at : at + step, k, None] ^ own_wide[None, :, k])
-            distance[roots[at : at + step, None] == own_roots[None]] = 999
-            if nearest:
-                j = distance.argmin(axis=1)
-                i = np.flatnonzero(distance[np.arange(len(j)), j] <= radius)
-                j = j[i]
-            else:
-                i, j = np.nonzero(distance <= radius)
-            if len(i):
-                a, b = ids[at + i], own_ids[j]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                distance += np.bitwise_count(wide[at : at + step, k, None] ^ self.wide[None, :, k])
+            own, others = sizes[at : at + step, None], self.sizes[None]
+            near = (distance <= self.radius) & (roots[at : at + step, None] != self.roots[None]) & (5 * np.minimum(own, others) >= 4 * np.maximum(own, others))
+            i, j = np.nonzero(near)
+            order = np.argsort(distance[i, j], kind="stable")
+            for a, b in zip((at + i[order]).tolist(), j[order].tolist(), strict=True):
+                x, y = self._root(int(roots[a])), self._root(int(self.roots[b]))
+                if x != y and _alike(sets[a], self.sets[b]):
+                    self.up[max(x, y)] = min(x, y)
+                    left.append(int(ids[a]))
+                    right.append(int(self.ids[b]))
+        return left, right
+
+
+def _confirmed(radius: int):
+    """Confirmed links of the sorted rows (bucket, block, role, id, root, wide, set): role 0 is the block, past which role 1 streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
-        home: tuple | None = None
+        cell = _Cell(radius)
         for batch in batches:
             bucket, number, role, ids, roots = (batch.column(i).to_numpy() for i in range(5))
             wide = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(-1, 4)
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(6)]
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if a == b:
                     continue
                 if (bucket[a], number[a]) != at:
-                    at, home = (bucket[a], number[a]), None
-                part = ids[a:b], roots[a:b], wide[a:b]
+                    at, cell = (bucket[a], number[a]), _Cell(radius)
+                part = ids[a:b], roots[a:b], wide[a:b], sets[a:b]
                 if role[a] == 0:
-                    home = part if home is None else tuple(np.concatenate(x) for x in zip(home, part, strict=True))
-                if home is not None:
-                    yield from pairs(*part, home)
+                    cell.add(*part)
+                if len(cell.ids):
+                    left, right = cell.meet(*part)
+                    if left:
+                        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _candidates(members: DataFrame, points: DataFrame, roots: DataFrame, radius: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components. A bucket's blocks are bounded; hot buckets have more."""
-    bucket = Window.partitionBy("bucket")
+def _bucket_links(members: DataFrame, points: DataFrame, sets: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """Confirmed links (a, b) between a bucket's members in different components.
+
+    A bucket is held in blocks of CELL members and CELL_BYTES of sets, which hold each as a task's row group; later members
+    stream past them. Nothing leaves a block but a forest of confirmed links, however many of its pairs are near.
+    """
     named = members.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = named.select("*", F.min("root").over(bucket).alias("least"), F.max("root").over(bucket).alias("most"), F.count("*").over(bucket).alias("n")).where("least < most")
-    rows = named.join(points.select("id", "wide"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int"))
+    named = written(named.join(sets.select("id", F.octet_length("set").alias("bytes")), "id"), "simhash-named")
+    buckets = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.sum("bytes").alias("all")).where("least < most")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(CELL)), F.ceil(F.col("all") / F.lit(CELL_BYTES)))
+    rows = _by_group(named, buckets, "bucket", named.count()).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.join(points.select("id", "wide"), "id").join(sets, "id")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), "own")))
-    rows = rows.select("bucket", "block", F.when(F.col("own") == F.col("block"), 0).otherwise(1).alias("role"), "id", "root", "wide")
+    rows = rows.select("bucket", "block", F.when(F.col("own") == F.col("block"), 0).otherwise(1).alias("role"), "id", "root", "wide", "set")
     dealt = rows.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "block").sortWithinPartitions("bucket", "block", "role")
-    return dealt.mapInArrow(_across(radius, nearest), "a long, b long").distinct()
+    return dealt.mapInArrow(_confirmed(radius), "a long, b long").distinct()
 
 
 def similar_links(points: DataFrame, documents: DataFrame, row: str, text: str, radius: int, parts: int, wide_radius: int) -> DataFrame:
     """A spanning set of the points' links by exact similarity: columns a, b. `documents` has the points' texts by `row`."""
     tried = written(links(points, radius, parts, wide_radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-tried")
     buckets = points.select("id", F.explode("bands").alias("bucket"))
-    members = written(buckets.select("*", F.count("*").over(Window.partitionBy("bucket")).alias("n")).where("n > 1").select("bucket", "id"), "simhash-buckets")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(_by_group(buckets, sizes, "bucket", BANDS * points.count()).select("bucket", "id"), "simhash-buckets")
     needed = members.select("id").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
     needed = points.select("id", F.col("first.row").alias(row)).join(needed, "id", "left_semi")
     sets = written(documents.select(row, text).join(needed, row).select("id", _sets(F.col(text)).alias("set")), "simhash-sets")
     found = _verified(tried, sets, "simhash-links")
-    for nearest in (True, False):
-        pairs = _candidates(members, points, components(found), wide_radius, nearest)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
-        found, tried = found.unionAll(_verified(pairs, sets, "simhash-links")), tried.unionAll(pairs)
-    return found
+    more = written(_bucket_links(members, points, sets, components(found), wide_radius), "simhash-links")
+    return found.unionAll(more)
 
 
 def _points(rows: DataFrame, *more: str) -> DataFrame:
-    """Columns id, first (null, key, row), print, wide and `more`: of each distinct id, the smallest key and its row.
+    """Columns id, first (null, key, row), size, print, wide and `more`: of each distinct id, the smallest key, its row, the rows.
 
     rows: key, row, id, print, wide; equal ids are one point. Partial aggregates meet copies before the shuffle, so that
     a large group of them is one row per task; keys that are null come last.
     """
     first = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "row")).alias("first")
-    return written(rows.groupBy("id").agg(first, *[F.first(c).alias(c) for c in ("print", "wide", *more)]), "simhash-points")
+    return written(rows.groupBy("id").agg(first, F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("print", "wide", *more)]), "simhash-points")
 
 
 def _named(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Columns id, component, first: of the component of each point, the smallest key and the first row."""
+    """Columns id, component, first, size: of the component of each point, the smallest key and the first row; the point's rows."""
     roots = components(edges).select(F.col("v").alias("id"), "root")
-    named = points.select("id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("first").alias("first"))
-    return written(named.select("id", "root").join(least, "root").select("id", F.col("first.key").alias("component"), F.col("first.row").alias("first")), "simhash-components")
+    named = points.select("id", "first", F.col("size").alias("rows")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = written(named, "simhash-roots")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("size"))
+    both = _by_group(named, least, "root", named.count())
+    return written(both.select("id", F.col("least.key").alias("component"), F.col("least.row").alias("first"), F.col("rows").alias("size")), "simhash-components")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, parts: int = 3) -> DataFrame:
     """A row per row of `documents`: key, fingerprint (signed 64 bits), component (the smallest key reachable)."""
     rows = documents.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), simhash(text).alias("id"))
     rows = written(rows.select("key", "row", "id", F.col("id").alias("print"), F.lit(None).cast("binary").alias("wide")), "simhash-prints")
-    # the print of a large group of copies is a hot key, which the adaptive join splits
     points = _points(rows)
-    return rows.select("key", "id").join(_named(points, links(points, radius, parts)), "id").select(F.col("key").alias(key), F.col("id").alias("fingerprint"), "component")
+    # the print of a large group of copies is a hot key
+    found = _by_group(rows.select("key", "id"), _named(points, links(points, radius, parts)), "id", rows.count())
+    return found.select(F.col("key").alias(key), F.col("id").alias("fingerprint"), "component")
 
 
 def representatives(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 9, parts: int = 5, wide_radius: int = 72) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,12 +42,14 @@ class Delta:
     to_delete: DataFrame
 
 
-def delta(index: DataFrame, new: DataFrame, article: str = "article_id") -> Delta:
+def delta(index: DataFrame, new: DataFrame, article: str = "article_id", touched: DataFrame | None = None) -> Delta:
     """Embeddings are reused by content hash within the article; ids that the new chunks don't have are stale.
 
-    Only articles that the new chunks name are touched.
+    Only `touched` articles (a column of their ids; those of the new chunks where it isn't given) change; a touched article
+    without new chunks loses all it had. Both tables are read three times: give written ones.
     """
-    old = index.join(new.select(article).distinct(), article, "left_semi")
+    ids = (new if touched is None else touched).select(article).distinct()
+    old = index.join(ids, article, "left_semi")
     known = old.groupBy(article, "content_hash").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
     matched = new.join(known, [article, "content_hash"], "left")
     return Delta(matched.where("embedding is null").drop("embedding"), matched.where("embedding is not null"), old.join(new, "chunk_id", "left_anti").select(article, "chunk_id"))
@@ -98,6 +101,24 @@ def cleaned(chunks: DataFrame, checked: DataFrame) -> DataFrame:
     return chunks.join(checked.where(F.col("problem").isin("empty_metadata", "missing_both_fields", "orphan")).select("chunk_id"), "chunk_id", "left_anti")
 
 
+def without(chunks: DataFrame, article_id: str | None = None, source_file: str | None = None) -> tuple[DataFrame, int]:
+    """The chunks without those of an article and of a file, and how many those are."""
+    gone = F.lit(False)
+    for column, value in (("article_id", article_id), ("source_file", source_file)):
+        if value is not None:
+            gone = gone | F.coalesce(F.col(column).cast("string") == require_id(value), F.lit(False))
+    return chunks.where(~gone), chunks.where(gone).count()
+
+
+def listed(checked: DataFrame, most: int = 20) -> DataFrame:
+    """Problems by name: their ids in order, the first `most` of them and how many more there are."""
+    found = checked.where("problem is not null").withColumn("nth", F.row_number().over(Window.partitionBy("problem").orderBy("chunk_id")))
+    some = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "chunk_id"))))
+    rows = found.groupBy("problem").agg(F.count("*").alias("chunks"), F.array_join(F.transform(some, lambda x: x["chunk_id"]), ", ").alias("ids"))
+    more = F.when(F.col("chunks") > most, F.concat(F.lit("... and "), (F.col("chunks") - most).cast("string"), F.lit(" more")))
+    return rows.select("problem", "chunks", F.concat_ws(" ", "ids", more).alias("sample")).orderBy("problem")
+
+
 def require_id(value: str) -> str:
     if not value or not value.strip():
         raise ValueError("a non-blank id is needed")
@@ -107,7 +128,9 @@ def require_id(value: str) -> str:
 class VersionedTable:
     """A parquet table of numbered versions: a new one is written beside the old, then the pointer changes.
 
-    A failed write leaves the pointer where it was, so that the old version is the snapshot to go back to.
+    Every write has a folder of its own, which its version's pointer names; of two writers of a version, the one whose
+    pointer is second gets an error. A failed write leaves the pointers as they were: the old version is the snapshot to
+    go back to.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -115,24 +138,34 @@ class VersionedTable:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path, self._fs = hadoop.Path, hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _folder(self, version: int) -> str:
+        stream = self._fs.open(self._path(f"{self.path}/current-{version}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""
         if not self._fs.exists(self._path(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[8:]) for n in names if n.startswith("current-"))
+        found = self._fs.listStatus(self._path(self.path))
+        return sorted(int(s.getPath().getName()[8:]) for s in found if s.getPath().getName().startswith("current-") and s.getLen())
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.versions()
         if not found:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{version or found[-1]}")
+        return self.spark.read.parquet(f"{self.path}/{self._folder(version or found[-1])}")
 
     def write(self, df: DataFrame) -> int:
-        """A new version; the pointer is an empty file, whose creation is atomic."""
+        """A new version; creating its pointer is atomic."""
         version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self._fs.create(self._path(f"{self.path}/current-{version}"), False).close()
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        pointer = self._fs.create(self._path(f"{self.path}/current-{version}"), False)
+        pointer.write(bytearray(folder.encode()))
+        pointer.close()
         return version
 
     def rollback(self) -> int:

@@ -169,7 +169,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def accepted(files: DataFrame, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Files within the size limit and of a known format, and the rejected ones with the reason."""
-    reason = F.when(F.col("length") > most, "too_large").when(~F.col("ext").isin(converter_extensions()), "unsupported_format")
+    reason = F.when(F.col("length") > most, "too_large").when(~F.coalesce(F.col("ext").isin(converter_extensions()), F.lit(False)), "unsupported_format")
     rows = files.withColumn("reason", reason)
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop("content")
 
@@ -186,9 +186,9 @@ def _convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         yield pd.DataFrame(rows, columns=["markdown", "error"])
 
 
-def to_markdown(files: DataFrame) -> DataFrame:
-    """Rows (document_id, source_file, markdown, error) of files by their registered converter."""
-    return files.withColumn("made", _convert("ext", t.stem(F.col("source_file")), "content")).select("document_id", "source_file", "made.markdown", "made.error")
+def to_markdown(files: DataFrame, *more: str) -> DataFrame:
+    """Rows (document_id, source_file, markdown, error, and more columns) of files by their registered converter."""
+    return files.withColumn("made", _convert("ext", t.stem(F.col("source_file")), "content")).select("document_id", "source_file", "made.markdown", "made.error", *more)
 
 
 def asset_allowed(document_id: Column, path: Column, extensions: tuple[str, ...] = IMAGES) -> Column:
@@ -204,5 +204,6 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
-    """Markdown by document."""
-    documents.select("document_id", "markdown").write.mode("overwrite").partitionBy("document_id").text(path)
+    """Markdown by document, 256 folders of documents by the digest of their id."""
+    rows = documents.select(F.left(F.sha1(F.col("document_id").cast("string").cast("binary")), F.lit(2)).alias("part"), "document_id", "markdown")
+    rows.write.mode("overwrite").partitionBy("part").parquet(path)

@@ -181,7 +181,7 @@ def test_files_that_arrive_become_chunks_once(spark, tmp_path):
     for name in ("a.docx", "b.docx"):
         (source / name).write_bytes(docx())
         ingest.ingest_files(spark, str(source), str(target), str(checkpoint)).awaitTermination()
-    rows = spark.read.parquet(str(target)).collect()
+    rows = spark.read.parquet(str(target / "chunks")).collect()
     assert sorted((r["content"][:12], r["metadata"]["source_file"]) for r in rows) == [("## Head\n\none", "a.docx"), ("## Head\n\none", "b.docx")]
 
 
