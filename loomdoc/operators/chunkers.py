@@ -172,13 +172,19 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", config: ChunkConf
     """Chunks of documents (key, source_file, markdown) by extension.
 
     Others than the registered extensions, and documents without a file name, are split plainly, or with `strict` make the
-    query fail, as an upload does. Each branch reads `documents` again: give a written table where it is dear.
+    query fail, as an upload does. Extensions that no row has aren't planned; each other branch reads `documents` again: give
+    a written table where it is dear.
     """
     rows = documents.withColumn("ext", F.coalesce(t.extension(F.col("source_file")), F.lit("")))
+    known = F.when(F.col("ext").isin(chunk_extensions()), F.col("ext")).otherwise("")
+    present = {r[0] for r in rows.select(known).distinct().collect()}  # a few, whatever the rows
     groups: dict[Chunker, list[str]] = {}
     for ext, chunker in _CHUNKERS.items():
-        groups.setdefault(chunker, []).append(ext)
+        if ext in present:
+            groups.setdefault(chunker, []).append(ext)
     done = [chunker(rows.where(F.col("ext").isin(exts)), key, config) for chunker, exts in groups.items()]
+    if "" not in present and done:
+        return reduce(DataFrame.unionByName, done)
     rest = rows.where(~F.col("ext").isin(chunk_extensions()))
     if strict:
         known = ", ".join(chunk_extensions())

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from loomdoc.functions import text as t
 
@@ -19,13 +23,43 @@ def rendered(fields: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *[F.concat(F.lit(f"{k} : "), F.coalesce(c.cast("string"), F.lit("None"))) for k, c in fields.items()])
 
 
-def context_rows(hits: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
-    """Hits with label and context block, in order."""
-    at = F.row_number().over(Window.orderBy(*order))  # over the hits of one question
+def context_rows(hits: DataFrame, fields: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Hits with label and context block, in order; those of one question, or of each where `by` names it."""
+    at = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
     rows = hits.withColumn("label", at)
     return rows.withColumn("context", F.concat(F.lit("[S"), F.col("label").cast("string"), F.lit("] "), rendered({f: F.col(f) for f in fields})))
 
 
+def ask(questions: DataFrame, hits: DataFrame, generate: Callable[[Column], Column], system: str, fields: list[str], source: str = "chunk_id") -> DataFrame:
+    """Questions (question_id, question, history) with cleaned answer, sources, labels and no_answer_reason.
+
+    A question without hits gets the refusal, and no prompt of it is generated from. generate: prompt to answer, as a
+    column; `provider` makes one of a callable.
+    """
+    blocks = context_rows(hits, fields, ["rank"], ["question_id"])
+    block = F.struct("label", "context", F.col(source).alias("source"))
+    found = blocks.groupBy("question_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    rows = questions.join(found, "question_id", "left")
+    context = F.array_join(F.transform("blocks", lambda b: b["context"]), "\n\n")
+    chunks = F.transform("blocks", lambda b: b["source"])
+    told = rows.where("blocks is not null").withColumn("prompt", prompt(system, context, F.col("history"), F.col("question"))).withColumn("chunks", chunks)
+    answers = answered(told.withColumn("answer", generate(F.col("prompt")))).select("question_id", "cleaned", "sources", "labels", "no_answer_reason")
+    kind = {f.name: f.dataType for f in answers.schema}
+    silent = rows.where("blocks is null").select("question_id", F.lit(REFUSAL).alias("cleaned"), F.array().cast(kind["sources"]).alias("sources"), F.array().cast(kind["labels"]).alias("labels"), F.lit("insufficient_context").alias("no_answer_reason"))
+    return answers.unionByName(silent)
+
+
+def provider(answer: Callable[[list[str]], list[str]]) -> Callable[[Column], Column]:
+    """A column function of a callable that answers a list of prompts."""
+
+    @pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            yield pd.Series(answer(prompts.tolist()), dtype=object)
+
+    return run
+
+
 def prompt(system: str, context: Column, history: Column, question: Column) -> Column:
     """The whole prompt; an empty history has a fixed text."""
     return F.concat_ws("\n\n", F.lit(system), context, F.when(F.coalesce(history, F.lit("")) == "", NO_HISTORY).otherwise(history), question)

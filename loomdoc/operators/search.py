@@ -66,15 +66,15 @@ def _nearest(k: int):
     return cell
 
 
-def top_k_batch(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+def top_k_batch(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str = "vec_id", embedding: str = "embedding", block: int = 4096, query_key: str | None = None) -> DataFrame:
     """The k nearest chunks of every query: query_id, chunk_id, distance, rank, by distance (to DIGITS digits) and chunk_id.
 
     Queries and chunks are dealt into blocks; every pair of blocks is a cell with a bounded number of rows, which gives
     candidates for each of its queries by one matrix product; a last ranking per query joins the cells. Keys keep their type.
     """
     check_top_k(k)
-    rows = lambda df: df.where(v.valid(F.col(embedding))).select(F.col(key).alias("id"), v.unit(F.col(embedding)).alias("vector"))
-    q, c = rows(queries), rows(chunks)
+    rows = lambda df, name: df.where(v.valid(F.col(embedding))).select(F.col(name).alias("id"), v.unit(F.col(embedding)).alias("vector"))
+    q, c = rows(queries, query_key or key), rows(chunks, key)
     n_q, n_c = (max(1, -(-df.count() // block)) for df in (q, c))
     q = q.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
     c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n_c))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
@@ -85,6 +85,19 @@ def top_k_batch(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def semantic_search(questions: DataFrame, chunks: DataFrame, embedder, k: int = TOP_K, filters: dict | None = None, fields: tuple[str, ...] = FILTER_FIELDS, threshold: float | None = THRESHOLD) -> DataFrame:
+    """Hits of every question: question_id, rank, distance and the chunk's columns but its embedding.
+
+    k and filters are checked before anything is embedded. embedder: questions to the same with a column `embedding`.
+    """
+    check_top_k(k)
+    clause = where_clause(filters, fields)
+    asked = embedder(questions)
+    hits = top_k_batch(asked, chunks.where(clause), k, "chunk_id", query_key="question_id").withColumnRenamed("query_id", "question_id")
+    near = hits if threshold is None else hits.where(F.col("distance") <= threshold)
+    return near.join(chunks.drop("embedding"), "chunk_id")
+
+
 def embed(texts: DataFrame, column: str, provider, batch: int = 32) -> DataFrame:
     """Rows with an embedding from a provider: a callable of a list of texts, called with `batch` of them at a time."""
 

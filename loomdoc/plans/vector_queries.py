@@ -113,6 +113,33 @@ def citation_clean(spark: SparkSession, root: str) -> DataFrame:
     return rag.answered(rows).select("conv_id", "turn", "cleaned", F.array_join("sources", ",").alias("sources"), "no_answer_reason")
 
 
+# Questions are the vectors whose number is divisible by 20; the chunks are the English documents with a vector.
+_ASKED = f"""WITH hits AS (SELECT q.vec_id AS question_id, a.vec_id AS chunk_id, {_DISTANCE} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DISTANCE}, 12), a.vec_id)::INT AS rank
+FROM {_UNIT} a JOIN documents ON doc_id = a.vec_id, {_UNIT} q WHERE q.vec_id % 20 = 0 AND lang = 'en' QUALIFY rank <= 3), near AS (SELECT * FROM hits WHERE d <= 1.35)"""
+
+
+def _asked(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    questions = table(spark, root, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.concat(F.lit("What is "), "vec_id", F.lit("?")).alias("question"), F.lit("").alias("history"), "embedding")
+    return questions, search.semantic_search(questions, _chunks(spark, root), lambda q: q, 3, {"file_type": "en"}, threshold=1.35)
+
+
+@query(f"{_ASKED} SELECT question_id, chunk_id, rank, round(d, 4) AS distance, source AS source_file FROM near JOIN documents ON doc_id = chunk_id")
+def semantic_search(spark: SparkSession, root: str) -> DataFrame:
+    return _asked(spark, root)[1].select("question_id", "chunk_id", "rank", F.round("distance", 4).alias("distance"), "source_file")
+
+
+# The answers cite the first and the third chunk, and tell how long their prompt is.
+@query(f"""{_ASKED}, p AS (SELECT question_id, list(chunk_id ORDER BY rank) AS c, length('Answer.' || chr(10) || chr(10) || string_agg('[S' || rank || '] text : ' || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Không có' || chr(10) || chr(10) || 'What is ' || question_id || '?') AS n
+  FROM near JOIN documents ON doc_id = chunk_id GROUP BY question_id), q AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0)
+SELECT question_id, CASE WHEN c IS NULL THEN 'Tôi không tìm thấy thông tin này trong tài liệu.' ELSE n || ' [S1]' || CASE WHEN len(c) >= 3 THEN ' [S3] end' ELSE ' end' END END AS answer,
+  CASE WHEN c IS NULL THEN '' WHEN len(c) >= 3 THEN c[1] || ',' || c[3] ELSE c[1]::VARCHAR END AS sources, CASE WHEN c IS NULL THEN 'insufficient_context' END AS no_answer_reason FROM q LEFT JOIN p USING (question_id)""")
+def rag_answers(spark: SparkSession, root: str) -> DataFrame:
+    questions, hits = _asked(spark, root)
+    generate = lambda prompt: F.concat(F.length(prompt).cast("string"), F.lit(" [S1] [S3] end"))
+    rows = rag.ask(questions, hits, generate, "Answer.", ["text"])
+    return rows.select("question_id", F.col("cleaned").alias("answer"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "no_answer_reason")
+
+
 # Every benchmark text is a question; a document's keywords are its first words of over four letters, of the whole text.
 _LONG = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 4)"
 _KEYS = f"list_filter({_LONG}, lambda w, i: list_position({_LONG}, w) = i)[1:5]"

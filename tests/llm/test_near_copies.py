@@ -46,17 +46,31 @@ def test_cut_and_appended_copies_go_and_others_stay(spark):
 
 
 def test_all_pairs_across_components_meet_in_small_blocks(monkeypatch, spark):
-    """A bucket of many blocks compares every pair of different roots within the radius, and none of one root."""
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    """A bucket of many blocks joins what any near and similar pair of it joins; what leaves it is a forest."""
+    monkeypatch.setattr(simhash, "CELL", 16)
     rng = np.random.default_rng(4)
-    wide = rng.integers(0, 1 << 62, (3, 4), dtype=np.uint64)[rng.integers(0, 3, 100)] ^ (np.uint64(1) << rng.integers(0, 60, (100, 4)).astype(np.uint64))
+    kind = rng.integers(0, 3, 100)
+    wide = rng.integers(0, 1 << 62, (3, 4), dtype=np.uint64)[kind] ^ (np.uint64(1) << rng.integers(0, 60, (100, 4)).astype(np.uint64))
+    base = [rng.integers(0, 1 << 60, 40).tolist() for _ in range(3)]
+    sets = [set(rng.choice(base[k], 36, replace=False).tolist()) | set(rng.integers(0, 1 << 60, i % 4).tolist()) for i, k in enumerate(kind)]
     points = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(wide)], "id long, wide binary")
+    held = spark.createDataFrame([(i, bytearray(np.array(sorted(x), "<u8").tobytes())) for i, x in enumerate(sets)], "id long, set binary")
     members = spark.createDataFrame([(7, i) for i in range(100)] + [(8, 5)], "bucket long, id long")
     roots = spark.createDataFrame([(i, i % 10) for i in range(10, 60)], "v long, root long")
     root = [i % 10 if i < 60 else i for i in range(100)]
     distance = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2)
-    expected = {(a, b) for a in range(100) for b in range(a + 1, 100) if root[a] != root[b] and distance[a, b] <= 8}
-    found = [(r["a"], r["b"]) for r in simhash._candidates(members, points, roots, 8, False).collect()]
-    assert len(found) == len(set(found)) and set(found) == expected
-    nearest = {(r["a"], r["b"]) for r in simhash._candidates(members, points, roots, 8, True).collect()}
-    assert nearest <= expected and len(nearest) < len(expected)
+    near = {(a, b) for a in range(100) for b in range(100) if root[a] != root[b] and distance[a, b] <= 8 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    found = [(r["a"], r["b"]) for r in simhash._bucket_links(members, points, held, roots, 8).collect()]
+    assert len(near) > 60, len(near)
+    assert set(found) <= near and len(found) < len(near), (len(found), len(near))
+
+    def joined(pairs):
+        up = list(root)
+        for _ in range(100):
+            for a, b in pairs:
+                least = min(up[a], up[b])
+                was = {up[a], up[b]}
+                up = [least if x in was else x for x in up]
+        return up
+
+    assert joined(found) == joined(near)

@@ -32,7 +32,7 @@ def contents(library):
 
 
 def library(spark, tmp_path, embed=embedded):
-    return lifecycle.Library(spark, f"file://{tmp_path}/library", embed)
+    return lifecycle.Library(spark, f"file://{tmp_path}/library", embed, keep=lambda df, name: df.coalesce(1).cache())
 
 
 def test_articles_and_index_follow_each_other(spark, tmp_path):
