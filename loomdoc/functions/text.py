@@ -154,3 +154,9 @@ def like_ascii_ci(text: Column, term: str) -> Column:
 def without_comments(markdown: Column) -> Column:
     """Markdown without the page and OCR comments that converters leave."""
     return F.regexp_replace(markdown, r"(?i)<!--\s*(?:ocr-meta:|page:)[^>]*-->[ \t]*\r?\n?", "")
+
+
+def iso_timestamp(text: Column) -> Column:
+    """An ISO time; one without a zone is of zone Z; what is none is null."""
+    bare = strip(text)
+    return F.try_to_timestamp(F.when(bare.rlike(r"(Z|[+-]\d\d:?\d\d)$"), bare).otherwise(F.concat(bare, F.lit("Z"))))

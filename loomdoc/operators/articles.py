@@ -80,6 +80,19 @@ def delete(articles: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFr
     return articles.join(ids, key, "left_anti"), articles.join(ids, key, "left_semi")
 
 
+def appended(log: DataFrame, new: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """The log with new rows behind it: their ids go on from its largest one, in the given order.
+
+    Numbers are dealt by sorted ranges of rows, so that no task has all of them.
+    """
+    last = log.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))  # one row
+    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    rows = parts.join(F.broadcast(before), "part").crossJoin(F.broadcast(last)).withColumn(key, F.col("last") + F.col("before") + F.col("at") - F.col("first") + 1)
+    return log.unionByName(rows.select(*log.columns))
+
+
 def migrated(logs: DataFrame) -> DataFrame:
     """Old logs had one `source`, new ones a list `sources`: filled from it where it is null or empty. Idempotent."""
     if "sources" not in logs.columns:

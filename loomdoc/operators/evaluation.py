@@ -114,7 +114,7 @@ def read_cases(spark, path: str) -> DataFrame:
 
 def percent(share: Column) -> Column:
     """A share as text with two decimals and a percent sign."""
-    return F.concat(F.format_number(share * 100, "0.00"), F.lit("%"))
+    return F.format_string("%.2f%%", share * 100)
 
 
 def chunk_statistics(chunks: DataFrame, by: list[str]) -> DataFrame:

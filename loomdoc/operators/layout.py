@@ -131,14 +131,20 @@ def reading_order(blocks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def column_centres(starts: Column, tolerance: float) -> Column:
-    """Running centres of sorted starts: one within the tolerance moves the last centre half way to it."""
+    """Running centres of sorted starts (value, n): one within the tolerance moves the last centre half way to it, n times.
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        new = (F.size(a) == 0) | (x - last > tolerance)
-        return F.when(new, F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array((last + x) / 2)))
+    A value that comes n times is one item: n halvings are a power of two.
+    """
+    nothing = F.array().cast("array<double>")
+    start = F.struct(nothing.alias("done"), F.lit(None).cast("double").alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = s["last"].isNull() | (x["value"] - s["last"] > tolerance)
+        moved = x["value"] + (s["last"] - x["value"]) * F.pow(F.lit(0.5), x["n"])
+        done = F.when(new & s["last"].isNotNull(), F.concat(s["done"], F.array(s["last"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(new, x["value"]).otherwise(moved).alias("last"))
 
-    return F.aggregate(F.array_sort(starts), F.array().cast("array<double>"), step)
+    return F.aggregate(F.array_sort(starts), start, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
 
 
 def nearest(centres: Column, x: Column) -> Column:
@@ -186,19 +192,39 @@ def _by_page(rows: DataFrame, by: str, run: Callable[[pd.DataFrame], pd.DataFram
     return rows.repartition(by).sortWithinPartitions(by).mapInPandas(pages, schema)
 
 
+def _parted(boxes: list[tuple], order: list[int], start: int, end: int, all_gaps: bool) -> list[list[int]]:
+    """The boxes by their start on an axis, parted at its gaps, or at the first one only."""
+    by = sorted(order, key=lambda i: boxes[i][start])
+    parts: list[list[int]] = [[by[0]]]
+    reach = boxes[by[0]][end]
+    for k, i in enumerate(by[1:], 1):
+        if boxes[i][start] >= reach:
+            if not all_gaps:
+                return [by[:k], by[k:]]
+            parts.append([])
+        parts[-1].append(i)
+        reach = max(reach, boxes[i][end])
+    return parts
+
+
 def _cut(boxes: list[tuple], order: list[int]) -> list[int]:
-    """XY-cut: a free row between boxes parts them, else a free column, else top-left order."""
-    if len(order) < 2:
-        return order
-    for start, end in ((1, 3), (0, 2)):
-        by = sorted(order, key=lambda i: boxes[i][start])
-        reach = boxes[by[0]][end]
-        for k in range(1, len(by)):
-            if boxes[by[k]][start] >= reach:
-                return _cut(boxes, by[:k]) + _cut(boxes, by[k:])
-            reach = max(reach, boxes[by[k]][end])
-        order = by
-    return sorted(order, key=lambda i: (boxes[i][1], boxes[i][0]))
+    """XY-cut: free rows between boxes part them, else a free column, else top-left order."""
+    out: list[int] = []
+    todo = [order]
+    while todo:
+        some = todo.pop()
+        if len(some) < 2:
+            out += some
+            continue
+        # what lies between two free rows has none any more, but a part of columns may have
+        parts = _parted(boxes, some, 1, 3, True)
+        if len(parts) == 1:
+            parts = _parted(boxes, parts[0], 0, 2, False)
+        if len(parts) == 1:
+            out += sorted(parts[0], key=lambda i: (boxes[i][1], boxes[i][0]))
+        else:
+            todo += reversed(parts)
+    return out
 
 
 def xy_cut(shapes: DataFrame, by: str) -> DataFrame:

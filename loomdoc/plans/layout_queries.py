@@ -112,10 +112,19 @@ def markdown_table(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("n_regionkey", layout.markdown_table(F.array(F.lit("key"), F.lit("name")), cells).alias("markdown"))
 
 
-@query()
+# a value that comes n times moves a centre half way n times
+_CENTRES = """list_reduce(list_transform(v, lambda x: {'done': []::DOUBLE[], 'last': x.v, 'n': x.n}), lambda a, x: CASE WHEN x.last - a.last > 3 THEN {'done': list_append(a.done, a.last), 'last': x.last, 'n': 0::BIGINT}
+  ELSE {'done': a.done, 'last': x.last + (a.last - x.last) * pow(0.5, x.n), 'n': 0::BIGINT} END)"""
+
+
+@query(f"""WITH c AS (SELECT p_brand, list({{'v': v, 'n': n}} ORDER BY v) AS v FROM (SELECT p_brand, (p_size + p_partkey % 10 / 10.0)::DOUBLE AS v, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand),
+f AS (SELECT p_brand, {_CENTRES} AS f FROM c), l AS (SELECT p_brand, list_append(f.done, f.last) AS l FROM f)
+SELECT p_brand, (u.i - 1)::INT AS "column", round(l[u.i], 6) AS centre FROM l, unnest(range(1, len(l) + 1)) AS u(i)""")
 def column_centres(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "part").groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("double")).alias("x"))
-    return rows.select("p_brand", F.posexplode(layout.column_centres(F.col("x"), 3.0)).alias("column", "centre"))
+    """Sizes of a brand's parts as where columns begin; the first of a new centre counts once however often it comes."""
+    values = table(spark, root, "part").groupBy("p_brand", (F.col("p_size") + F.col("p_partkey") % 10 / 10.0).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    rows = values.groupBy("p_brand").agg(F.collect_list(F.struct("value", "n")).alias("x"))
+    return rows.select("p_brand", F.posexplode(layout.column_centres(F.col("x"), 3.0)).alias("column", "centre")).select("p_brand", "column", F.round("centre", 6).alias("centre"))
 
 
 @query()
@@ -134,13 +143,6 @@ def ocr_regions(spark: SparkSession, root: str) -> DataFrame:
     return layout.regions(rows, "page")
 
 
-@query()
-def line_sweep(spark: SparkSession, root: str) -> DataFrame:
-    x, y = (F.col("o_orderkey") * 37 % 500).cast("double"), (F.col("o_orderkey") * 13 % 97).cast("double")
-    rows = table(spark, root, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("word_id"), x.alias("x0"), y.alias("top"), (x + 30).alias("x1"), (y + 10).alias("bottom"))
-    return layout.word_lines(rows, "page").select("page", "word_id", "line", "median_height")
-
-
 @query()
 def columnar_table(spark: SparkSession, root: str) -> DataFrame:
     """Items of an order as rows of words: quantity, discount and tax are where the words begin."""

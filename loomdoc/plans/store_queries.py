@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdoc.functions import text as t
 from loomdoc.operators import articles as a
-from loomdoc.operators import chunkers, index
+from loomdoc.operators import chunkers, evaluation, index, lifecycle
 from loomdoc.plans.registry import query
-from loomdoc.session import table
+from loomdoc.session import scratch, table
 from loomdoc.sources import office
 
 _TIME = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -83,17 +83,26 @@ def delete_returning(spark: SparkSession, root: str) -> DataFrame:
     return stays.select("id", F.lit(False).alias("deleted")).unionAll(gone.select("id", F.lit(True).alias("deleted")))
 
 
-@query("""SELECT sum(conv_id)::BIGINT AS conversations, count(*) AS messages, count(DISTINCT conv_id) AS logs FROM conversations WHERE role IN ('user', 'assistant')""")
+@query("""WITH u AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, text AS question, answer, 1 AS version FROM u WHERE role = 'user' AND next = 'assistant' AND conv_id % 2 = 0
+UNION ALL SELECT (SELECT count(*) FROM u WHERE role = 'user' AND next = 'assistant' AND conv_id % 2 = 0) + row_number() OVER (ORDER BY conv_id, turn), text, answer, 2 FROM u WHERE role = 'user' AND next = 'assistant' AND conv_id % 2 = 1""")
 def qa_log_append(spark: SparkSession, root: str) -> DataFrame:
-    """Questions, then answers appended to the log; counted."""
-    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
-    log = rows.where("role = 'user'").unionByName(rows.where("role = 'assistant'"))
-    return log.agg(F.sum("conv_id").alias("conversations"), F.count("*").alias("messages"), F.count_distinct("conv_id").alias("logs"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, NULL)) AS v(id, sources)")
+    """Questions with their answers, appended to the log in two writes: ids go on where the log ends."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, root, "conversations").withColumn("answer", F.lead("text").over(order)).withColumn("next", F.lead("role").over(order))
+    asked = rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    log = asked.limit(0).select(F.lit(0).cast("long").alias("id"), "question", "answer", F.lit(0).alias("version"))
+    for half in (0, 1):
+        new = asked.where(F.col("conv_id") % 2 == half).withColumn("version", F.lit(half + 1))
+        log = a.appended(log, new, ["conv_id", "turn"])
+    return log
+
+
+@query("""SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN role ELSE NULL END AS sources FROM conversations""")
 def db_migration_backfill(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a", None), (2, "x", "b"), (3, "c", "[]"), (4, None, None)], "id int, source string, sources string")
+    """Messages as logs of the old form: some have a list already, some an empty or no list, some nothing at all. Twice, as it is idempotent."""
+    turn = F.col("turn") % 3
+    rows = table(spark, root, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.when(turn == 0, F.lit("old")).when(turn == 1, F.col("role")).alias("source"), F.when(turn == 0, F.col("text")).when(turn == 1, F.when(F.col("conv_id") % 2 == 0, "[]")).alias("sources"))
     return a.migrated(a.migrated(rows))
 
 
@@ -152,21 +161,76 @@ def stale_delta(spark: SparkSession, root: str) -> DataFrame:
     return index.delta(_index(spark, root), _new(spark, root)).to_delete
 
 
-@query(f"SELECT count(*) AS chunks, count(*) FILTER (new <> old OR vec_id IS NULL) AS embedded FROM {_NEW} n LEFT JOIN embeddings ON vec_id = doc_id")
+@query(f"""SELECT doc_id AS article_id, doc_id || ':' || new[1:32] AS chunk_id, CASE WHEN new = old AND vec_id IS NOT NULL THEN round(list_sum(embedding)::DOUBLE, 3) ELSE length(new)::DOUBLE END AS embedding
+FROM {_NEW} n LEFT JOIN embeddings ON vec_id = doc_id""")
 def replace_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """The index after the change, new embeddings being empty ones."""
-    old = _index(spark, root)
-    d = index.delta(old, _new(spark, root))
-    after = index.applied(old, d, d.to_embed.withColumn("embedding", F.array().cast("array<float>")))
-    return after.agg(F.count("*").alias("chunks"), F.count_if(F.size("embedding") == 0).alias("embedded"))
+    """The index after the change: reused embeddings by their sum, new ones by what the provider gives."""
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.length("content_hash").cast("float")))
+    new = _new(spark, root)
+    after = lifecycle.changed_index(_index(spark, root), new, new.select("article_id"), embed)
+    total = F.aggregate("embedding", F.lit(0.0), lambda x, y: x + y)
+    return after.select("article_id", "chunk_id", F.round(total, 3).alias("embedding"))
 
 
-@query("SELECT vec_id, label FROM embeddings")
+@query("SELECT vec_id, label, false AS broken FROM embeddings")
 def snapshot_restore_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    """What stays and what was deleted, put together again, is what was there."""
-    rows = table(spark, root, "embeddings")
-    stays, gone = a.delete(rows, table(spark, root, "labels").select(F.col("doc_id").alias("vec_id")), key="vec_id")
-    return stays.unionAll(gone).select("vec_id", "label")
+    """A version without the labelled rows is written and rolled back: the first version is what stays."""
+    rows = table(spark, root, "embeddings").select("vec_id", "label", F.lit(False).alias("broken"))
+    kept = index.VersionedTable(spark, scratch(spark, "snapshot"))
+    kept.write(rows)
+    stays, _ = a.delete(rows, table(spark, root, "labels").select(F.col("doc_id").alias("vec_id")), key="vec_id")
+    kept.write(stays.withColumn("broken", F.lit(True)))
+    kept.rollback()
+    return kept.read()
+
+
+@query("""SELECT problem, count(*) AS chunks, array_to_string(list(id ORDER BY id)[1:5], ', ') || CASE WHEN count(*) > 5 THEN ' ... and ' || (count(*) - 5) || ' more' ELSE '' END AS sample
+FROM (SELECT item_id::VARCHAR AS id, CASE WHEN item_id % 7 = 0 THEN 'empty_metadata' WHEN item_id % 3 = 0 THEN 'missing_both_fields' WHEN d.doc_id IS NULL THEN 'orphan' WHEN NOT contains(d.text, trim(b.text)) THEN 'stale' END AS problem
+  FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id * 29) WHERE problem IS NOT NULL GROUP BY problem""")
+def problem_samples(spark: SparkSession, root: str) -> DataFrame:
+    return index.listed(index.integrity(*_checked_chunks(spark, root)), 5)
+
+
+@query(f"SELECT doc_id AS article_id FROM {_NEW} n LEFT JOIN embeddings ON vec_id = doc_id WHERE vec_id IS NULL")
+def missing_after_seed(spark: SparkSession, root: str) -> DataFrame:
+    return lifecycle.missing_ids(_index(spark, root), table(spark, root, "documents").select(F.col("doc_id").alias("article_id")))
+
+
+@query("""SELECT ext FROM (SELECT unnest(['.bmp', '.docx', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.pptx', '.tif', '.tiff', '.webp', '.xlsm', '.xlsx']) AS ext UNION SELECT unnest(['.doc', '.ppt', '.xls', '.docx']))""")
+def all_formats(spark: SparkSession, root: str) -> DataFrame:
+    frame = lambda names: spark.createDataFrame([(x,) for x in names], "ext string")
+    return frame(office.converter_extensions()).union(frame([*office.LEGACY, ".docx"])).distinct()
+
+
+@query("""SELECT vec_id, u.i::INT AS place, CASE WHEN u.i <= len(embedding) THEN embedding[u.i] END AS number, CASE WHEN u.i <= 3 THEN vec_id || '-' || u.i END AS name FROM embeddings, unnest(range(1, greatest(len(embedding), 3) + 1)) AS u(i)""")
+def zipped_lists(spark: SparkSession, root: str) -> DataFrame:
+    """Lists side by side by place; the shorter one is null at its end."""
+    names = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.col("vec_id").cast("string"), F.lit("-"), i.cast("string")))
+    rows = table(spark, root, "embeddings").select("vec_id", F.col("embedding").alias("number"), names.alias("name"))
+    return rows.select("vec_id", F.posexplode(F.arrays_zip("number", "name")).alias("at", "z")).select("vec_id", (F.col("at") + 1).alias("place"), "z.number", "z.name")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '/assets/' || sha256(text) || '/images/' || doc_id || '.png' END AS url FROM documents""")
+def asset_urls(spark: SparkSession, root: str) -> DataFrame:
+    """Addresses of assets: none for a path that leaves the document's folder."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".png"))
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("images/../../"), name)).otherwise(F.concat(F.lit("./images/"), name))
+    return table(spark, root, "documents").select("doc_id", office.asset_url(F.lit("/assets/"), F.sha2("text", 256), path).alias("url"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, floor(epoch(ts))::BIGINT AS seconds FROM events""")
+def iso_times(spark: SparkSession, root: str) -> DataFrame:
+    """Times written with and without a zone, and read again: those without one are of zone Z."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    written = F.concat(iso, F.when(F.col("event_id") % 2 == 0, "Z").otherwise(""))
+    return table(spark, root, "events").select("event_id", iso.alias("iso"), F.unix_timestamp(t.iso_timestamp(written)).alias("seconds"))
+
+
+@query("""SELECT source, printf('%.2f%%', 100.0 * count(*) / (SELECT count(*) FROM documents)) AS share FROM documents GROUP BY source""")
+def source_shares(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("all"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("source", evaluation.percent(F.col("n") / F.col("all")).alias("share"))
 
 
 def _checked_chunks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +22,17 @@ def local_session(name: str = "loomdoc", cores: int | str = 8, partitions: int =
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, or in tests below a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir() and not context.getConf().get("spark.checkpoint.dir", None):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomdoc')}")
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table `name` below `root`; any path that Spark can read."""
     return spark.read.parquet(f"{root}/{name}.parquet")

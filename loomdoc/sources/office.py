@@ -197,6 +197,12 @@ def asset_allowed(document_id: Column, path: Column, extensions: tuple[str, ...]
     return document_id.rlike("^[a-f0-9]{64}$") & inside & t.extension(path).isin(*extensions)
 
 
+def asset_url(base: Column, document_id: Column, path: Column) -> Column:
+    """The address of an asset below `base`, null where it may not be read."""
+    inner = F.regexp_replace(path, r"^\./", "")
+    return F.when(asset_allowed(document_id, inner), F.concat_ws("/", F.regexp_replace(base, "/+$", ""), document_id, inner))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files as rows: source_file, markdown."""
     rows = spark.read.text(path, wholetext=True)
