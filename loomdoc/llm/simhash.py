@@ -397,12 +397,13 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_group(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
     """Rows joined with the groups (key, size, ...) that they are counted in; `total` is the number of rows counted.
 
-    Groups of more than one in HOT of them are fewer than HOT, so that they are broadcast: the join that shuffles has no
-    hot key.
+    Groups of more than one in HOT of them are fewer than HOT, so that they are broadcast and their keys are known to the
+    driver: the join that shuffles has no hot key.
     """
-    hot = groups.where(F.col("size") > total // HOT)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("size") <= total // HOT), key)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    groups = written(groups, "simhash-groups")
+    large = F.col("size") > total // HOT
+    hot = F.col(key).isin([r[0] for r in groups.where(large).select(key).collect()])
+    return rows.where(hot).join(F.broadcast(groups.where(large)), key).unionByName(rows.where(~hot).join(groups.where(~large), key))
 
 
 def _to_least(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
