@@ -1,8 +1,9 @@
 """Personal data: base kinds by their patterns, and unseen identifiers by bootstrapped contextual extraction.
 
 Seeds are the base kinds' matches (email, ip, card, phone) and secrets of a sure shape (32 to 64 hexadecimal digits). The
-two and the three lexical tokens before a seed are lexical patterns; those with `support` distinct seeds are induced.
-A second pass over all texts takes everything that fills the place after an induced pattern: what stands up to the next
+two and the three lexical tokens before a seed are lexical patterns; those with `support` distinct seeds are counted in all
+texts, and those of whose places a share of `least_share` has seeds are induced, so that what they extract grows as seeds
+do. A third pass over all texts takes everything that fills the place after an induced pattern: what stands up to the next
 white space, and where that has a digit, up to eight groups of digits more. Patterns, fillers and the fillers' shapes (runs
 of small letters, capitals and digits as one sign each) then score each other in Spark for some rounds: a pattern by the
 share of its fillers that identifiers make up, a shape likewise, and a filler by the patterns that it stands behind, all
@@ -10,7 +11,7 @@ its places counted, moved by how much more or less often its shape is an identif
 plain word needs a surer pattern than a number does, and no shape is ruled out. What scores `confidence` after a pattern
 of that confidence is found, though no base kind matches it.
 
-The second pass knows the induced patterns by a bitmap of BITS bits, whose size doesn't depend on the data; a join on
+The later passes know the patterns by a bitmap of BITS bits, whose size doesn't depend on the data; a join on
 the pattern itself follows, so that false hits of the bitmap only cost rows. Occurrences, not texts, are shuffled.
 
 Defined results: null and empty texts have no spans; positions are code points; null keys and repeated rows are kept
@@ -165,33 +166,46 @@ def shape(text: str) -> str:
     return text
 
 
-def _second(bits: bytes):
-    """Fillers of the places after patterns of the bitmap, a row each; and the number of places by pattern."""
+def _hits(tokens: list[str], bits: bytes) -> Iterator[tuple[int, int]]:
+    """Places (the number of the token that fills one) and the pattern before each, of the patterns that the bitmap has."""
+    digest = xxhash.xxh64_intdigest
+    mask = BITS - 1
+    before = a = b = ""
+    for i, c in enumerate(tokens):
+        if i >= 2:
+            h = digest(f"{a}\x1f{b}")
+            if bits[(h & mask) >> 3] >> (h & 7) & 1:
+                yield i, h
+            if i >= 3:
+                h = digest(f"{before}\x1f{a}\x1f{b}")
+                if bits[(h & mask) >> 3] >> (h & 7) & 1:
+                    yield i, h
+        before, a, b = a, b, c
+
+
+def _places(bits: bytes):
+    """How many places each pattern of the bitmap has, by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        mask = BITS - 1
         for batch in batches:
             totals: Counter[int] = Counter()
+            for text in batch.column(0).to_pylist():
+                totals.update(h for _, h in _hits(_TOKEN.findall(text.lower()), bits))
+            yield pa.record_batch([pa.array(map(_signed, totals), pa.int64()), pa.array(totals.values(), pa.int64())], names=["pattern", "n"])
+
+    return run
+
+
+def _second(bits: bytes):
+    """Fillers of the places after patterns of the bitmap, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows: list[tuple] = []
             for key, hashed, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = _TOKEN.findall(text.lower())
-                hits: list[tuple[int, int]] = []
-                a = b = ""
-                for i, c in enumerate(tokens):
-                    # the place that token i fills, and the patterns before it
-                    if i >= 2:
-                        h = digest(f"{a}\x1f{b}")
-                        if bits[(h & mask) >> 3] >> (h & 7) & 1:
-                            hits.append((i, h))
-                        if i >= 3:
-                            h = digest(f"{before}\x1f{a}\x1f{b}")  # noqa: F821
-                            if bits[(h & mask) >> 3] >> (h & 7) & 1:
-                                hits.append((i, h))
-                    before, a, b = a, b, c
+                hits = list(_hits(_TOKEN.findall(text.lower()), bits))
                 if not hits:
                     continue
-                totals.update(h for _, h in hits)
                 wanted = {i for i, _ in hits}
                 taken = sorted((s[1], s[2]) for s in base_spans(text) + secret_spans(text))
                 starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
@@ -202,13 +216,12 @@ def _second(bits: bytes):
                 for i, h in hits:
                     if places.get(i):
                         instance, form, start, end, seed = places[i]
-                        rows.append((h, instance, form, None, None, None, None, 1) if seed else (h, instance, form, key, hashed, start, end, 0))
-            rows += [(h, None, None, None, None, None, None, n) for h, n in totals.items()]
+                        rows.append((h, instance, form, None, None, None, None, True) if seed else (h, instance, form, key, hashed, start, end, False))
             if rows:
-                pattern, instance, form, keys, hashes, start, end, n = (list(x) for x in zip(*rows, strict=True))
-                signed = [pa.array([None if x is None else _signed(x) for x in column], pa.int64()) for column in (pattern, instance, form)]
-                rest = [pa.array(hashes, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(n, pa.int64())]
-                yield pa.record_batch([*signed, pa.array(keys, batch.column(0).type), *rest], names=["pattern", "instance", "shape", "key", "hash", "start", "end", "n"])
+                pattern, instance, form, keys, hashes, start, end, seed = (list(x) for x in zip(*rows, strict=True))
+                signed = [pa.array(map(_signed, column), pa.int64()) for column in (pattern, instance, form)]
+                rest = [pa.array(hashes, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(seed, pa.bool_())]
+                yield pa.record_batch([*signed, pa.array(keys, batch.column(0).type), *rest], names=["pattern", "instance", "shape", "key", "hash", "start", "end", "seed"])
 
     return run
 
@@ -271,7 +284,7 @@ def confident(edges: DataFrame, totals: DataFrame, rounds: int = 3, smooth: floa
     return patterns, instances
 
 
-def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 3, shape_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", support: int = 3, confidence: float = 0.6, rounds: int = 3, shape_weight: float = 0.5, least_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Two tables: (key, hash, spans) of every row's base and secret spans, and (key, hash, found) of those with more.
 
     hash is xxhash64 of the text, so that key and hash name a row's text.
@@ -281,18 +294,18 @@ def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", suppo
     first = T.StructType([T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("seeds", T.ArrayType(_SEED))])
     base = written(rows.mapInArrow(_first, first), "pii-base")
     seeds = base.select(F.explode("seeds").alias("seed")).select("seed.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"))
-    induced = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support), "pii-induced")
+    able = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("held")).where(F.col("seeds") >= support), "pii-able")
+    # the join ends false hits of the bitmap
+    counted = rows.select("text").mapInArrow(_places(_bitmap(able)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    induced = written(counted.join(able, "pattern").where(F.col("held") >= least_share * F.col("total")).select("pattern", "total"), "pii-induced")
     long = ("pattern", "instance", "shape")
-    second = T.StructType([*[T.StructField(c, T.LongType()) for c in long], T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n", T.LongType())])
-    # false hits of the bitmap end here
-    fillers = rows.mapInArrow(_second(_bitmap(induced)), second).join(induced, "pattern", "left_semi")
-    fillers = written(fillers, "pii-fillers")
-    totals = written(fillers.where("instance is null").groupBy("pattern").agg(F.sum("n").alias("total")), "pii-totals")
+    second = T.StructType([*[T.StructField(c, T.LongType()) for c in long], T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("seed", T.BooleanType())])
+    fillers = written(rows.mapInArrow(_second(_bitmap(induced)), second).join(induced, "pattern", "left_semi"), "pii-fillers")
     # an instance is a seed or not wherever it stands
-    edges = fillers.where("instance is not null").groupBy("pattern", "instance", "shape", (F.col("n") == 1).alias("seed")).agg(F.count("*").alias("n"))
-    patterns, instances = confident(written(edges, "pii-edges"), totals, rounds, shape_weight=shape_weight)
+    edges = written(fillers.groupBy("pattern", "instance", "shape", "seed").agg(F.count("*").alias("n")), "pii-edges")
+    patterns, instances = confident(edges, induced, rounds, shape_weight=shape_weight)
     sure, likely = patterns.where(F.col("confidence") >= confidence), instances.where(F.col("score") >= confidence)
-    spans = fillers.where("instance is not null and start is not null").join(sure, "pattern", "left_semi").join(likely, ["instance", "shape"], "left_semi")
+    spans = fillers.where("not seed").join(sure, "pattern", "left_semi").join(likely, ["instance", "shape"], "left_semi")
     found = spans.groupBy("key", "hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("found").alias("kind"), "start", "end"))).alias("found"))
     return base.select("key", "hash", "spans"), written(found, "pii-found")
 
