@@ -207,7 +207,7 @@ def _parted(boxes: list[tuple], order: list[int], start: int, end: int, all_gaps
     return parts
 
 
-def _cut(boxes: list[tuple], order: list[int]) -> list[int]:
+def cut_order(boxes: list[tuple], order: list[int]) -> list[int]:
     """XY-cut: free rows between boxes part them, else a free column, else top-left order."""
     out: list[int] = []
     todo = [order]
@@ -232,7 +232,7 @@ def xy_cut(shapes: DataFrame, by: str) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shape_id", ignore_index=True)
-        order = _cut(list(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), list(range(len(rows))))
+        order = cut_order(list(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), list(range(len(rows))))
         out = rows.iloc[order].copy()
         out["position"] = np.arange(len(out))
         return out

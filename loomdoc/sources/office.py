@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from loomdoc.functions import text as t
+from loomdoc.operators.layout import cut_order
 
 #: A converter gets a file's bytes and the stem of its name, and gives Markdown.
 Converter = Callable[[bytes, str], str]
@@ -92,13 +93,15 @@ def xlsx_to_markdown(data: bytes, stem: str) -> str:
         for sheet in _names(ET.fromstring(file.read("xl/workbook.xml")), "sheet"):
             cells: dict[tuple[int, int], str] = {}
             for row_at, row in enumerate(_names(ET.fromstring(file.read(targets[_attribute(sheet, "id")])), "row")):
+                at = -1
                 for c in _names(row, "c"):
+                    at = column_index(c.get("r")) if c.get("r") else at + 1
                     value = next((v.text or "" for v in _names(c, "v")), "")
                     if c.get("t") == "s" and value:
                         value = shared[int(value)]
                     elif c.get("t") == "inlineStr":
                         value = _text(c)
-                    cells[int(row.get("r") or row_at + 1), column_index(c.get("r", "A"))] = value.strip()
+                    cells[int(row.get("r") or row_at + 1), at] = value.strip()
             width = max((c for _, c in cells), default=-1) + 1
             rows = [[cells.get((r, c), "") for c in range(width)] for r in sorted({r for r, _ in cells})]
             rows = [r for r in rows if any(r)]
@@ -127,29 +130,111 @@ def docx_to_markdown(data: bytes, stem: str) -> str:
     return "\n\n".join(out if len(out) > 1 else [*out, "_This document has no text._"])
 
 
+class _Deck:
+    """Slides of a presentation: shapes in reading order, as Markdown and as pictures."""
+
+    def __init__(self, data: bytes):
+        self.file = zipfile.ZipFile(io.BytesIO(data))
+        targets = _relations(self.file, "ppt/presentation.xml")
+        self.slides = [targets[_attribute(s, "id")] for s in _names(self._xml("ppt/presentation.xml"), "sldId")]
+
+    def _xml(self, part: str) -> ET.Element:
+        return ET.fromstring(self.file.read(part))
+
+    @staticmethod
+    def _box(shape: ET.Element) -> tuple[float, float, float, float]:
+        frame = next(_names(shape, "xfrm"), None)
+        place = {} if frame is None else {e.tag.rpartition("}")[2]: e for e in frame}
+        x, y = (float(place["off"].get(k, 0)) if "off" in place else 0.0 for k in ("x", "y"))
+        w, h = (float(place["ext"].get(k, 0)) if "ext" in place else 0.0 for k in ("cx", "cy"))
+        return x, y, x + w, y + h
+
+    def _ordered(self, tree: ET.Element) -> list[ET.Element]:
+        """Shapes of a tree in reading order; a group is one box, in whose place its own shapes stand."""
+        shapes = [e for e in tree if e.tag.rpartition("}")[2] in ("sp", "pic", "graphicFrame", "grpSp")]
+        out: list[ET.Element] = []
+        for i in cut_order([self._box(e) for e in shapes], list(range(len(shapes)))):
+            out += self._ordered(shapes[i]) if shapes[i].tag.endswith("}grpSp") or shapes[i].tag == "grpSp" else [shapes[i]]
+        return out
+
+    def shapes(self, slide: str) -> tuple[str, list[tuple[int, str, ET.Element]]]:
+        """Title, and (number, kind, shape) of the others."""
+        title, rest = None, []
+        for j, shape in enumerate(self._ordered(next(_names(self._xml(slide), "spTree"))), 1):
+            if title is None and any(h.get("type") in ("title", "ctrTitle") for h in _names(shape, "ph")):
+                title = "\n".join(_text(p) for p in _names(shape, "p")).strip()
+            else:
+                kind = {"pic": "picture", "graphicFrame": "table"}.get(shape.tag.rpartition("}")[2], "text")
+                rest.append((j, kind, shape))
+        return title or "", rest
+
+    def picture(self, slide: str, number: int, j: int, shape: ET.Element) -> tuple[str, str, str] | None:
+        """Alt text, name and part of a picture: its description, else its name."""
+        target = next((_relations(self.file, slide).get(_attribute(b, "embed")) for b in _names(shape, "blip")), None)
+        if not target or target not in self.file.namelist():
+            return None
+        about = next(_names(shape, "cNvPr"), None)
+        alt = ((about.get("descr") or "").strip() or about.get("name") or "") if about is not None else ""
+        return alt or f"Image_S{number}_P{j}", f"slide_{number}_shape_{j}{posixpath.splitext(target)[1].lower()}", target
+
+    def markdown(self, slide: str, number: int, j: int, kind: str, shape: ET.Element) -> str:
+        if kind == "picture":
+            found = self.picture(slide, number, j, shape)
+            return f"![{found[0]}]({found[1]})" if found else ""
+        if kind == "table":
+            rows = [["\n".join(filter(None, (_text(p).strip() for p in _names(c, "p")))) for c in _names(r, "tc")] for r in _names(shape, "tr")]
+            return table(rows) if rows and rows[0] else ""
+        lines = []
+        for p in _names(shape, "p"):
+            level = next((int(x.get("lvl", 0)) for x in _names(p, "pPr")), 0)
+            if text := _text(p).strip():
+                lines.append("    " * level + f"* {text}")
+        return "\n".join(lines)
+
+    def notes(self, slide: str) -> list[str]:
+        parts = [p for p in _relations(self.file, slide).values() if "notesSlide" in p and p in self.file.namelist()]
+        bodies = [s for p in parts for s in _names(self._xml(p), "sp") if not any(h.get("type") in ("sldImg", "sldNum", "dt", "hdr", "ftr") for h in _names(s, "ph"))]
+        return [x for s in bodies for x in (_text(p).strip() for p in _names(s, "p")) if x]
+
+
 @register(".pptx")
 def pptx_to_markdown(data: bytes, stem: str) -> str:
-    """Front matter, then slides with title, shapes from top to bottom, notes as a quotation, and `---` after each."""
-    with zipfile.ZipFile(io.BytesIO(data)) as file:
-        targets = _relations(file, "ppt/presentation.xml")
-        slides = [targets[_attribute(s, "id")] for s in _names(ET.fromstring(file.read("ppt/presentation.xml")), "sldId")]
-        out = [f"---\ntitle: {stem}\nslides: {len(slides)}\n---"]
-        for path in slides:
-            title, shapes = "", []
-            for at, shape in enumerate(_names(ET.fromstring(file.read(path)), "sp")):
-                text = "\n".join(filter(None, (_text(p).strip() for p in _names(shape, "p"))))
-                off = next(_names(shape, "off"), None)
-                if any(_attribute(h, "type") in ("title", "ctrTitle") for h in _names(shape, "ph")):
-                    title = title or text
-                elif text:
-                    place = (int(off.get("y", 0)), int(off.get("x", 0))) if off is not None else (0, 0)
-                    shapes.append((place, at, text))
-            notes = [_text(ET.fromstring(file.read(p))).strip() for p in _relations(file, path).values() if "notesSlide" in p and p in file.namelist()]
-            quoted = [f"> {n}" for n in notes if n]
-            out += [f"## {title or '[Untitled Slide]'}", *[s[2] for s in sorted(shapes)], *quoted, "---"]
+    """Front matter, then slides with title, shapes in reading order, notes as a quotation, and `---` after each.
+
+    Texts are list items by level, tables and pictures Markdown ones; pictures are named as `slide_pictures` names them.
+    """
+    deck = _Deck(data)
+    out = [f"---\ntitle: {stem}.pptx\ntotal_slides: {len(deck.slides)}\n---"]
+    for number, slide in enumerate(deck.slides, 1):
+        title, shapes = deck.shapes(slide)
+        notes = deck.notes(slide)
+        quoted = ["\n".join(["> **Speaker Notes:**", *[f"> {n}" for n in notes]])] if notes else []
+        body = [deck.markdown(slide, number, *shape) for shape in shapes]
+        out += [f"## {title or '[Untitled Slide]'}", *filter(None, body), *quoted, "---"]
     return "\n\n".join(out)
 
 
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])))
+def _pictures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for contents in batches:
+        rows = []
+        for data in contents:
+            try:
+                deck = _Deck(data)
+            except (zipfile.BadZipFile, KeyError, ET.ParseError):  # to_markdown tells what is wrong
+                rows.append([])
+                continue
+            found = [deck.picture(slide, n, j, shape) for n, slide in enumerate(deck.slides, 1) for j, kind, shape in deck.shapes(slide)[1] if kind == "picture"]
+            rows.append([{"name": x[1], "content": deck.file.read(x[2])} for x in found if x])
+        yield pd.Series(rows, dtype=object)
+
+
+def slide_pictures(files: DataFrame) -> DataFrame:
+    """Pictures of presentations: document_id, name, content."""
+    rows = files.where(F.col("ext") == ".pptx").select("document_id", F.explode(_pictures("content")).alias("p"))
+    return rows.select("document_id", "p.name", "p.content")
+
+
 @register(".pdf", *IMAGES)
 def needs_provider(data: bytes, stem: str) -> str:
     raise ProviderMissing("register a converter for this extension: text extraction and recognition are providers")

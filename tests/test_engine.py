@@ -150,7 +150,7 @@ def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as file:
         for name, text in parts.items():
-            file.writestr(name.replace("__", "/").replace("_DOT_", ".").replace("_RELS_", "_rels"), text)
+            file.writestr(name.replace("_RELS_", "[rels]").replace("__", "/").replace("_DOT_", ".").replace("[rels]", "_rels"), text)
     return out.getvalue()
 
 
@@ -165,16 +165,48 @@ def test_office_files(spark):
         xl__workbook_DOT_xml='<w xmlns:r="r"><sheets><sheet name="S" r:id="r1"/></sheets></w>',
         xl___RELS___workbook_DOT_xml_DOT_rels='<R><Relationship Id="r1" Target="worksheets/s.xml"/></R>',
         xl__sharedStrings_DOT_xml="<s><si><t>na</t><t>me</t></si></s>",
-        xl__worksheets__s_DOT_xml='<w><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>k</v></c></row><row r="2"/><row r="4"><c r="C4"><v>7</v></c></row></w>',
+        xl__worksheets__s_DOT_xml='<w><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>k</v></c><c><v>next</v></c></row><row r="2"/><row r="4"><c r="C4"><v>7</v></c></row></w>',
     )
-    if "xl/_rels/workbook.xml.rels" in zipfile.ZipFile(io.BytesIO(book)).namelist():
-        assert office.xlsx_to_markdown(book, "b") == "# b\n\n## Sheet: S\n\n| name |  | k |\n| --- | --- | --- |\n|  |  | 7 |"
+    assert "xl/_rels/workbook.xml.rels" in zipfile.ZipFile(io.BytesIO(book)).namelist()
+    assert office.xlsx_to_markdown(book, "b") == "# b\n\n## Sheet: S\n\n| name |  | k | next |\n| --- | --- | --- | --- |\n|  |  | 7 |  |"
     assert [office.column_index(x) for x in ("A1", "Z9", "AA3")] == [0, 25, 26]
     files = spark.createDataFrame([("d1", "f.docx", ".docx", bytearray(docx())), ("d2", "g.docx", ".docx", bytearray(b"broken")), ("d3", "h.pdf", ".pdf", bytearray(b"x"))], "document_id string, source_file string, ext string, content binary")
     rows = {r["document_id"]: r for r in office.to_markdown(files).collect()}
     assert rows["d1"]["markdown"].startswith("# f\n\n## Head") and rows["d2"]["error"].startswith("BadZipFile") and rows["d3"]["error"].startswith("ProviderMissing")
 
 
+def deck():
+    shape = lambda x, y, body, extra="": f'<p:sp><p:nvSpPr><p:nvPr>{extra}</p:nvPr></p:nvSpPr><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/><a:ext cx="10" cy="10"/></a:xfrm></p:spPr><p:txBody>{body}</p:txBody></p:sp>'
+    text = lambda x, level=0: f'<a:p><a:pPr lvl="{level}"/><a:r><a:t>{x}</a:t></a:r></a:p>'
+    picture = '<p:pic><p:nvPicPr><p:cNvPr name="Picture 3" descr=" A cat "/></p:nvPicPr><p:blipFill><a:blip r:embed="r2"/></p:blipFill><p:spPr><a:xfrm><a:off x="0" y="60"/><a:ext cx="5" cy="5"/></a:xfrm></p:spPr></p:pic>'
+    cells = "<a:tbl><a:tr><a:tc><a:p><a:r><a:t>a|b</a:t></a:r></a:p></a:tc><a:tc/></a:tr><a:tr><a:tc><a:p><a:r><a:t>1</a:t></a:r></a:p></a:tc></a:tr></a:tbl>"
+    frame = f'<p:graphicFrame><p:xfrm><a:off x="0" y="40"/><a:ext cx="90" cy="9"/></p:xfrm>{cells}</p:graphicFrame>'
+    group = f'<p:grpSp><p:grpSpPr><a:xfrm><a:off x="50" y="20"/><a:ext cx="30" cy="15"/></a:xfrm></p:grpSpPr>{shape(5, 9, text("in group 2"))}{shape(5, 1, text("in group 1"))}</p:grpSp>'
+    tree = shape(0, 0, text("Title"), '<p:ph type="title"/>') + frame + group + picture + shape(0, 20, text("left") + text("deeper", 1) + text(" "))
+    one = f'<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:spTree>{tree}</p:spTree></p:cSld></p:sld>'
+    two = '<p:sld xmlns:p="p"><p:cSld><p:spTree/></p:cSld></p:sld>'
+    rels = lambda **targets: "<R>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in targets.items()) + "</R>"
+    return zipped(
+        ppt__presentation_DOT_xml='<p xmlns:r="r"><sldId r:id="s1"/><sldId r:id="s2"/></p>', ppt___RELS___presentation_DOT_xml_DOT_rels=rels(s1="slides/slide1.xml", s2="slides/slide2.xml"),
+        ppt__slides__slide1_DOT_xml=one, ppt__slides__slide2_DOT_xml=two, ppt__slides___RELS___slide1_DOT_xml_DOT_rels=rels(r2="../media/i.PNG", n="../notesSlides/n1.xml"),
+        ppt__media__i_DOT_PNG="bytes", ppt__notesSlides__n1_DOT_xml='<n xmlns:p="p" xmlns:a="a"><p:sp><p:ph type="sldNum"/><a:p><a:t>1</a:t></a:p></p:sp><p:sp><a:p><a:t>say this</a:t></a:p><a:p><a:t>and that</a:t></a:p></p:sp></n>',
+    )
+
+
+def test_slides_have_tables_pictures_groups_and_levels(spark):
+    want = ["---\ntitle: d.pptx\ntotal_slides: 2\n---", "## Title", "* left\n    * deeper", "* in group 1", "* in group 2", "| a\\|b |  |\n| --- | --- |\n| 1 |  |", "![A cat](slide_1_shape_6.png)", "> **Speaker Notes:**\n> say this\n> and that", "---", "## [Untitled Slide]", "---"]
+    assert office.pptx_to_markdown(deck(), "d") == "\n\n".join(want)
+    files = spark.createDataFrame([("d1", ".pptx", bytearray(deck())), ("d2", ".pptx", bytearray(b"x")), ("d3", ".docx", bytearray(docx()))], "document_id string, ext string, content binary")
+    assert [tuple(r) for r in office.slide_pictures(files).collect()] == [("d1", "slide_1_shape_6.png", bytearray(b"bytes"))]
+
+
+def test_many_stacked_shapes_are_cut():
+    boxes = [(0.0, 2.0 * i, 1.0, 2.0 * i + 1) for i in range(3000)]
+    assert layout.cut_order(boxes, list(range(2999, -1, -1))) == list(range(3000))
+    columns = [(2.0 * i, 0.0, 2.0 * i + 1, 5.0) for i in range(300)]
+    assert layout.cut_order(columns, list(range(299, -1, -1))) == list(range(300))
+
+
 def test_files_that_arrive_become_chunks_once(spark, tmp_path):
     source, target, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "state"
     source.mkdir()
