@@ -244,3 +244,96 @@ def absolute(shapes: DataFrame, groups: DataFrame, key: str = "group_id") -> Dat
     moved = lambda c, axis, size: F.when(F.col("x").isNull(), F.col(c)).otherwise(F.col(axis) + (F.col(c) - F.col(f"inner_{axis}")) * scale(size, f"inner_{size}"))
     box = {c: moved(c, "x", "width") for c in ("x1", "x2")} | {c: moved(c, "y", "height") for c in ("y1", "y2")}
     return rows.withColumns(box).select(*shapes.columns)
+
+
+def _leaders(rows: DataFrame, by: list[str], could: Column) -> DataFrame:
+    """Rows with `lead`: the top of the row that each belongs to. A row that could takes the next one in, which then takes none.
+
+    So in a run of neighbours that could, every second one does, and what follows a run of odd length is taken too.
+    """
+    order = Window.partitionBy(*by).orderBy("top")
+    rows = rows.withColumn("could", F.coalesce(could, F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("could"), 0).otherwise(1)).over(order))
+    rows = rows.withColumn("nth", F.sum(F.col("could").cast("int")).over(Window.partitionBy(*by, "run").orderBy("top")))
+    rows = rows.withColumn("takes", F.col("could") & (F.col("nth") % 2 == 1))
+    taken = F.coalesce(F.lag("takes").over(order), F.lit(False))
+    return rows.withColumn("lead", F.when(taken, F.lag("top").over(order)).otherwise(F.col("top"))).drop("could", "run", "nth", "takes")
+
+
+def table_rows(words: DataFrame, by: list[str], close: float = 12.0, next_to: float = 20.0) -> DataFrame:
+    """Words of table rows (by..., top, place, x0, x1, text): rows that belong together are one.
+
+    A row of one or two words takes in the words of one less than `close` below it. A row takes in the texts of a shorter
+    one less than `next_to` below it: each goes to the word that its left edge is under, by the middles of the gaps.
+    """
+    order = Window.partitionBy(*by).orderBy("top")
+    sizes = lambda rows: rows.groupBy(*by, "top").agg(F.count("*").alias("n"))
+    gap = F.lead("top").over(order) - F.col("top")
+    first = _leaders(sizes(words), by, (F.col("n") <= 2) & (gap < close)).select(*by, "top", "lead")
+    merged = words.join(first, [*by, "top"]).withColumn("top", F.col("lead")).drop("lead")
+    after = F.lead("n").over(order)
+    second = _leaders(sizes(merged), by, (gap < next_to) & (after >= 2) & (after < F.col("n"))).select(*by, "top", "lead")
+    rows = merged.join(second, [*by, "top"])
+    across = Window.partitionBy(*by, "top").orderBy("x0", "text")
+    own = rows.where(F.col("top") == F.col("lead")).drop("lead").withColumn("place", F.row_number().over(across))
+    own = own.withColumn("edge", (F.col("x1") + F.lead("x0").over(across)) / 2)
+    more = rows.where(F.col("top") != F.col("lead")).select(*by, F.col("lead").alias("top"), F.col("x0").alias("left"), F.col("text").alias("more"))
+    under = own.select(*by, "top", "place", "edge").join(more, [*by, "top"])
+    # the first word whose right middle is beyond, else the last one
+    at = under.groupBy(*by, "top", "left", "more").agg(F.coalesce(F.min(F.when(F.col("left") < F.col("edge"), F.col("place"))), F.max("place")).alias("place"))
+    added = at.groupBy(*by, "top", "place").agg(_text(F.col("left"), F.col("more"), " ").alias("more"))
+    return own.join(added, [*by, "top", "place"], "left").select(*by, "top", "place", "x0", "x1", t.strip(F.concat_ws(" ", "text", "more")).alias("text"))
+
+
+def _longest_run(rows: Column, tolerance: float) -> Column:
+    """Struct (begin, size) of the longest run of rows (arrays of column starts, three at least) that stand where its first one does."""
+    start = F.struct(F.lit(None).cast("array<double>").alias("first"), F.lit(0).alias("begin"), F.lit(0).alias("at"), F.lit(0).alias("best"), F.lit(0).alias("size"))
+    length = lambda s: F.when(s["first"].isNull(), 0).otherwise(s["at"] - s["begin"])
+    best = lambda s: F.struct(F.when(length(s) > s["size"], s["begin"]).otherwise(s["best"]).alias("begin"), F.greatest(length(s), s["size"]).alias("size"))
+
+    def step(s: Column, x: Column) -> Column:
+        wide = F.size(x) >= 3
+        apart = F.exists(F.arrays_zip(x.alias("a"), s["first"].alias("b")), lambda z: F.coalesce(F.abs(z["a"] - z["b"]) > 2 * tolerance, F.lit(False)))
+        same = wide & s["first"].isNotNull() & (F.abs(F.size(x) - F.size(s["first"])) <= 1) & ~F.coalesce(apart, F.lit(True))
+        begun = F.struct(F.when(wide, x).alias("first"), s["at"].alias("begin"), (s["at"] + 1).alias("at"), best(s)["begin"].alias("best"), best(s)["size"].alias("size"))
+        return F.when(same, F.struct(s["first"].alias("first"), s["begin"].alias("begin"), (s["at"] + 1).alias("at"), s["best"].alias("best"), s["size"].alias("size"))).otherwise(begun)
+
+    return F.aggregate(rows, start, step, best)
+
+
+def columnar_tables(words: DataFrame, by: list[str], tolerance: float = 8.0, head: float = 30.0) -> DataFrame:
+    """The table without lines of each page that has one: by..., row, top, cells.
+
+    words: by..., top, x0, x1, text. The longest run of three rows at least, of three columns at least, that stand where its
+    first one does; cells by the nearest running centre; rows above with enough words over the columns lead as its header.
+    """
+    rows = table_rows(words, by)
+    snapped = F.array_sort(F.array_distinct(F.transform(F.collect_list(F.col("x0")), lambda x: F.bround(x / tolerance, 0) * tolerance)))
+    lines = rows.groupBy(*by, "top").agg(snapped.cast("array<double>").alias("starts"), F.collect_list("x0").alias("edges"))
+    pages = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("top", "starts", "edges"))).alias("lines"))
+    pages = pages.withColumn("run", _longest_run(F.transform("lines", lambda x: x["starts"]), tolerance)).where("run.size >= 3")
+    edges = F.flatten(F.transform(F.slice("lines", F.col("run.begin") + 1, F.col("run.size")), lambda x: x["edges"]))
+    pages = pages.withColumn("edges", edges)
+    counted = F.transform(F.array_distinct("edges"), lambda v: F.struct(v.cast("double").alias("value"), F.size(F.filter("edges", lambda x: x == v)).alias("n")))
+    pages = pages.withColumn("centres", layout.column_centres(counted, tolerance))
+    width = F.size("centres")
+    met = lambda x: F.size(F.filter("centres", lambda c: F.exists(x["edges"], lambda e: F.abs(e - c) <= tolerance)))
+    able = lambda x: (F.size(x["edges"]) >= 2) & (F.size(x["edges"]) <= 2 * width) & (met(x) >= F.greatest(F.lit(3), (width * 0.6).cast("int")))
+    above = F.reverse(F.slice("lines", 1, F.col("run.begin")))
+    begin = F.get("lines", F.col("run.begin"))["top"].cast("double")
+    start = F.struct(begin.alias("top"), F.lit(True).alias("on"), F.array().cast("array<double>").alias("taken"))
+
+    def climb(s: Column, x: Column) -> Column:
+        top = x["top"].cast("double")
+        on = s["on"] & (s["top"] - top <= head)
+        takes = on & able(x)
+        return F.struct(F.when(takes, top).otherwise(s["top"]).alias("top"), on.alias("on"), F.when(takes, F.concat(s["taken"], F.array(top))).otherwise(s["taken"]).alias("taken"))
+
+    run = F.transform(F.slice("lines", F.col("run.begin") + 1, F.col("run.size")), lambda x: x["top"].cast("double"))
+    tops = F.concat(F.aggregate(above, start, climb, lambda s: s["taken"]), run)
+    kept = pages.select(*by, "centres", F.explode(tops).alias("top"))
+    cells = rows.withColumn("top", F.col("top").cast("double")).join(kept, [*by, "top"]).withColumn("column", layout.nearest(F.col("centres"), F.col("x0")))
+    texts = cells.groupBy(*by, "top", "column", F.size("centres").alias("width")).agg(t.strip(_text(F.col("place"), F.col("text"), " ")).alias("text"))
+    whole = texts.groupBy(*by, "top", "width").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit("")))
+    return whole.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("top")) - 1).alias("row"), "top", filled.alias("cells"))

@@ -141,13 +141,3 @@ def ocr_regions(spark: SparkSession, root: str) -> DataFrame:
     x, y = (F.col("o_orderkey") * 37 % 500).cast("double"), (F.col("o_orderkey") * 13 % 60 * 14).cast("double")
     rows = table(spark, root, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("word_id"), F.col("o_orderpriority").alias("text"), x.alias("x0"), y.alias("top"), (x + 30).alias("x1"), (y + 10).alias("bottom"))
     return layout.regions(rows, "page")
-
-
-@query()
-def columnar_table(spark: SparkSession, root: str) -> DataFrame:
-    """Items of an order as rows of words: quantity, discount and tax are where the words begin."""
-    starts = F.array((F.col("l_quantity") % 5).cast("double"), 100 + F.col("l_discount") * 100, 200 + F.col("l_tax") * 100)
-    rows = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("double").alias("top"), starts.alias("starts"))
-    return layout.aligned_run(rows, "page").select("page", "top")
-
-

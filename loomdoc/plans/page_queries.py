@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.operators import layout, pages
@@ -137,6 +137,21 @@ def grouped_shapes(spark: SparkSession, root: str) -> DataFrame:
     return pages.absolute(shapes, groups).select("n_nationkey", *[F.col(c).cast("double").alias(c) for c in ("x1", "x2", "y1")])
 
 
+_ITEM = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+
+
+@query(f"""SELECT l_orderkey AS page, ({_ITEM} - 1)::INT AS row, {_ITEM} * 25.0::DOUBLE AS top, l_returnflag || '|' || l_linestatus || '|' || l_suppkey AS cells
+FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3)""")
+def columnar_table(spark: SparkSession, root: str) -> DataFrame:
+    """Items of an order as rows of three words that begin nearly under each other."""
+    place = lambda i, x, c: F.struct((F.lit(100.0 * i) + x).alias("x0"), c.cast("string").alias("text"))
+    made = F.array(place(0, F.col("l_quantity") % 5, F.col("l_returnflag")), place(1, F.col("l_discount") * 50, F.col("l_linestatus")), place(2, F.col("l_tax") * 50, F.col("l_suppkey")))
+    item = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, root, "lineitem").withColumn("item", item).select(F.col("l_orderkey").alias("page"), (F.col("item") * 25.0).cast("double").alias("top"), F.explode(made).alias("w"))
+    words = rows.select("page", "top", F.col("w.x0").cast("double").alias("x0"), (F.col("w.x0") + 20).cast("double").alias("x1"), "w.text")
+    return pages.columnar_tables(words, ["page"]).select("page", "row", "top", F.array_join("cells", "|").alias("cells"))
+
+
 @query()
 def word_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines by a moving centre, as recognised words have them."""
