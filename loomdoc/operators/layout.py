@@ -162,12 +162,32 @@ def markdown_table(header: Column, rows: Column) -> Column:
 
 
 def compiled(blocks: DataFrame, doc: str) -> DataFrame:
-    """Markdown of a document from its blocks in order: page markers, headings, list items, text. blocks: position, page_number, block_type, content."""
-    line = F.when(F.col("block_type") == "h1", F.concat(F.lit("# "), "content")).when(F.col("block_type") == "h2", F.concat(F.lit("## "), "content")).when(F.col("block_type") == "list_item", F.concat(F.lit("* "), F.regexp_replace("content", LIST_MARK, ""))).otherwise(F.col("content"))
-    order = Window.partitionBy(doc).orderBy("position")
-    turned = ~F.coalesce(F.lag("page_number").over(order) == F.col("page_number"), F.lit(False)) & F.col("page_number").isNotNull()
-    rows = blocks.select(doc, "position", F.when(turned, F.concat(F.lit("<!-- page: "), F.col("page_number").cast("string"), F.lit(" -->\n\n"), line)).otherwise(line).alias("line"))
-    return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    """Markdown of a document from its blocks in order: page markers, headings, list items, tables, images, text.
+
+    blocks: position, page_number, block_type, content; images may have ocr_text, ocr_confidence, ocr_engine, ocr_regions
+    and a box x1, y1, x2, y2. An image with a recognised text has it in a quoted block, another one its path.
+    """
+    kinds = {"ocr_text": "string", "ocr_confidence": "double", "ocr_engine": "string", "ocr_regions": "int", "x1": "double", "y1": "double", "x2": "double", "y2": "double"}
+    rows = blocks.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in blocks.columns})
+    text = repaired(t.strip(F.coalesce("content", F.lit(""))))
+    own = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    box = F.format_string("%.1f,%.1f,%.1f,%.1f", *[F.coalesce(c, F.lit(0.0)) for c in ("x1", "y1", "x2", "y2")])
+    engine = F.when(F.coalesce("ocr_engine", F.lit("")) == "", "unknown").otherwise(F.col("ocr_engine"))
+    count = F.when(F.coalesce("ocr_regions", F.lit(0)) == 0, 1).otherwise(F.col("ocr_regions"))
+    data = own("<!-- ocr-meta: engine=", engine, "; confidence=", F.format_string("%.4f", "ocr_confidence"), "; regions=", count.cast("string"), "; bbox=", box, " -->\n")
+    known = F.when(F.col("ocr_confidence").isNotNull(), data).otherwise("")
+    seen = own("\n<img>\n", known, '"""\n', F.col("ocr_text"), '\n"""\n')
+    image = F.when(F.coalesce("ocr_text", F.lit("")) != "", seen).when(text != "", own("\n<img> ", text, "\n")).otherwise("\n<img>\n")
+    item = F.when(text.rlike(r"^[-*•●]\s+"), own("* ", t.strip(F.substring(text, 3, 1 << 30)), "\n")).when(text.rlike(r"^\d+[.|)]"), own(text, "\n")).otherwise(own("* ", text, "\n"))
+    kind = F.col("block_type")
+    line = (
+        F.when(kind == "image", image).when(text == "", "").when(kind == "h1", own("\n# ", text, "\n")).when(kind == "h2", own("\n## ", text, "\n"))
+        .when(kind == "list_item", item).when(kind == "table", own("\n", text, "\n")).otherwise(own(text, "\n"))
+    )
+    before = F.last("page_number", ignorenulls=True).over(Window.partitionBy(doc).orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    turned = F.col("page_number").isNotNull() & ~F.coalesce(before == F.col("page_number"), F.lit(False))
+    marked = rows.select(doc, "position", F.when(turned, own("\n<!-- page: ", F.col("page_number").cast("string"), " -->\n", line)).otherwise(line).alias("line"))
+    return marked.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "").alias("markdown"))
 
 
 # What depends on the order of what was grouped before goes page by page; a page is small.

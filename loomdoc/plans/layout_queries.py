@@ -29,10 +29,11 @@ def repeated_margins(spark: SparkSession, root: str) -> DataFrame:
     return layout.repeated_margins(_blocks(spark, root), "doc_id", "page_number").select("doc_id", "block_id")
 
 
-@query(f"""WITH b AS (SELECT *, CASE WHEN y = 0 THEN '## ' || line ELSE line END AS t FROM {_BLOCKS} q)
-SELECT doc_id, string_agg(CASE WHEN y = 0 THEN '<!-- page: ' || page || ' -->' || chr(10) || chr(10) || t ELSE t END, chr(10) || chr(10) ORDER BY i) AS markdown FROM b GROUP BY doc_id""")
+@query(rf"""WITH b AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM {_BLOCKS} q)
+SELECT doc_id, string_agg(CASE WHEN y = 0 THEN chr(10) || '<!-- page: ' || page || ' -->' || chr(10) ELSE '' END || CASE WHEN i % 10 = 3 THEN chr(10) || '<img> ' || t || chr(10)
+  WHEN y = 0 THEN chr(10) || '## ' || t || chr(10) WHEN i % 10 = 5 THEN '* ' || t || chr(10) ELSE t || chr(10) END, '' ORDER BY i) AS markdown FROM b GROUP BY doc_id""")
 def markdown_compile(spark: SparkSession, root: str) -> DataFrame:
-    rows = _blocks(spark, root).withColumn("position", F.col("block_id")).withColumn("block_type", F.when(F.col("y1") == 0, "h2").otherwise("paragraph"))
+    rows = _blocks(spark, root).withColumn("position", F.col("block_id")).withColumn("block_type", F.when(F.col("y1") == 3, "image").when(F.col("y1") == 0, "h2").when(F.col("y1") == 5, "list_item").otherwise("paragraph"))
     return layout.compiled(rows, "doc_id")
 
 

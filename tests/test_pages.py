@@ -53,6 +53,21 @@ def test_columns_of_pages(spark):
     assert [x[:2] for x in got] == [(1, 0), (1, 1), (2, 0)] and got[2][2:] == (0, 600) and 275 < got[0][3] < 330 and got[0][3] == got[1][2]
 
 
+def test_markdown_of_blocks_is_read_again(spark):
+    """Markers, images with and without text, items and tables; the chunker finds what was recognised."""
+    from loomdoc.operators import chunkers
+
+    kind = "d int, position int, page_number int, block_type string, content string, ocr_text string, ocr_confidence double, ocr_engine string, ocr_regions int, x1 double, y1 double, x2 double, y2 double"
+    none = (None,) * 8
+    rows = [(1, 0, 2, "h1", " Head ", *none), (1, 1, None, "list_item", "• one", *none), (1, 2, 2, "list_item", "1. two", *none), (1, 3, 2, "table", "| a |", *none), (1, 4, 3, "image", "", "Seen text", 0.91, "", 3, 1.0, 2.0, 3.0, 4.25), (1, 5, 3, "image", "i.png", *none), (1, 6, 3, "paragraph", " ", *none), (1, 7, 3, "paragraph", "end", *none)]
+    made = layout.compiled(spark.createDataFrame(rows, kind), "d")
+    want = '\n<!-- page: 2 -->\n\n# Head\n* one\n1. two\n\n| a |\n\n<!-- page: 3 -->\n\n<img>\n<!-- ocr-meta: engine=unknown; confidence=0.9100; regions=3; bbox=1.0,2.0,3.0,4.3 -->\n"""\nSeen text\n"""\n\n<img> i.png\nend\n'
+    assert made.first()["markdown"] in (want, want.replace("4.3", "4.2"))
+    chunks = chunkers.chunk_pages(made.select(F.col("d").alias("doc_id"), F.lit("a.pdf").alias("source_file"), "markdown")).collect()
+    seen = [c["metadata"] for c in chunks if c["content"].endswith("Seen text")]
+    assert len(seen) == 1 and (seen[0]["page_number"], seen[0]["ocr_confidence"], seen[0]["ocr_regions"], seen[0]["block_type"]) == ("3", "0.91", "3", "image_ocr")
+
+
 def test_cache_of_recognition(spark):
     images = spark.createDataFrame([("a",), ("b",), ("c",)], "digest string")
     cache = spark.createDataFrame([("a", "seen"), ("a", "seen"), ("b", None)], "digest string, text string")
