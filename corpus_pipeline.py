@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm import mixing, packing, pii, simhash, toxicity
-from loomdoc.llm.common import OWN, table, written
+from loomdoc.llm.common import OWN, released, table, written
 from loomdoc.llm.tokens import vocabulary_file
 
 #: SQL can express neither the classifier nor the near-duplicate search; tests hold run() against brute force.
@@ -55,6 +55,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        made = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            released(docs)  # what the stage before wrote isn't read any more
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
