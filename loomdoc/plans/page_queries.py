@@ -120,7 +120,7 @@ def page_bands(spark: SparkSession, root: str) -> DataFrame:
     return pages.text_bands(rows.select("page", F.lit(600.0).alias("page_height")).distinct(), rows, ["page"]).select("page", "band", "y1", "y2", "text")
 
 
-@query(f"SELECT w.page, w.word_id, b.band FROM {_WORDS} w JOIN (SELECT c_custkey AS page, u.i AS band FROM customer, unnest(range(0, 4)) AS u(i)) b ON b.page = w.page AND (top + bottom) / 2 BETWEEN band * 30 AND band * 30 + 20 AND (x0 + x1) / 2 BETWEEN 100 AND 400")
+@query(f"SELECT w.page, w.word_id, b.band::INT AS band FROM {_WORDS} w JOIN (SELECT c_custkey AS page, u.i AS band FROM customer, unnest(range(0, 4)) AS u(i)) b ON b.page = w.page AND (top + bottom) / 2 BETWEEN band * 30 AND band * 30 + 20 AND (x0 + x1) / 2 BETWEEN 100 AND 400")
 def words_in_bands(spark: SparkSession, root: str) -> DataFrame:
     bands = table(spark, root, "customer").select(F.col("c_custkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("band"))
     boxes = bands.select("page", "band", (F.col("band") * 30).alias("y1"), (F.col("band") * 30 + 20).alias("y2"), F.lit(100.0).alias("x1"), F.lit(400.0).alias("x2"))
