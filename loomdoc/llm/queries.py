@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm import html, licenses, media, mixing, packing, pii, quality, simhash, sql, tokenfile, toxicity
+from loomdoc.llm import html, infilling, lexical, licenses, media, mixing, packing, pii, quality, simhash, sql, tokenfile, toxicity, transducer
 from loomdoc.llm.common import table
 from loomdoc.llm.tokens import vocabulary_file
 
@@ -70,8 +70,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_file("word_bpe_49k.json")
+    ids = table(spark, sf_dir, "documents").select("doc_id", transducer.encoded("text", path).alias("ids"))
+    both = ids.withColumn("decoded", transducer.decoded("ids", path))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select("doc_id", infilling.fill_in_middle("doc_id", "text").alias("made"))
+    digest = lambda text: F.sha2(text, 256)
+    back = infilling.restored("made.output", "made.form")
+    return made.select("doc_id", "made.n", "made.form", "made.prefix_chars", "made.middle_chars", digest(F.col("made.output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OPERATORS = (
+    op1_license_scan, op2_personal_data, op3_simhash, op4_token_files, op5_quality, op6_main_text, op7_mixing, op8_media, op9_toxicity, op10_packing, op11_lexical_search, op12_bpe_transducer,
+    op13_fill_in_middle,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_personal_data, op3_simhash, op4_token_files, op5_quality, op6_main_text, op7_mixing, op8_media, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

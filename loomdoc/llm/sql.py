@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomdoc.llm.infilling import UNIT
+from loomdoc.llm.lexical import TERM
 from loomdoc.llm.licenses import BASE, NOTICES
 from loomdoc.llm.quality import SYMBOLS
 
@@ -84,5 +86,42 @@ WITH rates AS (
 SELECT * EXCLUDE (name), {u("'" + str(seed) + "-order'", "coalesce(doc_id::VARCHAR, '')", "name", "copy::VARCHAR")} AS shuffle_key FROM copies"""
 
 
+def op11(k: int = 10) -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+    return rf"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents),
+docs AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+tf AS MATERIALIZED (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM words) GROUP BY r, t),
+df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+items AS (SELECT row_number() OVER () AS q, item_id, {terms} AS w FROM benchmark),
+asked AS (SELECT q, item_id, t, count(*)::BIGINT AS c FROM (SELECT q, item_id, unnest(w) AS t FROM items) GROUP BY ALL),
+scores AS (
+  SELECT q, item_id, doc_id, sum(c * floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN df USING (t) JOIN tf USING (t) JOIN docs USING (r), whole GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= {k}"""
+
+
+def op13(seed: int = 42, percent: int = 50, spm_percent: int = 80) -> str:
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), units AS (
+  SELECT *, regexp_extract_all(t, '{UNIT}') AS u, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(hex, i, 8))::BIGINT) AS h FROM docs
+), cut AS (
+  SELECT *, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS low, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {percent} THEN 'plain' WHEN h[4] % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array_to_string(u[low + 1:high], ''), '') AS m, coalesce(array_to_string(u[high + 1:], ''), '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1(), "op5_quality": op5(), "op6_main_text": op6(), "op7_mixing": op7()}
+    return {"op1_license_scan": op1(), "op5_quality": op5(), "op6_main_text": op6(), "op7_mixing": op7(), "op11_lexical_search": op11(), "op13_fill_in_middle": op13()}
