@@ -47,11 +47,21 @@ def top_k(chunks: DataFrame, vector: list[float], k: int = TOP_K, filters: dict
     return best if threshold is None else best.where(F.col("distance").isNull() | (F.col("distance") <= threshold))
 
 
+def first_k(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest values in their order; of equal ones the first."""
+    if k < len(values):
+        last = np.partition(values, k - 1)[k - 1]
+        some = np.flatnonzero(values <= last)
+        return some[np.argsort(values[some], kind="stable")][:k]
+    return np.argsort(values, kind="stable")
+
+
 def _nearest(k: int):
     def cell(queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest chunks of this cell for each of its queries, and those at the same rounded distance as the k-th."""
+        """The k nearest chunks of this cell for each of its queries; of those at the same rounded distance the smallest keys."""
         if queries.empty or chunks.empty:
             return pd.DataFrame({"query_id": queries["id"][:0], "chunk_id": chunks["id"][:0], "distance": np.zeros(0)})
+        chunks = chunks.sort_values("id", ignore_index=True)
         a, b = np.stack(queries["vector"].to_numpy()), np.stack(chunks["vector"].to_numpy())
         out = []
         for at in range(0, len(a), 256):
@@ -60,7 +70,9 @@ def _nearest(k: int):
             last = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, [min(k, near.shape[1]) - 1]]
             i, j = np.nonzero(near <= last + 1e-9)
             exact = np.round(((some[i] - b[j]) ** 2).sum(axis=1), DIGITS)
-            out.append(pd.DataFrame({"query_id": queries["id"].to_numpy()[at + i], "chunk_id": chunks["id"].to_numpy()[j], "distance": exact}))
+            cuts = np.flatnonzero(np.diff(i, prepend=-1, append=len(some)))
+            best = np.concatenate([lo + first_k(exact[lo:hi], k) for lo, hi in zip(cuts, cuts[1:], strict=False)])
+            out.append(pd.DataFrame({"query_id": queries["id"].to_numpy()[at + i[best]], "chunk_id": chunks["id"].to_numpy()[j[best]], "distance": exact[best]}))
         return pd.concat(out, ignore_index=True)
 
     return cell

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.functions import vector as v
-from loomdoc.operators import evaluation, rag, search
-from loomdoc.plans.registry import query
-from loomdoc.session import table
+from loomdoc.operators import ann, evaluation, rag, search
+from loomdoc.plans.registry import SQL, query
+from loomdoc.session import stored, table
 
 _UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings)"
 _DISTANCE = "list_sum(list_transform(list_zip(a.u, q.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -52,6 +52,30 @@ def vector_topk_batch(spark: SparkSession, root: str) -> DataFrame:
     return search.top_k_batch(rows.where(F.col("vec_id") % 20 == 0), rows, 5).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "rank")
 
 
+def _index(spark: SparkSession, root: str) -> ann.Index:
+    rows = table(spark, root, "embeddings")
+    return ann.build(rows, ann.fit(rows))
+
+
+@query()
+def vector_topk_ann(spark: SparkSession, root: str) -> DataFrame:
+    """Approximate neighbours of all rows whose id is divisible by 20; the recall is that of about 256 of them against an exact scan."""
+    rows = table(spark, root, "embeddings")
+    queries = rows.where(F.col("vec_id") % 20 == 0)
+    found = stored(ann.nearest(ann.calibrated(_index(spark, root)), queries), "ann-found")
+    share = 256 / max(1, queries.count())
+    some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+    recall = ann.recall_of(found, search.top_k_batch(some, rows, 5)).first()["recall"]
+    return found.select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "rank", F.round(F.lit(recall), 4).alias("recall"))
+
+
+@query(SQL["vector_topk_batch"])
+def vector_topk_pruned(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of vector_topk_batch from the index: only cells that can hold a neighbour are scanned."""
+    found = ann.nearest_exactly(_index(spark, root), table(spark, root, "embeddings").where(F.col("vec_id") % 20 == 0))
+    return found.select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4) AS length, len(embedding)::INT AS dimensions, true AS valid FROM embeddings")
 def vector_norm_check(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "embeddings").select("vec_id", F.round(v.norm(F.col("embedding")), 4).alias("length"), F.size("embedding").alias("dimensions"), v.valid(F.col("embedding")).alias("valid"))

@@ -33,6 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a new folder of the shared one and read again: computed once, safe when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table `name` below `root`; any path that Spark can read."""
     return spark.read.parquet(f"{root}/{name}.parquet")
