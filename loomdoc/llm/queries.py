@@ -75,9 +75,7 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_file("word_bpe_49k.json")
-    ids = table(spark, sf_dir, "documents").select("doc_id", transducer.encoded("text", path).alias("ids"))
-    both = ids.withColumn("decoded", transducer.decoded("ids", path))
+    both = transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

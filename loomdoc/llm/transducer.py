@@ -31,7 +31,8 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -41,13 +42,17 @@ from loomdoc.llm.tokens import _byte_letters, _kind
 
 WINDOW = 1 << 15  # characters that are split at a time
 STEP = 256  # symbols that come into a window before it is merged again
-SHORT, MEMORY = 64, 500_000  # characters of runs and words that are remembered, and how many
+SHORT, MEMORY = 64, 1 << 16  # characters of runs and words that are remembered, and how many
+FEW = 24  # symbols up to which the least pair is looked for anew each time
+ROWS = 256  # texts that are taken at a time
 IDS = 1 << 14  # ids that are decoded at a time
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The endings after an apostrophe that are words.
 ENDINGS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 
+_ASCII = re.compile("|".join([*ENDINGS, "[a-z]+", "[0-9]", "[^a-z0-9]+"]))
+
 Merge = tuple[str, str]
 
 
@@ -77,6 +82,18 @@ def merged(symbols: list[str], ranks: dict[Merge, int]) -> list[str]:
     """The tokens of a run of symbols: of all pairs the one with the least rank is merged first, the leftmost of equal ones."""
     parts: list[str | None] = list(symbols)
     n = len(parts)
+    if n <= FEW:
+        get, none = ranks.get, len(ranks)
+        found = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while found and (least := min(found)) < none:
+            i = found.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), none)
+        return parts
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
     heapq.heapify(heap)
@@ -110,15 +127,22 @@ def _begins(c: str) -> bool:
 
 
 class _Memory(dict):
-    """Ids by run or word, found when first asked for; begins anew when full, and keeps short ones only."""
+    """Ids by run or word, found when first asked for; short ones only.
+
+    When MEMORY of them are held, they become the elder ones, which stay as long as they are asked for.
+    """
 
     def __init__(self, find):
         self._find = find
+        self._elder: dict[str, bytes] = {}
 
     def __missing__(self, name: str) -> bytes:
-        found = self._find(name)
+        found = self._elder.get(name)
+        if found is None:
+            found = self._find(name)
         if len(name) <= SHORT:
             if len(self) >= MEMORY:
+                self._elder = dict(self)
                 self.clear()
             self[name] = found
         return found
@@ -177,6 +201,8 @@ class Vocabulary:
         return b"".join(self.ids[t] for t in merged(symbols, self.ranks))
 
     def _run(self, run: str) -> bytes:
+        if run.isascii() and run.isprintable() and len(run) <= SHORT:  # composed already, and its words by one pattern
+            return b"".join(map(self.words.__getitem__, _ASCII.findall(run.lower())))
         machine = Transducer(self)
         return machine.feed(run) + machine.finish()
 
@@ -368,3 +394,19 @@ def decoded(ids: str | Column, path: str) -> Column:
             yield pd.Series([text_of(v, bytes(x)) if x is not None else "" for x in rows], dtype=object)
 
     return run(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns key, ids, decoded: each text's ids, and the text that these decode to, in one pass of ROWS texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [b"".join(ids_of(v, x)) for x in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([text_of(v, x) for x in ids], pa.string())], names=["key", "ids", "decoded"])
+
+    kind = documents.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return documents.select(F.col(key), text_or_empty(text)).mapInArrow(run, schema)
