@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomdoc.functions import text as t
+from loomdoc.session import stored
 
 #: Glyph numbers and private-use characters of common PDF fonts, and list marks.
 GLYPHS = {"1": "°", "2": "±", "3": "−", "4": "×", "5": "µ", "6": "·", "7": "→", "8": "←", "9": "↑", "10": "↓", "14": "•", "15": "·", "16": "™", "17": "©", "18": "®", "25": "°", "30": "Ω", "32": "·"}
@@ -69,11 +66,41 @@ def font_mode(spans: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).agg(F.max_by("half", F.struct("n", -F.col("half"))).alias("most_used"), F.max("half").alias("largest"))
 
 
-def upper_median(values: DataFrame, by: list[str], column: str) -> DataFrame:
-    """The value at rank floor(n / 2) from 0: ranks by window, so that no group is gathered."""
+HOT = 4096  # a group with more than one in HOT of all values is counted, not sorted: there are at most as many of them
+BUCKETS, PASSES = 4096, 2
+
+
+def upper_median(values: DataFrame, by: list[str], column: str, hot: int = HOT) -> DataFrame:
+    """The value at rank floor(n / 2) from 0; nulls don't count.
+
+    Small groups are ranked by a window. A group with more than one in `hot` of all values is never sorted: its range is cut
+    into BUCKETS equal ones, the counts tell in which the rank falls, and that one is cut again, PASSES times; the distinct
+    values of the last bucket, with their counts, are all that is ranked. Partial counts meet before every shuffle.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"))
+    counts = stored(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), "medians")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    same = lambda other: reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by])
+    large = F.col("n") > total // hot
     w = Window.partitionBy(*by)
-    rows = values.where(F.col(column).isNotNull()).withColumn("at", F.row_number().over(w.orderBy(column))).withColumn("n", F.count("*").over(w))
-    return rows.where(F.col("at") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(column).alias("upper_median"))
+    cold = rows.alias("v").join(counts.where(~large).alias("c"), same("c")).select("v.*", "n").withColumn("at", F.row_number().over(w.orderBy("value")))
+    out = cold.where(F.col("at") == F.floor(F.col("n") / 2) + 1).select(*by, F.col("value").alias("upper_median"))
+    span = counts.where(large).select(*by, F.floor(F.col("n") / 2).alias("rank"), "low", "high")
+    if not span.limit(1).count():
+        return out
+    for _ in range(PASSES):
+        # the bucket rises with the value, so that counts of buckets are counts of ranks
+        place = F.least(F.lit(BUCKETS - 1), F.floor((F.col("value") - F.col("low")).cast("double") / F.greatest((F.col("high") - F.col("low")).cast("double"), F.lit(1e-300)) * BUCKETS)).cast("int")
+        inside = rows.alias("v").join(F.broadcast(span).alias("s"), same("s") & F.col("v.value").between(F.col("s.low"), F.col("s.high"))).select("v.*", "rank", "low", "high")
+        held = inside.groupBy(*by, "rank", place.alias("bucket")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        before = F.sum("n").over(w.orderBy("bucket")) - F.col("n")  # a row per bucket
+        hit = held.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        span = stored(hit.select(*by, (F.col("rank") - F.col("before")).alias("rank"), "low", "high"), "medians")
+    inside = rows.alias("v").join(F.broadcast(span).alias("s"), same("s") & F.col("v.value").between(F.col("s.low"), F.col("s.high"))).select("v.*", "rank")
+    held = inside.groupBy(*by, "rank", "value").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(w.orderBy("value")) - F.col("n")
+    hit = held.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+    return out.unionByName(hit.select(*by, F.col("value").alias("upper_median")))
 
 
 def repeated_margins(blocks: DataFrame, doc: str, page: str, least_pages: int = 3, share: float = 0.6, longest: int = 160) -> DataFrame:
@@ -190,100 +217,142 @@ def compiled(blocks: DataFrame, doc: str) -> DataFrame:
     return marked.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "").alias("markdown"))
 
 
-# What depends on the order of what was grouped before goes page by page; a page is small.
-
-
-def _by_page(rows: DataFrame, by: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
-    """`run` of every page. Pages come sorted, so that a task takes one after the other out of its batches."""
-
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            both = pd.concat([*held, batch], ignore_index=True)
-            page = pd.factorize(both[by])[0]
-            cuts = [0, *(np.flatnonzero(page[1:] != page[:-1]) + 1).tolist()]
-            done = [out for a, b in zip(cuts, cuts[1:], strict=False) if len(out := run(both.iloc[a:b]))]
-            held = [both.iloc[cuts[-1] :]] if len(both) else []
-            if done:
-                yield pd.concat(done, ignore_index=True)
-        for last in held:
-            yield run(last)
-
-    return rows.repartition(by).sortWithinPartitions(by).mapInPandas(pages, schema)
-
-
-def _parted(boxes: list[tuple], order: list[int], start: int, end: int, all_gaps: bool) -> list[list[int]]:
-    """The boxes by their start on an axis, parted at its gaps, or at the first one only."""
-    by = sorted(order, key=lambda i: boxes[i][start])
-    parts: list[list[int]] = [[by[0]]]
-    reach = boxes[by[0]][end]
-    for k, i in enumerate(by[1:], 1):
-        if boxes[i][start] >= reach:
-            if not all_gaps:
-                return [by[:k], by[k:]]
-            parts.append([])
-        parts[-1].append(i)
-        reach = max(reach, boxes[i][end])
-    return parts
-
-
-def cut_order(boxes: list[tuple], order: list[int]) -> list[int]:
-    """XY-cut: free rows between boxes part them, else a free column, else top-left order."""
-    out: list[int] = []
-    todo = [order]
-    while todo:
-        some = todo.pop()
-        if len(some) < 2:
-            out += some
-            continue
-        # what lies between two free rows has none any more, but a part of columns may have
-        parts = _parted(boxes, some, 1, 3, True)
-        if len(parts) == 1:
-            parts = _parted(boxes, parts[0], 0, 2, False)
-        if len(parts) == 1:
-            out += sorted(parts[0], key=lambda i: (boxes[i][1], boxes[i][0]))
-        else:
-            todo += reversed(parts)
-    return out
-
-
-def xy_cut(shapes: DataFrame, by: str) -> DataFrame:
-    """Shapes of a slide with `position` in reading order. shapes: by, shape_id, x1, y1, x2, y2."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shape_id", ignore_index=True)
-        order = cut_order(list(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), list(range(len(rows))))
-        out = rows.iloc[order].copy()
-        out["position"] = np.arange(len(out))
-        return out
+# Orders that depend on what was ordered before: large parts by windows, the small parts that are left by one fold each.
+
+
+def _ends_at(boxes: Column, start: str, end: str) -> Column:
+    """Where, from 1, the sorted boxes part: at the first, and at each that starts where nothing before it reaches beyond."""
+    state = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s: Column, x: Column) -> Column:
+        free = s["reach"].isNull() | (x[start] >= s["reach"])
+        cuts = F.when(free, F.concat(s["cuts"], F.array(s["at"]))).otherwise(s["cuts"])
+        return F.struct(F.greatest(s["reach"], x[end]).alias("reach"), (s["at"] + 1).alias("at"), cuts.alias("cuts"))
+
+    return F.aggregate(boxes, state, step, lambda s: s["cuts"])
+
+
+def _cut_at(boxes: Column, cuts: Column) -> Column:
+    """The boxes in runs that begin at the cuts."""
+    after = lambda i: F.coalesce(F.get(cuts, i + 1), F.size(boxes) + 1)
+    return F.transform(cuts, lambda c, i: F.slice(boxes, c, after(i) - c))
+
+
+def _sorted(boxes: Column, *by: str) -> Column:
+    place = lambda x: F.struct(*[x[c] for c in by])
+    return F.array_sort(boxes, lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
+
+
+def _parts(some: Column) -> Column:
+    """A part's parts: at free rows all of them, else two at the first free column, else itself."""
+    down, across = _sorted(some, "y1", "x1", "id"), _sorted(some, "x1", "id")
+    columns = lambda x: t.let(F.slice(_ends_at(x, "x1", "x2"), 1, 2), lambda cuts: _cut_at(x, cuts))
+    rows = lambda x: t.let(_ends_at(x, "y1", "y2"), lambda cuts: F.when(F.size(cuts) > 1, _cut_at(x, cuts)).otherwise(t.let(across, columns)))
+    return t.let(down, rows)
 
-    return _by_page(shapes, by, run, T.StructType([*shapes.schema.fields, T.StructField("position", T.LongType())]))
+
+def cut_order(boxes: Column) -> Column:
+    """XY-cut of an array of boxes (y1, x1, id, y2, x2 and more): free rows part them, else a free column, else top-left order.
+
+    A stack of parts; each step takes the first one and puts back its parts, or lays it down where it has none. n boxes make
+    less than 2 n parts.
+    """
+    nothing = F.slice(boxes, 1, 0)
+    start = F.struct(F.array(boxes).alias("todo"), nothing.alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        rest = F.slice(s["todo"], 2, F.size(s["todo"]))
+        leaf = F.struct(rest.alias("todo"), F.concat(s["out"], _sorted(s["todo"][0], "y1", "x1", "id")).alias("out"))
+        parted = lambda p: F.when(F.size(p) > 1, F.struct(F.concat(p, rest).alias("todo"), s["out"].alias("out"))).otherwise(leaf)
+        return F.when(F.size(s["todo"]) == 0, s).when(F.size(s["todo"][0]) < 2, leaf).otherwise(t.let(_parts(s["todo"][0]), parted))
+
+    return F.aggregate(F.sequence(F.lit(1), 2 * F.size(boxes)), start, step, lambda s: s["out"])
+
+
+def _islands(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Rows with `island` (from 0): which run of overlapping intervals of their part they are in, and `islands`, how many there are."""
+    part = Window.partitionBy(*by)
+    order = part.orderBy(start, "id")
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col(start) >= F.col("reach"), 1).otherwise(0)).over(order))
+    return found.withColumn("islands", F.max("island").over(part) + 1).drop("reach")
+
+
+def xy_cut(shapes: DataFrame, by: str, most: int = 128) -> DataFrame:
+    """Shapes of a slide with `position` in reading order. shapes: by, shape_id, x1, y1, x2, y2.
+
+    Slides of more than `most` shapes are parted level by level: windows find the islands of every large part, whose place
+    joins its path, until a part is small or has neither free row nor column. Each small part is then one fold over at most
+    `most` boxes. Equal places go by shape_id.
+    """
+    own = [c for c in shapes.columns if c != "position"]
+    boxes = shapes.select(F.col(by).alias("slide"), F.col("shape_id").alias("id"), *[F.col(c).cast("double") for c in ("y1", "x1", "y2", "x2")], F.lit("").alias("path"), F.struct(*own).alias("shape"))
+    key = ["slide", "path"]
+    size = F.count("*").over(Window.partitionBy(*key))
+    small, whole = [], None
+    rows = boxes.withColumn("n", size)
+    if rows.where(F.col("n") > most).limit(1).count():
+        level = stored(rows, "xy-cut")
+        whole = []
+        while level.where(F.col("n") > most).limit(1).count():
+            small.append(level.where(F.col("n") <= most).drop("n"))
+            large = _islands(level.where(F.col("n") > most).drop("n"), key, "y1", "y2").withColumnsRenamed({"island": "row", "islands": "rows"})
+            large = stored(_islands(large, key, "x1", "x2"), "xy-cut")
+            leaf = (F.col("rows") == 1) & (F.col("islands") == 1)
+            whole.append(large.where(leaf).select(*boxes.columns))
+            number = F.when(F.col("rows") > 1, F.col("row")).otherwise(F.least(F.col("island"), F.lit(1)))
+            parted = large.where(~leaf).withColumn("path", F.concat("path", F.lpad(F.hex(number), 8, "0"))).select(*boxes.columns)
+            level = stored(parted.withColumn("n", size), "xy-cut")
+        small.append(level.drop("n"))
+        rows = reduce(DataFrame.unionByName, small)
+    parts = rows.groupBy(*key).agg(F.collect_list(F.struct("y1", "x1", "id", "y2", "x2", "shape")).alias("boxes"))
+    placed = parts.select(*key, F.posexplode(cut_order(F.col("boxes"))).alias("at", "box")).select(*key, "at", F.col("box.shape").alias("shape"))
+    if whole:
+        order = F.row_number().over(Window.partitionBy(*key).orderBy("y1", "x1", "id")) - 1
+        placed = placed.unionByName(reduce(DataFrame.unionByName, whole).select(*key, order.alias("at"), "shape"))
+    if whole is None:
+        position = F.col("at")
+    else:
+        position = F.row_number().over(Window.partitionBy("slide").orderBy("path", "at")) - 1
+    return placed.select("shape", position.cast("long").alias("position")).select("shape.*", "position")
 
 
 def word_lines(words: DataFrame, by: str) -> DataFrame:
-    """Words with `line`: the first line whose moving centre is within max(3, 0.55 upper median height). words: word_id, top, bottom, x0."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["top", "x0", "word_id"], ignore_index=True)
-        heights = np.sort(np.maximum(1.0, rows["bottom"] - rows["top"]))
-        near = max(3.0, 0.55 * heights[len(heights) // 2])
-        centre = ((rows["top"] + rows["bottom"]) / 2).to_numpy()
-        sums: list[float] = []
-        counts: list[int] = []
-        found = []
-        for c in centre:
-            at = next((i for i in range(len(sums)) if abs(c - sums[i] / counts[i]) <= near), len(sums))
-            if at == len(sums):
-                sums.append(0.0)
-                counts.append(0)
-            sums[at] += c
-            counts[at] += 1
-            found.append(at)
-        rank = np.argsort(np.argsort(np.array(sums) / np.array(counts), kind="stable"))
-        return rows.assign(line=rank[found].astype(np.int64), median_height=float(heights[len(heights) // 2]))
-
-    schema = T.StructType([*words.schema.fields, T.StructField("line", T.LongType()), T.StructField("median_height", T.DoubleType())])
-    return _by_page(words, by, run, schema)
+    """Words with `line`: the first line whose moving centre is within max(3, 0.55 upper median height). words: word_id, top, bottom, x0.
+
+    Words go by top, x0 and word_id. Where all centres that follow are further below all before than that, no line goes on; between
+    such places few words are left, and one fold finds the lines that are open among them.
+    """
+    height = F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))
+    place = [F.col(by).alias("page"), F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), F.col("word_id").alias("key")]
+    rows = words.select(*place, height.alias("height"), ((F.col("top") + F.col("bottom")) / 2).alias("centre"), F.struct(*words.columns).alias("word"))
+    usual = upper_median(rows, ["page"], "height").select(F.col("page").alias("of"), F.col("upper_median").alias("median_height"))
+    rows = rows.join(usual, F.col("page").eqNullSafe(F.col("of"))).withColumn("near", F.greatest(F.lit(3.0), F.col("median_height") * 0.55))
+    order = Window.partitionBy("page").orderBy("top", "x0", "key")
+    before, after = F.max("centre").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.min("centre").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("before", before).withColumn("after", after)
+    rows = rows.withColumn("part", F.sum(F.when(F.col("after") - F.col("before") <= F.col("near"), 0).otherwise(1)).over(order))
+    parts = rows.groupBy("page", "part", "median_height", "near").agg(_sorted(F.collect_list(F.struct("top", "x0", "key", "centre", "word")), "top", "x0", "key").alias("words"))
+    start = F.struct(F.array().cast("array<struct<sum:double,n:int>>").alias("lines"), F.array().cast("array<int>").alias("found"))
+
+    def step(s: Column, w: Column) -> Column:
+        close = F.transform(s["lines"], lambda x, i: F.when(F.abs(w["centre"] - x["sum"] / x["n"]) <= F.col("near"), i))
+        one = F.struct(w["centre"].alias("sum"), F.lit(1).alias("n"))
+
+        def put(at: Column) -> Column:
+            more = F.transform(s["lines"], lambda x, i: F.when(i == at, F.struct((x["sum"] + w["centre"]).alias("sum"), (x["n"] + 1).alias("n"))).otherwise(x))
+            lines = F.when(at < F.size(s["lines"]), more).otherwise(F.concat(s["lines"], F.array(one)))
+            return F.struct(lines.alias("lines"), F.concat(s["found"], F.array(at)).alias("found"))
+
+        return t.let(F.coalesce(F.array_min(close), F.size(s["lines"])), put)
+
+    lined = parts.withColumn("made", F.aggregate("words", start, step))
+    lined = lined.select("page", "part", "median_height", "made", F.posexplode("words").alias("at", "w"))
+    number = F.element_at("made.found", F.col("at") + 1)
+    line = F.element_at("made.lines", number + 1)
+    lined = lined.select("page", "part", "median_height", F.col("w.word").alias("word"), number.alias("number"), (line["sum"] / line["n"]).alias("mean"))
+    rank = F.dense_rank().over(Window.partitionBy("page").orderBy("mean", "part", "number")) - 1
+    return lined.select("word", rank.cast("long").alias("line"), "median_height").select("word.*", "line", "median_height")
 
 
 def regions(words: DataFrame, by: str) -> DataFrame:
@@ -310,21 +379,3 @@ def regions(words: DataFrame, by: str) -> DataFrame:
     place = F.when(~F.col("two"), 0).when((F.col("side") == 1) & (F.col("top") > F.col("top_of")), 4).otherwise(F.col("side"))
     rows = rows.withColumn("place", place)
     return rows.select(by, F.row_number().over(Window.partitionBy(by).orderBy("place", "top", "x0")).alias("position"), "x0", "top", "x1", "bottom", "text")
-
-
-def aligned_run(rows: DataFrame, by: str, tolerance: float = 10.0) -> DataFrame:
-    """The longest run of rows (three at least) whose columns (three at least) stand where the run's first row has them. rows: by, top, starts (array)."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("top", ignore_index=True)
-        best: tuple[int, int] = (0, 0)
-        begin, reference = 0, None
-        for i, starts in enumerate([*page["starts"], []]):
-            same = reference is not None and len(starts) >= 3 and abs(len(starts) - len(reference)) <= 1 and all(abs(a - b) <= 2 * tolerance for a, b in zip(starts, reference, strict=False))
-            if not same:
-                if reference is not None and i - begin > best[1] - best[0]:
-                    best = (begin, i)
-                begin, reference = i, starts if len(starts) >= 3 else None
-        return page.iloc[slice(*best)] if best[1] - best[0] >= 3 else page.iloc[:0]
-
-    return _by_page(rows, by, run, rows.schema)

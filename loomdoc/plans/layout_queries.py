@@ -128,15 +128,58 @@ def column_centres(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("p_brand", F.posexplode(layout.column_centres(F.col("x"), 3.0)).alias("column", "centre")).select("p_brand", "column", F.round("centre", 6).alias("centre"))
 
 
-@query()
+# A part is a list of boxes and a path; what a free row or else the first free column parts goes on as parts of their own.
+_CUTS = "list_filter(range(2, len(b) + 1), lambda i: b[i].{0} >= list_max(list_transform(b[1:i - 1], lambda x: x.{1})))"
+_XY = f"""WITH RECURSIVE shapes AS (SELECT {{name}} AS slide, {{id}} AS id, {{x}}::DOUBLE AS x1, {{y}}::DOUBLE AS y1, {{x}}::DOUBLE + {{w}} AS x2, {{y}}::DOUBLE + {{h}} AS y2 FROM {{table}}),
+parts AS (
+  SELECT slide, '' AS path, list({{{{'y1': y1, 'x1': x1, 'id': id, 'y2': y2, 'x2': x2}}}}) AS b, false AS done FROM shapes GROUP BY slide
+  UNION ALL
+  SELECT slide, path || lpad(u.k::VARCHAR, 5, '0'), b[cuts[u.k]:coalesce(cuts[u.k + 1] - 1, len(b))], done FROM (
+    SELECT slide, path, CASE WHEN len(down) > 0 OR len(across) = 0 THEN b ELSE c END AS b, len(down) + len(across) = 0 AS done, [1] || CASE WHEN len(down) > 0 THEN down ELSE across[1:1] END AS cuts FROM (
+      SELECT slide, path, b, {_CUTS.format("y1", "y2")} AS down, c, {_CUTS.format("x1", "x2").replace("b[", "c[").replace("len(b)", "len(c)")} AS across
+      FROM (SELECT slide, path, list_sort(b) AS b, list_transform(list_sort(list_transform(b, lambda x: {{{{'x1': x.x1, 'id': x.id, 'box': x}}}})), lambda x: x.box) AS c FROM parts WHERE NOT done)
+    )
+  ), unnest(range(1, len(cuts) + 1)) AS u(k)
+), leaves AS (SELECT slide, path, unnest(b) AS x FROM parts WHERE done)
+SELECT slide, x.id AS shape_id, (row_number() OVER (PARTITION BY slide ORDER BY path, x.y1, x.x1, x.id) - 1)::BIGINT AS position FROM leaves"""
+
+
+@query(_XY.format(name="p_brand || '/' || p_size", id="p_partkey", x="p_partkey * 37 % 600", y="p_partkey * 91 % 400", w=40, h=15, table="part"))
 def xy_cut(spark: SparkSession, root: str) -> DataFrame:
     """Parts of a brand and size as shapes of a slide."""
     x, y = (F.col("p_partkey") * 37 % 600).cast("double"), (F.col("p_partkey") * 91 % 400).cast("double")
     rows = table(spark, root, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("slide"), F.col("p_partkey").alias("shape_id"), x.alias("x1"), y.alias("y1"), (x + 40).alias("x2"), (y + 15).alias("y2"))
-    return layout.xy_cut(rows, "slide")
-
-
-@query()
+    return layout.xy_cut(rows, "slide").select("slide", "shape_id", "position")
+
+
+# Lines of a page, one word after the other: sums and numbers of the lines so far, and the line of each word.
+_LINES = """WITH RECURSIVE words AS ({words}),
+usual AS (SELECT page, list(greatest(1.0, bottom - top) ORDER BY greatest(1.0, bottom - top))[count(*) // 2 + 1] AS median_height FROM words GROUP BY page),
+pages AS (SELECT page, median_height, greatest(3.0, 0.55::DOUBLE * median_height) AS near, list({{'id': word_id, 'c': (top + bottom) / 2}} ORDER BY top, x0, word_id) AS w FROM words JOIN usual USING (page) GROUP BY page, median_height),
+walk AS (
+  SELECT page, 0 AS i, []::DOUBLE[] AS sums, []::INT[] AS ns, []::INT[] AS found FROM pages
+  UNION ALL
+  SELECT page, i + 1, CASE WHEN spot > len(sums) THEN list_append(sums, c) ELSE list_transform(sums, lambda x, k: CASE WHEN k = spot THEN x + c ELSE x END) END,
+    CASE WHEN spot > len(ns) THEN list_append(ns, 1) ELSE list_transform(ns, lambda x, k: CASE WHEN k = spot THEN x + 1 ELSE x END) END, list_append(found, spot)
+  FROM (SELECT walk.*, w[i + 1].c AS c, coalesce(list_filter(range(1, len(sums) + 1), lambda k: abs(w[i + 1].c - sums[k] / ns[k]) <= near)[1], len(sums) + 1)::INT AS spot FROM walk JOIN pages USING (page) WHERE i < len(w))
+), ends AS (SELECT walk.*, w, median_height FROM walk JOIN pages USING (page) WHERE i = len(w)),
+placed AS (SELECT page, w[u.k].id AS word_id, found[u.k] AS l, sums[found[u.k]] / ns[found[u.k]] AS mean, median_height FROM ends, unnest(range(1, len(w) + 1)) AS u(k)),
+lined AS (SELECT page, word_id, (dense_rank() OVER (PARTITION BY page ORDER BY mean, l) - 1)::BIGINT AS line, median_height FROM placed)"""
+
+
+_RECOGNISED = "SELECT o_custkey AS page, o_orderkey AS word_id, o_orderpriority AS text, (o_orderkey * 37 % 500)::DOUBLE AS x0, (o_orderkey * 13 % 60 * 14)::DOUBLE AS top, (o_orderkey * 37 % 500)::DOUBLE + 30 AS x1, (o_orderkey * 13 % 60 * 14)::DOUBLE + 10 AS bottom FROM orders"
+
+
+@query(f"""{_LINES.format(words=_RECOGNISED)},
+reach AS (SELECT words.*, line, median_height, max(x1) OVER (PARTITION BY page, line ORDER BY words.x0, words.x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words JOIN lined USING (page, word_id)),
+parted AS (SELECT *, sum(CASE WHEN x0 - reach > greatest(40.0, median_height * 4) THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS g FROM reach),
+grouped AS (SELECT page, line, g, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, string_agg(text, ' ' ORDER BY x0, x1, text) AS text FROM parted GROUP BY page, line, g),
+gaps AS (SELECT *, count(*) OVER p AS n, greatest(1.0, max(x1) OVER p - min(x0) OVER p) AS width, row_number() OVER q AS spot, lead(x0) OVER q AS next FROM grouped WINDOW p AS (PARTITION BY page), q AS (PARTITION BY page ORDER BY x0, top, g)),
+best AS (SELECT page, max({{'gap': next - x0, 'spot': spot, 'divider': (x0 + next) / 2}}) FILTER (next IS NOT NULL) AS b FROM gaps GROUP BY page),
+sides AS (SELECT gaps.*, b, CASE WHEN x0 < b.divider AND b.divider < x1 THEN 1 WHEN (x0 + x1) / 2 < b.divider THEN 2 ELSE 3 END AS side FROM gaps JOIN best USING (page)),
+twos AS (SELECT *, coalesce(n >= 4 AND b.gap >= width * 0.25::DOUBLE AND b.spot >= 2 AND n - b.spot >= 2, false) AND count(*) FILTER (side = 2) OVER p >= 2 AND count(*) FILTER (side = 3) OVER p >= 2 AS two, min(top) FILTER (side > 1) OVER p AS first FROM sides WINDOW p AS (PARTITION BY page)),
+places AS (SELECT *, CASE WHEN NOT two THEN 0 WHEN side = 1 AND top > first THEN 4 ELSE side END AS place FROM twos)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY place, top, x0)::INT AS position, x0, top, x1, bottom, text FROM places""")
 def ocr_regions(spark: SparkSession, root: str) -> DataFrame:
     """Orders of a customer as recognised words of a page."""
     x, y = (F.col("o_orderkey") * 37 % 500).cast("double"), (F.col("o_orderkey") * 13 % 60 * 14).cast("double")

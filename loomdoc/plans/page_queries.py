@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.operators import layout, pages
+from loomdoc.plans.layout_queries import _LINES
 from loomdoc.plans.registry import query
 from loomdoc.session import table
 
@@ -152,7 +153,7 @@ def columnar_table(spark: SparkSession, root: str) -> DataFrame:
     return pages.columnar_tables(words, ["page"]).select("page", "row", "top", F.array_join("cells", "|").alias("cells"))
 
 
-@query()
+@query(_LINES.format(words=f"SELECT * FROM {_WORDS} w") + " SELECT page, word_id, line, median_height FROM lined")
 def word_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines by a moving centre, as recognised words have them."""
     return layout.word_lines(_words(spark, root), "page").select("page", "word_id", "line", "median_height")

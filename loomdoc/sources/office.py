@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from loomdoc.functions import text as t
-from loomdoc.operators.layout import cut_order
 
 #: A converter gets a file's bytes and the stem of its name, and gives Markdown.
 Converter = Callable[[bytes, str], str]
@@ -130,6 +129,41 @@ def docx_to_markdown(data: bytes, stem: str) -> str:
     return "\n\n".join(out if len(out) > 1 else [*out, "_This document has no text._"])
 
 
+def _parted(boxes: list[tuple], order: list[int], start: int, end: int, all_gaps: bool) -> list[list[int]]:
+    """The boxes by their start on an axis, parted at its gaps, or at the first one only."""
+    by = sorted(order, key=lambda i: boxes[i][start])
+    parts: list[list[int]] = [[by[0]]]
+    reach = boxes[by[0]][end]
+    for k, i in enumerate(by[1:], 1):
+        if boxes[i][start] >= reach:
+            if not all_gaps:
+                return [by[:k], by[k:]]
+            parts.append([])
+        parts[-1].append(i)
+        reach = max(reach, boxes[i][end])
+    return parts
+
+
+def cut_order(boxes: list[tuple], order: list[int]) -> list[int]:
+    """The order of `layout.xy_cut` for the boxes of a slide in a file."""
+    out: list[int] = []
+    todo = [order]
+    while todo:
+        some = todo.pop()
+        if len(some) < 2:
+            out += some
+            continue
+        # what lies between two free rows has none any more, but a part of columns may have
+        parts = _parted(boxes, some, 1, 3, True)
+        if len(parts) == 1:
+            parts = _parted(boxes, parts[0], 0, 2, False)
+        if len(parts) == 1:
+            out += sorted(parts[0], key=lambda i: (boxes[i][1], boxes[i][0]))
+        else:
+            todo += reversed(parts)
+    return out
+
+
 class _Deck:
     """Slides of a presentation: shapes in reading order, as Markdown and as pictures."""
 

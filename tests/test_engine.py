@@ -140,12 +140,6 @@ def test_columns_of_recognised_words(spark):
     assert [r["text"] for r in layout.regions(words, "page").orderBy("position").collect()] == ["L0", "L1", "L2", "R0", "R1", "R2"]
 
 
-def test_aligned_rows_make_a_table(spark):
-    rows = [("p", 0.0, [1.0]), ("p", 1.0, [0.0, 50.0, 90.0]), ("p", 2.0, [3.0, 55.0, 92.0]), ("p", 3.0, [1.0, 49.0, 90.0, 120.0]), ("p", 4.0, [300.0, 400.0, 500.0]), ("q", 0.0, [0.0, 1.0, 2.0])]
-    table = spark.createDataFrame(rows, "page string, top double, starts array<double>")
-    assert sorted((r["page"], r["top"]) for r in layout.aligned_run(table, "page").collect()) == [("p", 1.0), ("p", 2.0), ("p", 3.0)]
-
-
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as file:
@@ -202,9 +196,9 @@ def test_slides_have_tables_pictures_groups_and_levels(spark):
 
 def test_many_stacked_shapes_are_cut():
     boxes = [(0.0, 2.0 * i, 1.0, 2.0 * i + 1) for i in range(3000)]
-    assert layout.cut_order(boxes, list(range(2999, -1, -1))) == list(range(3000))
+    assert office.cut_order(boxes, list(range(2999, -1, -1))) == list(range(3000))
     columns = [(2.0 * i, 0.0, 2.0 * i + 1, 5.0) for i in range(300)]
-    assert layout.cut_order(columns, list(range(299, -1, -1))) == list(range(300))
+    assert office.cut_order(columns, list(range(299, -1, -1))) == list(range(300))
 
 
 def test_files_that_arrive_become_chunks_once(spark, tmp_path):
