@@ -30,6 +30,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,9 +43,10 @@ from loomdoc.llm.tokens import _byte_letters, _kind
 
 WINDOW = 1 << 15  # characters that are split at a time
 STEP = 256  # symbols that come into a window before it is merged again
-SHORT, MEMORY = 64, 1 << 16  # characters of runs and words that are remembered, and how many
+SHORT, MEMORY = 64, 200_000  # characters of runs and words that are remembered, and how many
 FEW = 24  # symbols up to which the least pair is looked for anew each time
-ROWS = 256  # texts that are taken at a time
+ROWS = 512  # texts whose new words are merged together
+WORDS = 4096  # new words that are merged together at most
 IDS = 1 << 14  # ids that are decoded at a time
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -52,6 +54,7 @@ _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 ENDINGS = ("'re", "'ve", "'ll", "'s", "'t", "'m", "'d")
 
 _ASCII = re.compile("|".join([*ENDINGS, "[a-z]+", "[0-9]", "[^a-z0-9]+"]))
+_KINDS = re.compile("l+|n|o+")
 
 Merge = tuple[str, str]
 
@@ -140,14 +143,83 @@ class _Memory(dict):
         found = self._elder.get(name)
         if found is None:
             found = self._find(name)
+        self.keep(name, found)
+        return found
+
+    def has(self, name: str) -> bool:
+        return name in self or name in self._elder
+
+    def keep(self, name: str, ids: bytes) -> None:
         if len(name) <= SHORT:
             if len(self) >= MEMORY:
                 self._elder = dict(self)
                 self.clear()
-            self[name] = found
+            self[name] = ids
+
+
+class _Kinds(dict):
+    """Class signs by code point: l for letters, n for numbers, s for white space, o for others."""
+
+    def __init__(self, kind_of):
+        self._kind_of = kind_of
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = self._kind_of(chr(code))[0]
         return found
 
 
+class _Together:
+    """The merges as arrays, to merge many short words at a time."""
+
+    def __init__(self, merges: list[Merge], ids: dict[str, int], letters: list[str], suffix: str):
+        left, right = (np.array([ids[m[i]] for m in merges], np.int64) for i in range(2))
+        keys = left << 32 | right
+        order = np.argsort(keys)
+        self._keys, self._ranks = keys[order], order
+        self._merged = np.array([ids[a + b] for a, b in merges], np.int64)
+        self._inner, self._last = (np.array([ids[c + end] for c in letters], np.int64) for end in ("", suffix))
+        self._none = len(merges)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (right >= 0), self._ranks[at], self._none)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: in every round, each word's least pair is merged, the leftmost of equal ones."""
+        data = [w.encode() for w in words]
+        sizes = np.array([len(d) for d in data])
+        rows = np.full((len(data), int(sizes.max()) + 1), -1, np.int64)
+        filled = np.arange(rows.shape[1]) < sizes[:, None]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        rows[filled] = self._inner[raw]
+        rows[np.arange(len(data)), sizes - 1] = self._last[raw[np.cumsum(sizes) - 1]]
+        ranks = self._rank(rows[:, :-1], rows[:, 1:])
+        going = np.arange(len(data))
+        while len(going):
+            here, found = rows[going], ranks[going]
+            at = found.argmin(axis=1)
+            least = found[np.arange(len(going)), at]
+            some = least < self._none
+            going, here, found, at, least = going[some], here[some], found[some], at[some], least[some]
+            if not len(going):
+                break
+            k, place = np.arange(len(going)), np.arange(here.shape[1])
+            here = np.take_along_axis(here, np.minimum(place + (place > at[:, None]), here.shape[1] - 1), 1)  # the last is always free
+            here[k, at] = self._merged[least]
+            place = place[:-1]
+            found = np.take_along_axis(found, np.minimum(place + (place >= at[:, None]), len(place) - 1), 1)
+            found[:, -1] = self._none
+            found[k, at] = self._rank(here[k, at], here[k, at + 1])
+            before = np.flatnonzero(at > 0)
+            found[before, at[before] - 1] = self._rank(here[before, at[before] - 1], here[before, at[before]])
+            rows[going], ranks[going] = here, found
+        kept = rows >= 0
+        ends = 4 * np.cumsum(kept.sum(axis=1))
+        flat = rows[kept].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 class Vocabulary:
     """Merges, ids and character classes of a vocabulary file of words in lower case, and what a process remembers of them."""
 
@@ -173,7 +245,9 @@ class Vocabulary:
         self.texts = {i: as_bytes(t) for t, i in (model["vocab"] | self.controls).items()}
         self._normalizer, self._splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
         self._classes: dict[str, str] = {}
+        self._kinds = _Kinds(self.kind_of)
         self._symbols: dict[str, list[str]] = {}
+        self._together = _Together(merges, model["vocab"], letters, self.suffix)
         self.words = _Memory(lambda word: self.tokens(self.symbols(word), True))
         self.runs = _Memory(self._run)
         controls = "|".join(re.escape(c) for c in sorted(self.controls, key=len, reverse=True))
@@ -201,11 +275,35 @@ class Vocabulary:
         return b"".join(self.ids[t] for t in merged(symbols, self.ranks))
 
     def _run(self, run: str) -> bytes:
-        if run.isascii() and run.isprintable() and len(run) <= SHORT:  # composed already, and its words by one pattern
-            return b"".join(map(self.words.__getitem__, _ASCII.findall(run.lower())))
+        if len(run) <= SHORT:
+            return b"".join(map(self.words.__getitem__, self._split(run)))
         machine = Transducer(self)
         return machine.feed(run) + machine.finish()
 
+    def _split(self, run: str) -> list[str]:
+        """The words of a short run."""
+        if run.isascii() and run.isprintable():  # composed already, and its words by one pattern
+            return _ASCII.findall(run.lower())
+        whole = self.normal(run)
+        if "'" not in whole:
+            return [whole[m.start() : m.end()] for m in _KINDS.finditer(whole.translate(self._kinds))]
+        machine = _Splitter(self)
+        machine.feed(run)
+        machine.finish()
+        return machine.words
+
+    def prepare(self, texts: list[str]) -> None:
+        """Remember the short runs and words of the texts; the words that are new are merged together."""
+        new = {run for text in texts if len(text) <= WINDOW for run in _RUN.findall(text) if len(run) <= SHORT and not self.runs.has(run)}
+        split = {run: self._split(run) for run in new}
+        words = sorted({w for ws in split.values() for w in ws if not self.words.has(w)}, key=len)
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            for word, ids in zip(some, self._together(some), strict=True):
+                self.words.keep(word, ids)
+        for run, ws in split.items():
+            self.runs.keep(run, b"".join(map(self.words.__getitem__, ws)))
+
 
 class Transducer:
     """Text pieces in, ids (unsigned 32-bit, little-endian) of the tokens that have become final out."""
@@ -261,10 +359,10 @@ class Transducer:
                 self._held = text[at:]
                 return
             elif kind == "other" and (ending := next((e for e in ENDINGS if text.startswith(e, at)), "")):
-                yield self._v.words[ending]
+                yield self._ids(ending)
                 at += len(ending)
             elif kind == "number":
-                yield self._v.words[text[at]]
+                yield self._ids(text[at])
                 at += 1
             else:
                 self._open = kind
@@ -304,7 +402,23 @@ class Transducer:
         self._open, self._word, self._symbols = "", [], None
         if symbols is not None:
             return self._v.tokens(symbols, True)
-        return self._v.words[word] if word else b""
+        return self._ids(word) if word else b""
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a whole word."""
+        return self._v.words[word]
+
+
+class _Splitter(Transducer):
+    """The words of a short run instead of their ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary)
+        self.words: list[str] = []
+
+    def _ids(self, word: str) -> bytes:
+        self.words.append(word)
+        return b""
 
 
 def _pieces(v: Vocabulary, text: str, begin: int, stop: int) -> Iterator[bytes]:
@@ -379,6 +493,7 @@ def encoded(text: str | Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(path)
         for texts in batches:
+            v.prepare(list(texts))
             yield pd.Series([b"".join(ids_of(v, x)) for x in texts], dtype=object)
 
     return run(text_or_empty(text))
@@ -404,7 +519,9 @@ def round_trip(documents: DataFrame, path: str, key: str = "doc_id", text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [b"".join(ids_of(v, x)) for x in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                v.prepare(texts)
+                ids = [b"".join(ids_of(v, x)) for x in texts]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([text_of(v, x) for x in ids], pa.string())], names=["key", "ids", "decoded"])
 
     kind = documents.schema[key].dataType
