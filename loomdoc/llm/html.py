@@ -1,7 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of tokens: words score positive, tags negative, and what stands in elements that are never content
-(menus, forms, adverts, comments ...) counts as tags do. The weights are learned from labelled pages: pages which mark
+(menus, forms, adverts, comments ...) counts as tags do. Such elements are told by their kind, or by a class, id or role all of
+whose pieces say so; a name that only has such a piece is a feature, whose weight is learned. Whatever an element is named,
+the one with the page's principal content is content, and so are those around it. The weights are learned from labelled pages: pages which mark
 their content by an `article` or `main` element are the labels, a bounded sample of the distinct ones (`max_pages`, the
 smallest hashes) is read, and a structured perceptron moves the weights until the best-scoring region is the marked one.
 The mark is the label and no feature: no weight is learned for it, and it scores as an unknown tag. The linear scan for
@@ -32,10 +34,16 @@ RAW = frozenset("script style noscript template textarea title iframe xmp noembe
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del wbr big".split())
 NEVER = frozenset("head nav header footer aside form button select svg canvas object video audio dialog menu script style noscript template textarea title iframe".split())
-#: Words of class, id and role that name what is never content.
+#: Names of class, id and role, or pieces of them, that name what is never content.
 AROUND = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices
  alert popup modal overlay newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs header footer sidebar aside widget comment
  comments reply replies disqus share sharing social related recommended pagination pager search login contentinfo complementary""".split())
+#: Pieces that say nothing by themselves, so that site-header is a header and with-sidebar no sidebar.
+NEUTRAL = frozenset("site page global primary secondary top bottom left right inner outer main list box bar block area wrap wrapper container section panel unit slot link links item items widget button buttons icon icons form the".split())
+#: Names of what readers write, and of what a paragraph or heading has to be named to be none of the text.
+READERS = frozenset("comment comments reply replies disqus".split())
+PAID = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figure figcaption".split())
 CONTENT = frozenset(("article", "main"))
 
 _OPEN = re.compile(r"<(?:[!?]|/?[A-Za-z])")
@@ -44,6 +52,7 @@ _QUOTED = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*
 _PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PIECES = re.compile(r"[a-z]+")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"\S+")
 
 
@@ -57,12 +66,85 @@ class Token:
     mark: str = ""  # the name of a content element, with a slash where it ends
 
 
+def _named(attributes: str) -> Iterator[list[str]]:
+    """The pieces of every name in class, id and role."""
+    for value in _NAMED.findall(attributes) if "=" in attributes else ():
+        for name in value.strip("\"'").split():
+            yield _PIECES.findall(_HUMPS.sub("-", name).lower())
+
+
 def _aside(name: str, attributes: str) -> bool:
+    """Whether an element is never content: by what it is, or by a name of which every piece says so or nothing."""
     if name in NEVER:
         return True
-    if name in ("html", "body") or "=" not in attributes:
+    if name in ("html", "body"):
         return False
-    return any(not AROUND.isdisjoint(_PIECES.findall(m.lower())) for m in _NAMED.findall(attributes))
+    words = PAID if name in TEXTUAL else AROUND
+    return any(not words.isdisjoint(p) and words.union(NEUTRAL).issuperset(p) for p in _named(attributes))
+
+
+def _readers(name: str, attributes: str) -> bool:
+    return any(not READERS.isdisjoint(p) and READERS.union(NEUTRAL).issuperset(p) for p in _named(attributes))
+
+
+Tag = tuple[int, int, str, bool, str]
+
+
+def _parsed(page: str) -> list[Tag]:
+    """The page's tags; one whose content is no markup ends where that does."""
+    out = []
+    reader = tags(page)
+    tag = next(reader, None)
+    while tag:
+        start, end, name, close, attributes = tag
+        if name in RAW and not close:
+            closing = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, end)
+            end = closing.end() if closing else len(page)
+        out.append((start, end, name, close, attributes))
+        try:
+            tag = reader.send(end)
+        except StopIteration:
+            tag = None
+    return out
+
+
+def _trusted(page: str, parsed: list[Tag]) -> frozenset[int]:
+    """Where the elements begin that are content whatever they are named: those around the page's principal content.
+
+    That is the content element with the most words, readers' comments aside, if it has a third of the page's words; and a
+    form with more than half of them is the page's frame.
+    """
+    if not any(name in CONTENT or name == "form" for _, _, name, _, _ in parsed):
+        return frozenset()
+    words = at = most = 0
+    open_: list[tuple[int, str, int, bool]] = []  # begin, name, words before, whether readers write there
+    named: Counter[str] = Counter()
+    best: list[int] = []
+    forms: list[tuple[int, int]] = []
+
+    def closed() -> str:
+        nonlocal most, best
+        start, name, before, readers = open_.pop()
+        named[name] -= 1
+        if name in CONTENT and not readers and words - before > most:
+            most, best = words - before, [start, *[s for s, *_ in open_]]
+        if name == "form":
+            forms.append((start, words - before))
+        return name
+
+    for start, end, name, close, attributes in parsed:
+        words += len(page[at:start].split())
+        at = end
+        if close and named[name]:
+            while closed() != name:
+                pass
+        elif name and not close and name not in VOID and name not in RAW and name not in INLINE and not attributes.endswith("/"):
+            open_.append((start, name, words, bool(open_ and open_[-1][3]) or _readers(name, attributes)))
+            named[name] += 1
+    words += len(page[at:].split())
+    while open_:
+        closed()
+    return frozenset([*(best if 3 * most >= words else ()), *(s for s, n in forms if 2 * n > words)])
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -89,6 +171,12 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         at = (yield tag) or tag[1]
 
 
+def _feature(name: str, attributes: str) -> str:
+    """The tag, with the pieces of its names that are words of AROUND: each such pair has a weight of its own."""
+    found = sorted({x for p in _named(attributes) for x in p if x in AROUND})
+    return f"{name}.{found[0]}" if found else name
+
+
 def tokens(page: str) -> list[Token]:
     """Runs of words and tags in page order. Marks of the content are tokens of the kind `mark`, which no weight is learned for."""
     out: list[Token] = []
@@ -102,10 +190,9 @@ def tokens(page: str) -> list[Token]:
             count = len(text.split())
             out.append(Token("around" if around else "word", text, False, count, bool(around)))
 
-    reader = tags(page)
-    tag = next(reader, None)
-    while tag:
-        start, end, name, close, attributes = tag
+    parsed = _parsed(page)
+    trusted = _trusted(page, parsed)
+    for start, end, name, close, attributes in parsed:
         words(at, start)
         at = end
         block = name not in INLINE
@@ -121,18 +208,11 @@ def tokens(page: str) -> list[Token]:
             else:
                 out.append(Token("around" if around else "mark" if mark else "/" + name, None, block, 1, bool(around), mark))
         else:
-            aside = bool(around) or _aside(name, attributes)
-            out.append(Token("around" if aside else "mark" if mark else name, None, block or name == "br", 1, aside, "" if aside else mark))
-            if name in RAW:
-                closing = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else n
-            elif aside and name not in VOID and not attributes.endswith("/"):
+            aside = bool(around) or start not in trusted and _aside(name, attributes)
+            out.append(Token("around" if aside else "mark" if mark else _feature(name, attributes), None, block or name == "br", 1, aside, "" if aside else mark))
+            if aside and name not in RAW and name not in VOID and not attributes.endswith("/"):
                 around.append(name)
                 opened[name] += 1
-        try:
-            tag = reader.send(at)
-        except StopIteration:
-            tag = None
     words(at, n)
     return out
 

@@ -212,8 +212,8 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
 
 
 def test_mixing(spark, docs, none):
-    mixed = mixing.mix(docs, copy="n_copy", order="place")
-    assert mixed.columns == [*docs.columns, "n_copy", "place"] and mixing.mix(none, copy="a", order="b").count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "copy_", "shuffle_key"] and mixing.mix(none, copy="a", order="b").count() == 0
     rows = spark.range(4000).selectExpr("id doc_id", "cast(id as string) text", "if(id % 10 < 7, 'big', if(id % 10 < 9, 'mid', null)) source")
     shares = {r["source"]: r["count"] for r in mixing.mix(rows, weights={"big": 1, "mid": 2, None: 1}, total=8000).groupBy("source").count().collect()}
     assert abs(shares["mid"] - 4000) < 400 and abs(shares["big"] - 2000) < 250 and abs(shares[None] - 2000) < 250
@@ -396,3 +396,58 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         assert (rows.count() == 0) == (table is none)
     docs.write.parquet(f"{folder}/documents.parquet")
     assert os.path.isdir(f"{folder}/documents.parquet") and corpus_pipeline.run(spark, folder).count() > 0
+
+
+TEXT = "The quick brown fox jumps over the lazy dog and runs on through the quiet wood. " * 4
+PAGES = [
+    ('<div class="layout with-sidebar"><article><p>{0}</p></article></div>', 1),
+    ('<article class="post comments-open"><p>{0}</p></article>', 1),
+    ('<main class="elementor-widget"><p>{0}</p></main>', 1),
+    ('<form id="aspnetForm"><article><p>{0}</p></article></form>', 1),
+    ('<form id="aspnetForm"><div><p>{0}</p></div></form>', 1),
+    ('<article><p>{0}</p><p class="promotion">{0}</p><p>{0}</p></article>', 3),
+    ('<div id="header"><main><p>{0}</p></main></div>', 1),
+    ('<article><p>{0}</p><div class="ad">buy now</div><p class="sponsored">and this</p><p>{0}</p></article>', 2),
+    ('<div id="siteHeader">site</div><nav>menu</nav><article><p>{0}</p></article><div class="comment-list"><article>I read it</article></div><footer>end</footer>', 1),
+    ('<article><p>{0}</p></article><section class="comments"><article><p>reader {0}</p><p>{0}</p></article></section>', 1),
+    ('<form class="search"><input> find</form><article><form>mail me</form><p>{0}</p></article><div class="site-footer">end</div>', 1),
+]
+
+
+@pytest.mark.parametrize(("page", "times"), PAGES)
+def test_names_of_elements(page, times):
+    whole = "<html><head><title>t</title></head><body>" + page.format(TEXT) + "</body></html>"
+    assert html.main_text(whole, html.start_weights()) == "\n\n".join([TEXT.strip()] * times)
+    learned = html.learn([whole] * 3)
+    assert html.main_text(whole, learned) == "\n\n".join([TEXT.strip()] * times)
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    rows = [(i, f"text {i}", "ab"[i % 2], 7, "k", "n") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, Shuffle_Key string, n string")
+    made = mixing.mix(table)
+    assert made.columns == [*table.columns, "copy_", "shuffle_key_"]
+    plain = mixing.mix(table.drop("copy", "Shuffle_Key"))
+    assert sorted((r["doc_id"], r["copy_"], r["shuffle_key_"]) for r in made.collect()) == sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in plain.collect())
+    assert {(r["copy"], r["Shuffle_Key"]) for r in made.collect()} == {(7, "k")}
+
+
+def test_fillers_of_many_groups():
+    for text, found in {
+        "GB29 NWBK 6016 1331 9268 19 and so on": "GB29 NWBK 6016 1331 9268 19",
+        "11 22 33 44 55 66 77 88 99 00 12 34, then": "11 22 33 44 55 66 77 88 99 00 12 34",
+        "NWBK 6016 1331 x": "NWBK 6016 1331",
+        "AB-12 THE cat": "AB-12",
+        "plain words 12": "plain",
+        "X-9 (12) 34.": "X-9 (12) 34",
+    }.items():
+        assert text[: pii.filler(text, 0)] == found
+    assert pii.filler("A1" + " B2" * 100_000, 0) == 300_002  # linear, whole
+
+
+def test_identifiers_of_many_groups_are_masked_whole(spark):
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'settings token = "{secret(i)}" end of it') for i in range(12)]
+    rows += [(50, "token = \"GB29 NWBK 6016 1331 9268 19\" end"), (51, 'token = "11 22 33 44 55 66 77 88 99 00 12 34" end')]
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id int, text string")).where("doc_id >= 50").collect()}
+    assert masked == {50: 'token = "[FOUND]" end', 51: 'token = "[FOUND]" end'}
