@@ -111,8 +111,17 @@ def mix(
     draws = F.transform(F.sequence(F.lit(1), OWN + "parts"), draw)
     counted = counted.withColumn(OWN + "n", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
     # an empty array ends a row without copies: a filter on the count would have it computed twice
-    copies = counted.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col(OWN + "n"))).alias(copy, OWN + "one"))
-    placed = copies.withColumn(order, uniform(F.lit(f"{seed}-order"), F.col(key), F.col(OWN + "name"), F.col(copy)))
-    spread = placed.drop(*[OWN + c for c in ("source", "parts", "sums", "name", "n", "one")])
+    nth, place = OWN + "nth", OWN + "place"
+    copies = counted.select("*", F.posexplode(F.array_repeat(F.lit(True), F.col(OWN + "n"))).alias(nth, OWN + "one"))
+    placed = copies.withColumn(place, uniform(F.lit(f"{seed}-order"), F.col(key), F.col(OWN + "name"), F.col(nth)))
+    spread = placed.select(*documents.columns, nth, place)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartitionById(partitions, F.floor(F.col(order) * partitions).cast("int")).sortWithinPartitions(order)
+    spread = spread.repartitionById(partitions, F.floor(F.col(place) * partitions).cast("int")).sortWithinPartitions(place)
+    taken = [c.lower() for c in documents.columns]
+    named = {}
+    for name, wanted in ((nth, copy), (place, order)):
+        while wanted.lower() in taken:
+            wanted += "_"
+        taken.append(wanted.lower())
+        named[name] = wanted
+    return spread.withColumnsRenamed(named)
