@@ -4,7 +4,7 @@ Seeds are the base kinds' matches (email, ip, card, phone) and secrets of a sure
 two and the three lexical tokens before a seed are lexical patterns; those with `support` distinct seeds are counted in all
 texts, and those of whose places a share of `least_share` has seeds are induced, so that what they extract grows as seeds
 do. A third pass over all texts takes everything that fills the place after an induced pattern: what stands up to the next
-white space, and where that has a digit, up to eight groups of digits more. Patterns, fillers and the fillers' shapes (runs
+white space, and where that has a digit or is a few capitals, all groups of digits and capitals behind it. Patterns, fillers and the fillers' shapes (runs
 of small letters, capitals and digits as one sign each) then score each other in Spark for some rounds: a pattern by the
 share of its fillers that identifiers make up, a shape likewise, and a filler by the patterns that it stands behind, all
 its places counted, moved by how much more or less often its shape is an identifier than fillers are on the whole. So a
@@ -51,7 +51,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _TOKEN = re.compile(r"""[^\s"'<>,;()\[\]{}|=:]+|["'<>,;()\[\]{}|=:]""")
 _DIGIT = re.compile("[0-9]")
 _FILLER = re.compile(r"""[^\s"'<>,;\[\]{}|=]+""")
-_GROUPS = re.compile(r"(?: [(]?[0-9][0-9().\-/]*+){1,8}")
+# groups with a digit, each with a group of capitals before it at most
+_GROUPS = re.compile(r"(?: (?:[A-Z]{1,6}+ )?[(]?[A-Z]{0,6}+[0-9][0-9A-Z().\-/]*+)++(?![^\W\d_])")
 _RUNS = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"))
 
 
@@ -144,12 +145,16 @@ def _array(rows: list, kind: T.StructType) -> pa.Array:
 
 
 def filler(text: str, start: int) -> int:
-    """Where the filler that begins at `start` ends: before white space, quotation marks and punctuation at its end."""
+    """Where the filler that begins at `start` ends: before white space, quotation marks and punctuation at its end.
+
+    A filler with a digit, or of a few capitals, goes on over all groups that follow it, one space between them, if they have
+    a digit or are a few capitals before a group that has one, however many they are.
+    """
     found = _FILLER.match(text, start)
     if not found:
         return start
     end = found.end()
-    if _DIGIT.search(found[0]) and (more := _GROUPS.match(text, end)):
+    if (_DIGIT.search(found[0]) or end - start <= 6 and found[0].isalpha() and found[0].isupper()) and (more := _GROUPS.match(text, end)):
         end = more.end()
     # a bracket at the end belongs to a filler that opens it
     loose = text.count(")", start, end) - text.count("(", start, end)
