@@ -66,10 +66,11 @@ _MORE = {c: f for c, f in _FOLDINGS.items() if len(f) > 1}
 
 def casefold(text: Column) -> Column:
     """Lower case with full case folding: sharp s as ss, final sigma as sigma, ligatures as letters."""
-    some = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _MORE.items()])
-    unfolded = F.aggregate(pairs, some, lambda x, p: F.replace(x, p["c"], p["f"]))
-    return F.when(some.rlike("[" + "".join(_MORE) + "]"), unfolded).otherwise(some)
+    some = F.replace(F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
+    rare = {c: f for c, f in _MORE.items() if c != "ß"}
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in rare.items()])
+    unfolded = lambda x: F.aggregate(pairs, x, lambda y, p: F.replace(y, p["c"], p["f"]))
+    return let(some, lambda x: F.when(x.rlike("[" + "".join(rare) + "]"), unfolded(x)).otherwise(x))
 
 
 def squeezed(text: Column) -> Column:

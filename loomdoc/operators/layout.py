@@ -106,7 +106,8 @@ def upper_median(values: DataFrame, by: list[str], column: str, hot: int = HOT)
 def repeated_margins(blocks: DataFrame, doc: str, page: str, least_pages: int = 3, share: float = 0.6, longest: int = 160) -> DataFrame:
     """Blocks without the short ones that stand first or last on most pages. blocks: doc, page, y1, x1, content."""
     w = Window.partitionBy(doc, page)
-    key = t.casefold(t.collapse(F.col("content")))
+    # folding never shortens a text, so that only short ones are folded
+    key = t.let(t.collapse(F.col("content")), lambda x: F.when(F.length(x) <= longest, t.casefold(x)))
     rows = blocks.withColumn("key", key).withColumn("up", F.row_number().over(w.orderBy("y1", "x1"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("y1"), F.desc("x1"))))
     margin = rows.where(((F.col("up") <= 2) | (F.col("down") <= 2)) & (F.col("key") != "") & (F.length("key") <= longest)).select(doc, page, "key").distinct()
     total = blocks.where(F.col(page).isNotNull()).groupBy(doc).agg(F.count_distinct(page).alias("pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdoc.plans import layout_queries, page_queries, store_queries, text_queries, vector_queries  # noqa: F401  they register
+from loomdoc.plans import layout_queries, page_queries, parse_queries, store_queries, text_queries, vector_queries  # noqa: F401  they register
 from loomdoc.plans.registry import QUERIES, SQL, Query
 
 

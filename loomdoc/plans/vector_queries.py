@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.functions import vector as v
@@ -164,17 +164,21 @@ def rag_answers(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("question_id", F.col("cleaned").alias("answer"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), "no_answer_reason")
 
 
-# Every benchmark text is a question; a document's keywords are its first words of over four letters, of the whole text.
-_LONG = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 4)"
-_KEYS = f"list_filter({_LONG}, lambda w, i: list_position({_LONG}, w) = i)[1:5]"
-_HITS = rf"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark), k AS (SELECT doc_id, source, {_KEYS} AS keys FROM documents),
+# Every benchmark text is a question; a document's keywords are the five words of over four letters that its whole text has most.
+_HITS = rf"""WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q FROM benchmark),
+w AS (SELECT doc_id, source, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: len(w) > 4)) AS w FROM documents),
+c AS (SELECT doc_id, source, w, row_number() OVER (PARTITION BY doc_id, source ORDER BY count(*) DESC, w) AS n FROM w GROUP BY doc_id, source, w QUALIFY n <= 5),
+k AS MATERIALIZED (SELECT doc_id, source, list(w) AS keys FROM c GROUP BY doc_id, source),
 s AS (SELECT item_id, doc_id, source, round(greatest(0, 1 - len(list_filter(keys, lambda x: contains(q, x))) / len(keys)), 3) AS distance FROM q, k WHERE len(keys) > 0),
 hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id)::INT AS rank FROM s WHERE distance <= 0.8 QUALIFY rank <= 5)"""
 
 
 def _keywords(spark: SparkSession, root: str) -> DataFrame:
-    words = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4)), 1, 5)
-    return table(spark, root, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), words.alias("keywords"))
+    rows = table(spark, root, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4).alias("words"))
+    counts = rows.select("chunk_id", "source_file", F.explode("words").alias("word")).groupBy("chunk_id", "source_file", "word").count()
+    rank = F.row_number().over(Window.partitionBy("chunk_id", "source_file").orderBy(F.desc("count"), "word"))
+    best = counts.withColumn("rank", rank).where("rank <= 5").groupBy("chunk_id", "source_file").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("best"))
+    return best.select("chunk_id", "source_file", F.transform("best", lambda x: x["word"]).alias("keywords"))
 
 
 def _hits(spark: SparkSession, root: str, filters: dict | None = None) -> DataFrame:
@@ -193,7 +197,7 @@ judged AS (SELECT b.item_id % 5 = 0 AS none, b.item_id % 11 = 0 AS error, CASE W
   FROM benchmark b LEFT JOIN found USING (item_id) LEFT JOIN documents d ON d.doc_id = b.item_id)
 SELECT count(*) AS cases, round(avg(passed::INT) FILTER (NOT none), 6) AS recall, round(avg(passed::INT) FILTER (none), 6) AS no_context_accuracy, round(avg(passed::INT), 6) AS pass_rate, count(*) FILTER (error) AS errors FROM judged""")
 def retrieval_eval(spark: SparkSession, root: str) -> DataFrame:
-    corpus = _keywords(spark, root).select("chunk_id", "source_file")
+    corpus = table(spark, root, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"))
     hits = _hits(spark, root).join(corpus, "chunk_id").withColumn("article_id", F.lit(None).cast("string"))
     found = evaluation.retrieved_sources(hits)
     expected = corpus.select(F.col("chunk_id").alias("question_id"), F.col("source_file").alias("expected"))

@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,13 +83,11 @@ def table(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * width) + " |", *map(line, rows[1:])])
 
 
-@register(".xlsx", ".xlsm")
-def xlsx_to_markdown(data: bytes, stem: str) -> str:
-    """Sheets as tables; blank rows are left out."""
+def xlsx_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    """Sheets of a workbook with their rows, all as wide as the widest; blank rows are left out, and sheets without any other."""
     with zipfile.ZipFile(io.BytesIO(data)) as file:
         shared = [_text(si) for si in _names(ET.fromstring(file.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in file.namelist() else []
         targets = _relations(file, "xl/workbook.xml")
-        out = [f"# {stem}"]
         for sheet in _names(ET.fromstring(file.read("xl/workbook.xml")), "sheet"):
             cells: dict[tuple[int, int], str] = {}
             for row_at, row in enumerate(_names(ET.fromstring(file.read(targets[_attribute(sheet, "id")])), "row")):
@@ -103,12 +102,50 @@ def xlsx_to_markdown(data: bytes, stem: str) -> str:
                     cells[int(row.get("r") or row_at + 1), at] = value.strip()
             width = max((c for _, c in cells), default=-1) + 1
             rows = [[cells.get((r, c), "") for c in range(width)] for r in sorted({r for r, _ in cells})]
-            rows = [r for r in rows if any(r)]
-            if rows:
-                out += [f"## Sheet: {sheet.get('name')}", table(rows)]
+            if rows := [r for r in rows if any(r)]:
+                yield sheet.get("name") or "", rows
+
+
+@register(".xlsx", ".xlsm")
+def xlsx_to_markdown(data: bytes, stem: str) -> str:
+    """Sheets as tables; blank rows are left out."""
+    out = [f"# {stem}"]
+    for name, rows in xlsx_sheets(data):
+        out += [f"## Sheet: {name}", table(rows)]
     return "\n\n".join(out)
 
 
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        for name, text in parts.items():
+            file.writestr(name, text)
+    return out.getvalue()
+
+
+def _related(targets: dict[str, str]) -> str:
+    return "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in targets.items()) + "</Relationships>"
+
+
+def workbook(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of sheets of texts."""
+    cell = lambda x: f'<c t="inlineStr"><is><t>{escape(x)}</t></is></c>'
+    body = lambda rows: "<worksheet><sheetData>" + "".join(f'<row r="{i}">' + "".join(map(cell, r)) + "</row>" for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    names = "".join(f'<sheet name={quoteattr(n)} r:id="r{i}"/>' for i, n in enumerate(sheets))
+    parts = {"xl/workbook.xml": f'<workbook xmlns:r="r"><sheets>{names}</sheets></workbook>', "xl/_rels/workbook.xml.rels": _related({f"r{i}": f"worksheets/s{i}.xml" for i in range(len(sheets))})}
+    return _zipped(parts | {f"xl/worksheets/s{i}.xml": body(rows) for i, rows in enumerate(sheets.values())})
+
+
+def presentation(slides: list[tuple[str, list[str]]]) -> bytes:
+    """A presentation of slides with a title and a list of texts."""
+    line = lambda x: f"<a:p><a:r><a:t>{escape(x)}</a:t></a:r></a:p>"
+    shape = lambda y, kind, texts: f'<p:sp><p:nvSpPr><p:nvPr>{kind}</p:nvPr></p:nvSpPr><p:spPr><a:xfrm><a:off x="0" y="{y}"/><a:ext cx="90" cy="10"/></a:xfrm></p:spPr><p:txBody>{"".join(map(line, texts))}</p:txBody></p:sp>'
+    slide = lambda title, texts: f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{shape(0, "<p:ph type=" + chr(34) + "title" + chr(34) + "/>", [title])}{shape(20, "", texts)}</p:spTree></p:cSld></p:sld>'
+    ids = "".join(f'<sldId r:id="s{i}"/>' for i in range(len(slides)))
+    parts = {"ppt/presentation.xml": f'<p xmlns:r="r">{ids}</p>', "ppt/_rels/presentation.xml.rels": _related({f"s{i}": f"slides/slide{i}.xml" for i in range(len(slides))})}
+    return _zipped(parts | {f"ppt/slides/slide{i}.xml": slide(*x) for i, x in enumerate(slides)})
+
+
 @register(".docx")
 def docx_to_markdown(data: bytes, stem: str) -> str:
     """Headings by style, lists, tables, paragraphs, under the file's stem."""
@@ -164,7 +201,7 @@ def cut_order(boxes: list[tuple], order: list[int]) -> list[int]:
     return out
 
 
-class _Deck:
+class Deck:
     """Slides of a presentation: shapes in reading order, as Markdown and as pictures."""
 
     def __init__(self, data: bytes):
@@ -225,6 +262,12 @@ class _Deck:
                 lines.append("    " * level + f"* {text}")
         return "\n".join(lines)
 
+    def rows(self) -> Iterator[tuple[int, str, list[str], list[str]]]:
+        """Number, title, texts of the shapes in reading order and notes of each slide."""
+        for number, slide in enumerate(self.slides, 1):
+            title, shapes = self.shapes(slide)
+            yield number, title, [x for x in (self.markdown(slide, number, *shape) for shape in shapes) if x], self.notes(slide)
+
     def notes(self, slide: str) -> list[str]:
         parts = [p for p in _relations(self.file, slide).values() if "notesSlide" in p and p in self.file.namelist()]
         bodies = [s for p in parts for s in _names(self._xml(p), "sp") if not any(h.get("type") in ("sldImg", "sldNum", "dt", "hdr", "ftr") for h in _names(s, "ph"))]
@@ -237,14 +280,11 @@ def pptx_to_markdown(data: bytes, stem: str) -> str:
 
     Texts are list items by level, tables and pictures Markdown ones; pictures are named as `slide_pictures` names them.
     """
-    deck = _Deck(data)
+    deck = Deck(data)
     out = [f"---\ntitle: {stem}.pptx\ntotal_slides: {len(deck.slides)}\n---"]
-    for number, slide in enumerate(deck.slides, 1):
-        title, shapes = deck.shapes(slide)
-        notes = deck.notes(slide)
+    for _, title, body, notes in deck.rows():
         quoted = ["\n".join(["> **Speaker Notes:**", *[f"> {n}" for n in notes]])] if notes else []
-        body = [deck.markdown(slide, number, *shape) for shape in shapes]
-        out += [f"## {title or '[Untitled Slide]'}", *filter(None, body), *quoted, "---"]
+        out += [f"## {title or '[Untitled Slide]'}", *body, *quoted, "---"]
     return "\n\n".join(out)
 
 
@@ -254,7 +294,7 @@ def _pictures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rows = []
         for data in contents:
             try:
-                deck = _Deck(data)
+                deck = Deck(data)
             except (zipfile.BadZipFile, KeyError, ET.ParseError):  # to_markdown tells what is wrong
                 rows.append([])
                 continue
@@ -274,6 +314,11 @@ def needs_provider(data: bytes, stem: str) -> str:
     raise ProviderMissing("register a converter for this extension: text extraction and recognition are providers")
 
 
+def convert(data: bytes, extension: str, stem: str) -> str:
+    """Markdown of a file by its registered converter."""
+    return _CONVERTERS[extension](data, stem)
+
+
 def normal_extension(ext: Column) -> Column:
     """Legacy office extensions as their successors."""
     pairs = F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv])
