@@ -332,8 +332,8 @@ def columnar_tables(words: DataFrame, by: list[str], tolerance: float = 8.0, hea
     run = F.transform(F.slice("lines", F.col("run.begin") + 1, F.col("run.size")), lambda x: x["top"].cast("double"))
     tops = F.concat(F.aggregate(above, start, climb, lambda s: s["taken"]), run)
     kept = pages.select(*by, "centres", F.explode(tops).alias("top"))
-    cells = rows.withColumn("top", F.col("top").cast("double")).join(kept, [*by, "top"]).withColumn("column", layout.nearest(F.col("centres"), F.col("x0")))
-    texts = cells.groupBy(*by, "top", "column", F.size("centres").alias("width")).agg(t.strip(_text(F.col("place"), F.col("text"), " ")).alias("text"))
-    whole = texts.groupBy(*by, "top", "width").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("m"))
+    cells = rows.withColumn("top", F.col("top").cast("double")).join(kept, [*by, "top"]).withColumn("of_centre", layout.nearest(F.col("centres"), F.col("x0")))
+    texts = cells.groupBy(*by, "top", "of_centre", F.size("centres").alias("width")).agg(t.strip(_text(F.col("place"), F.col("text"), " ")).alias("text"))
+    whole = texts.groupBy(*by, "top", "width").agg(F.map_from_entries(F.collect_list(F.struct("of_centre", "text"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit("")))
     return whole.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy("top")) - 1).alias("row"), "top", filled.alias("cells"))
