@@ -11,7 +11,7 @@ its places counted, moved by how much more or less often its shape is an identif
 plain word needs a surer pattern than a number does, and no shape is ruled out. What scores `confidence` after a pattern
 of that confidence is found, though no base kind matches it.
 
-The later passes know the patterns by a bitmap of BITS bits, whose size doesn't depend on the data; a join on
+The later passes know the patterns and their last tokens by bitmaps of BITS bits, whose size doesn't depend on the data; a join on
 the pattern itself follows, so that false hits of the bitmap only cost rows. Occurrences, not texts, are shuffled.
 
 Defined results: null and empty texts have no spans; positions are code points; null keys and repeated rows are kept
@@ -38,6 +38,7 @@ from loomdoc.llm.common import OWN, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 22
+MEMORY = 500_000  # tokens that a task remembers of whether a pattern ends with them
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 # Possessive forms and anchors keep every search linear; they match what the plain patterns match, as no part of an
@@ -118,7 +119,7 @@ def _contexts(tokens: list[str], i: int) -> list[int]:
     return [_hash(*tokens[i - k : i]) for k in (2, 3) if i >= k]
 
 
-_SEED = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("instance", T.LongType())])
+_SEED = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("instance", T.LongType()), T.StructField("last", T.LongType())])
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,8 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = _TOKEN.findall(text.lower())
                 for _, start, end in found:
                     if start in at:
-                        own += [{"pattern": _signed(p), "instance": _signed(_hash(text[start:end].lower()))} for p in _contexts(tokens, at[start])]
+                        i, instance = at[start], _signed(_hash(text[start:end].lower()))
+                        own += [{"pattern": _signed(p), "instance": instance, "last": _signed(_hash(tokens[i - 1]))} for p in _contexts(tokens, i)]
             seeds.append(own)
         yield pa.record_batch([batch.column(0), batch.column(1), _array(spans, SPAN), _array(seeds, _SEED)], names=["key", "hash", "spans", "seeds"])
 
@@ -171,44 +173,57 @@ def shape(text: str) -> str:
     return text
 
 
-def _hits(tokens: list[str], bits: bytes) -> Iterator[tuple[int, int]]:
+class _Last(dict):
+    """Whether a token may be the last one of a pattern, by a bitmap of these; MEMORY tokens are remembered at most."""
+
+    def __init__(self, bits: bytes):
+        self._bits = bits
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) >= MEMORY:
+            self.clear()
+        h = _hash(token) & BITS - 1
+        found = self[token] = bool(self._bits[h >> 3] >> (h & 7) & 1)
+        return found
+
+
+def _hits(tokens: list[str], bits: bytes, last: _Last) -> Iterator[tuple[int, int]]:
     """Places (the number of the token that fills one) and the pattern before each, of the patterns that the bitmap has."""
     digest = xxhash.xxh64_intdigest
     mask = BITS - 1
-    before = a = b = ""
-    for i, c in enumerate(tokens):
-        if i >= 2:
-            h = digest(f"{a}\x1f{b}")
-            if bits[(h & mask) >> 3] >> (h & 7) & 1:
-                yield i, h
-            if i >= 3:
-                h = digest(f"{before}\x1f{a}\x1f{b}")
+    for i in [i for i, some in enumerate(map(last.__getitem__, tokens), 1) if some]:
+        if i == len(tokens):
+            return
+        for k in (2, 3):
+            if i >= k:
+                h = digest("\x1f".join(tokens[i - k : i]))
                 if bits[(h & mask) >> 3] >> (h & 7) & 1:
                     yield i, h
-        before, a, b = a, b, c
 
 
-def _places(bits: bytes):
+def _places(bits: bytes, ends: bytes):
     """How many places each pattern of the bitmap has, by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _Last(ends)
         for batch in batches:
             totals: Counter[int] = Counter()
             for text in batch.column(0).to_pylist():
-                totals.update(h for _, h in _hits(_TOKEN.findall(text.lower()), bits))
+                totals.update(h for _, h in _hits(_TOKEN.findall(text.lower()), bits, last))
             yield pa.record_batch([pa.array(map(_signed, totals), pa.int64()), pa.array(totals.values(), pa.int64())], names=["pattern", "n"])
 
     return run
 
 
-def _second(bits: bytes):
+def _second(bits: bytes, ends: bytes):
     """Fillers of the places after patterns of the bitmap, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _Last(ends)
         for batch in batches:
             rows: list[tuple] = []
             for key, hashed, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                hits = list(_hits(_TOKEN.findall(text.lower()), bits))
+                hits = list(_hits(_TOKEN.findall(text.lower()), bits, last))
                 if not hits:
                     continue
                 wanted = {i for i, _ in hits}
@@ -247,9 +262,9 @@ def _place(text: str, start: int, taken: list[tuple[int, int]], starts: list[int
     return _hash(found.lower()), _hash(shape(found)), start, end, False
 
 
-def _bitmap(patterns: DataFrame) -> bytes:
-    """The patterns' lowest bits as a bitmap of BITS bits: BITS / 32768 rows of 4 KB, whatever the data."""
-    place = F.pmod(F.col("pattern"), F.lit(BITS)) + 1
+def _bitmap(patterns: DataFrame, column: str = "pattern") -> bytes:
+    """The lowest bits of the patterns, or of their last tokens, as a bitmap of BITS bits: BITS / 32768 rows of 4 KB, whatever the data."""
+    place = F.pmod(F.col(column), F.lit(BITS)) + 1
     rows = patterns.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = bytearray(BITS // 8)
     for r in rows:
@@ -298,14 +313,14 @@ def extract(documents: DataFrame, key: str = "doc_id", text: str = "text", suppo
     rows = documents.select(F.col(key).alias("key"), F.xxhash64(text_or_empty(text)).alias("hash"), text_or_empty(text).alias("text"))
     first = T.StructType([T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("seeds", T.ArrayType(_SEED))])
     base = written(rows.mapInArrow(_first, first), "pii-base")
-    seeds = base.select(F.explode("seeds").alias("seed")).select("seed.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"))
-    able = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("held")).where(F.col("seeds") >= support), "pii-able")
+    seeds = base.select(F.explode("seeds").alias("seed")).select("seed.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.first("last").alias("last"))
+    able = written(seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("held"), F.first("last").alias("last")).where(F.col("seeds") >= support), "pii-able")
     # the join ends false hits of the bitmap
-    counted = rows.select("text").mapInArrow(_places(_bitmap(able)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-    induced = written(counted.join(able, "pattern").where(F.col("held") >= least_share * F.col("total")).select("pattern", "total"), "pii-induced")
+    counted = rows.select("text").mapInArrow(_places(_bitmap(able), _bitmap(able, "last")), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    induced = written(counted.join(able, "pattern").where(F.col("held") >= least_share * F.col("total")).select("pattern", "total", "last"), "pii-induced")
     long = ("pattern", "instance", "shape")
     second = T.StructType([*[T.StructField(c, T.LongType()) for c in long], T.StructField("key", kind), T.StructField("hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("seed", T.BooleanType())])
-    fillers = written(rows.mapInArrow(_second(_bitmap(induced)), second).join(induced, "pattern", "left_semi"), "pii-fillers")
+    fillers = written(rows.mapInArrow(_second(_bitmap(induced), _bitmap(induced, "last")), second).join(induced, "pattern", "left_semi"), "pii-fillers")
     # an instance is a seed or not wherever it stands
     edges = written(fillers.groupBy("pattern", "instance", "shape", "seed").agg(F.count("*").alias("n")), "pii-edges")
     patterns, instances = confident(edges, induced, rounds, shape_weight=shape_weight)
