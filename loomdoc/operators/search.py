@@ -83,17 +83,25 @@ def top_k_batch(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, key: str
 
     Queries and chunks are dealt into blocks; every pair of blocks is a cell with a bounded number of rows, which gives
     candidates for each of its queries by one matrix product; a last ranking per query joins the cells. Keys keep their type.
+    Chunks without a valid vector have no distance: they come last, where there are fewer than k others.
     """
     check_top_k(k)
     rows = lambda df, name: df.where(v.valid(F.col(embedding))).select(F.col(name).alias("id"), v.unit(F.col(embedding)).alias("vector"))
     q, c = rows(queries, query_key or key), rows(chunks, key)
-    n_q, n_c = (max(1, -(-df.count() // block)) for df in (q, c))
+    sizes = q.count(), c.count()
+    n_q, n_c = (max(1, -(-n // block)) for n in sizes)
+    asked = q.select(F.col("id").alias("query_id"))
     q = q.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
     c = c.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n_c))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     cells = q.groupBy("q", "c").cogroup(c.groupBy("q", "c"))
     kinds = [T.StructField("query_id", q.schema["id"].dataType), T.StructField("chunk_id", c.schema["id"].dataType), T.StructField("distance", T.DoubleType())]
     found = cells.applyInPandas(_nearest(k), T.StructType(kinds))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    if sizes[1] < k:
+        invalid = chunks.where(~v.valid(F.col(embedding))).select(F.col(key).alias("id")).orderBy("id").limit(k - sizes[1]).collect()
+        if invalid:
+            last = F.explode(F.array(*[F.lit(r["id"]).cast(kinds[1].dataType) for r in invalid]))
+            found = found.unionByName(asked.select("query_id", last.alias("chunk_id"), F.lit(None).cast("double").alias("distance")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -106,7 +114,7 @@ def semantic_search(questions: DataFrame, chunks: DataFrame, embedder, k: int =
     clause = where_clause(filters, fields)
     asked = embedder(questions)
     hits = top_k_batch(asked, chunks.where(clause), k, "chunk_id", query_key="question_id").withColumnRenamed("query_id", "question_id")
-    near = hits if threshold is None else hits.where(F.col("distance") <= threshold)
+    near = hits if threshold is None else hits.where(F.col("distance").isNull() | (F.col("distance") <= threshold))
     return near.join(chunks.drop("embedding"), "chunk_id")
 
 
