@@ -163,8 +163,11 @@ class VersionedTable:
         version = (self.versions() or [0])[-1] + 1
         folder = f"v{version}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
+        return self._point(version, folder)
+
+    def _point(self, version: int, text: str) -> int:
         pointer = self._fs.create(self._path(f"{self.path}/current-{version}"), False)
-        pointer.write(bytearray(folder.encode()))
+        pointer.write(bytearray(text.encode()))
         pointer.close()
         return version
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from loomdoc.functions import text as t
 from loomdoc.operators import articles as a
-from loomdoc.operators import chunkers, evaluation, index, lifecycle
+from loomdoc.operators import buckets, chunkers, evaluation, index, lifecycle
 from loomdoc.plans.registry import query
 from loomdoc.session import scratch, table
 from loomdoc.sources import office
@@ -275,3 +275,20 @@ def metadata_scalars(spark: SparkSession, root: str) -> DataFrame:
     """Scalar values of JSON metadata, nulls and nested ones left out."""
     rows = table(spark, root, "events").select("event_id", F.explode(F.from_json("props", T.MapType(T.StringType(), T.StringType()))).alias("name", "value"))
     return rows.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\[{]")).select("event_id", "value", "name")
+
+
+# Every hundredth document changes its text; what else is in the touched buckets is written again as it was.
+_BUCKET = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 64"
+
+
+@query(f"""WITH touched AS (SELECT DISTINCT {_BUCKET} AS b FROM documents WHERE doc_id % 100 = 7), l AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN 'changed' || chr(10) || text ELSE text END AS t, {_BUCKET} AS b FROM documents)
+SELECT doc_id AS article_id, i::INT AS chunk_no, md5(p[i]) AS digest, b IN (SELECT b FROM touched) AS rewritten FROM (SELECT doc_id, b, string_split(t, chr(10)) AS p FROM l), unnest(range(1, len(p) + 1)) AS u(i)""")
+def bucketed_commit(spark: SparkSession, root: str) -> DataFrame:
+    """The index after a commit of a hundredth of the articles, and whether it wrote the row's bucket."""
+    documents = table(spark, root, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    chunks = lambda rows: rows.select("article_id", F.posexplode(F.split("text", "\n")).alias("chunk_no", "content"))
+    index = buckets.BucketedTable(spark, scratch(spark, "bucketed"), "article_id", 64)
+    index.write(chunks(documents))
+    changed = documents.where(F.col("article_id") % 100 == 7).withColumn("text", F.concat(F.lit("changed\n"), "text"))
+    _, touched = index.commit(chunks(changed), changed)
+    return index.read().select("article_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.md5(F.col("content").cast("binary")).alias("digest"), F.col("bucket").isin(touched).alias("rewritten"))
