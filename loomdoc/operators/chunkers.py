@@ -136,8 +136,17 @@ def pages(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 @register(".pdf")
 def chunk_pages(documents: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Each page by itself: units packed under headings, repeated chunks of a page dropped before they are numbered."""
+    return chunk_page_units(page_units(documents, key), key, config)
+
+
+def page_units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Units of each page, whatever the configuration of the chunks; write them where several are tried."""
+    return semantic_units(page_lines(documents, key), [key, "source_file", "first", "page_number"])
+
+
+def chunk_page_units(units: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Chunks of pages from their units."""
     by = [key, "source_file", "first", "page_number"]
-    units = semantic_units(page_lines(documents, key), by)
     chunks = packed_chunks(unit_parts(units, config), by, config)
     same = F.row_number().over(Window.partitionBy(key, "page_number", t.casefold(t.collapse(F.col("content")))).orderBy("first", "chunk"))
     kept = chunks.withColumn("same", same).where("same = 1")
@@ -192,4 +201,4 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", config: ChunkConf
     return reduce(DataFrame.unionByName, [*done, chunk_plain(rest, key)])
 
 
-__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "chunker_for", "heading_prefix", "metadata", "pages", "register", "table_cells"]
+__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_page_units", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "chunker_for", "heading_prefix", "metadata", "page_units", "pages", "register", "table_cells"]

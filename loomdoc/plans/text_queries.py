@@ -10,7 +10,7 @@ from loomdoc.operators import chunkers, evaluation, structure
 from loomdoc.operators.splitting import ChunkConfig, recursive_split
 from loomdoc.plans import split_sql as sql
 from loomdoc.plans.registry import query
-from loomdoc.session import table
+from loomdoc.session import stored, table
 
 GRID = {"large": ChunkConfig(500, 100), "default": ChunkConfig(400, 50), "small": ChunkConfig(300, 40)}
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
@@ -79,8 +79,8 @@ FROM (SELECT *, {sql.count('content')} AS tokens FROM ({grids})) GROUP BY config
 @query(_grid_sql())
 def chunk_stats_grid(spark: SparkSession, root: str) -> DataFrame:
     """Three chunk configurations over all documents as PDF pages."""
-    made = lines_in_sections(spark, root, ".pdf")
-    grids = [chunkers.chunk_pages(made, config=c).select(F.lit(n).alias("config"), "content", F.col("metadata")["source_file"].alias("source_file"), F.col("metadata")["page_number"].cast("int").alias("page_number")) for n, c in GRID.items()]
+    units = stored(chunkers.page_units(lines_in_sections(spark, root, ".pdf")), "grid-units")
+    grids = [chunkers.chunk_page_units(units, config=c).select(F.lit(n).alias("config"), "content", F.col("metadata")["source_file"].alias("source_file"), F.col("metadata")["page_number"].cast("int").alias("page_number")) for n, c in GRID.items()]
     return evaluation.chunk_statistics(grids[0].unionAll(grids[1]).unionAll(grids[2]), ["config"])
 
 
