@@ -112,9 +112,11 @@ def without(chunks: DataFrame, article_id: str | None = None, source_file: str |
 
 def listed(checked: DataFrame, most: int = 20) -> DataFrame:
     """Problems by name: their ids in order, the first `most` of them and how many more there are."""
-    found = checked.where("problem is not null").withColumn("nth", F.row_number().over(Window.partitionBy("problem").orderBy("chunk_id")))
-    some = F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "chunk_id"))))
-    rows = found.groupBy("problem").agg(F.count("*").alias("chunks"), F.array_join(F.transform(some, lambda x: x["chunk_id"]), ", ").alias("ids"))
+    found = checked.where("problem is not null").select("problem", "chunk_id")
+    # the filter limits every task's rows before they meet
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("problem").orderBy("chunk_id"))).where(F.col("nth") <= most)
+    some = first.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("nth", "chunk_id"))).alias("some"))
+    rows = found.groupBy("problem").agg(F.count("*").alias("chunks")).join(some, "problem").select("problem", "chunks", F.array_join(F.transform("some", lambda x: x["chunk_id"]), ", ").alias("ids"))
     more = F.when(F.col("chunks") > most, F.concat(F.lit("... and "), (F.col("chunks") - most).cast("string"), F.lit(" more")))
     return rows.select("problem", "chunks", F.concat_ws(" ", "ids", more).alias("sample")).orderBy("problem")
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from loomdoc.functions import text as t
 from loomdoc.operators import articles as a
-from loomdoc.operators import buckets, chunkers, evaluation, index, lifecycle
+from loomdoc.operators import buckets, chunkers, evaluation, index, lifecycle, substring
 from loomdoc.plans.registry import query
 from loomdoc.session import scratch, table
 from loomdoc.sources import office
@@ -292,3 +292,19 @@ def bucketed_commit(spark: SparkSession, root: str) -> DataFrame:
     changed = documents.where(F.col("article_id") % 100 == 7).withColumn("text", F.concat(F.lit("changed\n"), "text"))
     _, touched = index.commit(chunks(changed), changed)
     return index.read().select("article_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.md5(F.col("content").cast("binary")).alias("digest"), F.col("bucket").isin(touched).alias("rewritten"))
+
+
+# Terms are six characters of every benchmark text, of some with a wildcard in the middle; the texts are whole documents.
+_TERM = "CASE item_id % 3 WHEN 0 THEN text[3:8] WHEN 1 THEN text[3:5] || '_' || text[7:8] ELSE text[3:5] || '%' || text[9:11] END"
+_ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH t AS (SELECT item_id, '%' || {_ASCII.format(f"trim({_TERM})")} || '%' AS p FROM benchmark), d AS (SELECT doc_id, {_ASCII.format("text")} AS x FROM documents)
+SELECT item_id, doc_id FROM t JOIN d ON x LIKE p""")
+def title_search_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """Every term of a table in every text, by posting lists of trigrams."""
+    at = lambda i, n: F.substring("text", i, n)
+    term = F.when(F.col("item_id") % 3 == 0, at(3, 6)).when(F.col("item_id") % 3 == 1, F.concat(at(3, 3), F.lit("_"), at(7, 2))).otherwise(F.concat(at(3, 3), F.lit("%"), at(9, 3)))
+    terms = table(spark, root, "benchmark").select("item_id", term.alias("term"))
+    documents = table(spark, root, "documents")
+    return substring.search(substring.index(documents, "doc_id", "text"), documents, "doc_id", "text", terms, "item_id", "term")
