@@ -106,10 +106,24 @@ def db_migration_backfill(spark: SparkSession, root: str) -> DataFrame:
     return a.migrated(a.migrated(rows))
 
 
-@query("SELECT unnest(['.bmp', '.docx', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.pptx', '.tif', '.tiff', '.webp', '.xlsm', '.xlsx']) AS ext")
+# Documents as files of twenty kinds of names by their number; what a kind is, the library's registries say.
+_KINDS = ["a.bmp", "b.DOCX", "c.gif", "d.jpeg", "e.jpg", "f.pdf", "g.png", "h.pptx", "i.tif", "j.tiff", "k.webp", "l.xlsm", "m.x.xlsx", "n.txt", "o.doc", "p.PPT", "q.xls", "r.md", "s", ".pdf"]
+_NAMED = f"(SELECT lower(regexp_extract([{', '.join(repr(k) for k in _KINDS)}][doc_id % 20 + 1], '.(\\.[^.]+)$', 1)) AS ext FROM documents)"
+_BOTH = "'.bmp', '.docx', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.pptx', '.tif', '.tiff', '.webp', '.xlsm', '.xlsx'"
+
+
+def _extensions(spark: SparkSession, root: str) -> DataFrame:
+    names = F.array(*[F.lit(k) for k in _KINDS])
+    return table(spark, root, "documents").select(t.extension(F.get(names, (F.col("doc_id") % 20).cast("int"))).alias("ext"))
+
+
+@query(f"SELECT ext, count(*) AS files FROM {_NAMED} WHERE ext IN ({_BOTH}) GROUP BY ext")
 def format_intersection(spark: SparkSession, root: str) -> DataFrame:
-    frame = lambda names: spark.createDataFrame([(x,) for x in names], "ext string")
-    return frame(office.converter_extensions()).intersect(frame(chunkers.chunk_extensions())).orderBy("ext")
+    """Extensions of files that have both a converter and a chunker, and how many files that is."""
+    files = _extensions(spark, root)
+    some = lambda names: files.where(F.col("ext").isin(names)).select("ext").distinct()
+    both = some(office.converter_extensions()).intersect(some(chunkers.chunk_extensions()))
+    return files.groupBy("ext").agg(F.count("*").alias("files")).join(both, "ext")
 
 
 def _lines(spark: SparkSession, root: str) -> DataFrame:
@@ -196,10 +210,11 @@ def missing_after_seed(spark: SparkSession, root: str) -> DataFrame:
     return lifecycle.missing_ids(_index(spark, root), table(spark, root, "documents").select(F.col("doc_id").alias("article_id")))
 
 
-@query("""SELECT ext FROM (SELECT unnest(['.bmp', '.docx', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.pptx', '.tif', '.tiff', '.webp', '.xlsm', '.xlsx']) AS ext UNION SELECT unnest(['.doc', '.ppt', '.xls', '.docx']))""")
+@query(f"SELECT ext, count(*) AS files FROM {_NAMED} WHERE ext IN ({_BOTH}, '.doc', '.ppt', '.xls') GROUP BY ext")
 def all_formats(spark: SparkSession, root: str) -> DataFrame:
-    frame = lambda names: spark.createDataFrame([(x,) for x in names], "ext string")
-    return frame(office.converter_extensions()).union(frame([*office.LEGACY, ".docx"])).distinct()
+    """Extensions of files that have a converter, or a successor that has, and how many files that is."""
+    files = _extensions(spark, root).groupBy("ext").agg(F.count("*").alias("files"))
+    return files.where(F.col("ext").isin(office.converter_extensions())).union(files.where(F.col("ext").isin([*office.LEGACY]))).distinct()
 
 
 @query("""SELECT vec_id, u.i::INT AS place, CASE WHEN u.i <= len(embedding) THEN embedding[u.i] END AS number, CASE WHEN u.i <= 3 THEN vec_id || '-' || u.i END AS name FROM embeddings, unnest(range(1, greatest(len(embedding), 3) + 1)) AS u(i)""")
