@@ -213,8 +213,9 @@ def _candidates(model: Model, n: int):
                 total += tables[:, i, codes[:, i]]
             for j, row in enumerate(total):
                 best = first_k(row, n)
-                out.append(pd.DataFrame({"name": queries["name"].iloc[begin + j], "id": rows["id"].to_numpy()[best], "distance": row[best], "cell": np.int32(number), "at": rows["at"].to_numpy()[best]}))
-        return pd.concat(out, ignore_index=True)
+                out.append((np.full(len(best), begin + j), best, row[best]))
+        asked, best, distance = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"name": queries["name"].to_numpy()[asked], "id": rows["id"].to_numpy()[best], "distance": distance, "cell": np.int32(number), "at": rows["at"].to_numpy()[best]})
 
     return cell
 
@@ -232,8 +233,9 @@ def _exact(k: int):
                 near = np.flatnonzero(row <= row[first_k(row, k)].max() + 1e-9)  # exact distances only for these
                 exact = np.round(((known[near] - some[j]) ** 2).sum(axis=1), DIGITS)
                 best = first_k(exact, k)
-                out.append(pd.DataFrame({"name": queries["name"].iloc[begin + j], "id": rows["id"].to_numpy()[near[best]], "distance": exact[best], "cell": rows["cell"].to_numpy()[near[best]]}))
-        return pd.concat(out, ignore_index=True)
+                out.append((np.full(len(best), begin + j), near[best], exact[best]))
+        asked, best, distance = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"name": queries["name"].to_numpy()[asked], "id": rows["id"].to_numpy()[best], "distance": distance, "cell": rows["cell"].to_numpy()[best]})
 
     return cell
 
