@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdoc.functions import text as t
+from loomdoc.session import stored
 
 ARTICLE = T.StructType([T.StructField(c, T.StringType(), False) for c in ("id", "document_id", "title", "content", "source_file")] + [T.StructField(c, T.TimestampType(), False) for c in ("created_at", "updated_at")])
 SOURCE = T.StructType([T.StructField("text", T.StringType()), T.StructField("article_id", T.StringType()), T.StructField("source_file", T.StringType()), T.StructField("page_number", T.IntegerType()), T.StructField("distance", T.DoubleType())])
@@ -83,10 +84,12 @@ def delete(articles: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFr
 def appended(log: DataFrame, new: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """The log with new rows behind it: their ids go on from its largest one, in the given order.
 
-    Numbers are dealt by sorted ranges of rows, so that no task has all of them.
+    Numbers are dealt by sorted ranges of rows, so that no task has all of them. The ranges are written: planned twice, for
+    their sizes and for their rows, they need not be the same ones.
     """
     last = log.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))  # one row
-    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranges = new.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stored(ranges.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "appended")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
     rows = parts.join(F.broadcast(before), "part").crossJoin(F.broadcast(last)).withColumn(key, F.col("last") + F.col("before") + F.col("at") - F.col("first") + 1)
