@@ -95,3 +95,19 @@ def test_small_expressions(spark):
     assert get(layout.nearest(F.array(*[F.lit(x) for x in (1.0, 5.0, 9.0)]), F.lit(7.0))) == 1
     kinds = [get(layout.block_type_scanned(F.lit(x), F.lit(h), F.lit(10.0), F.lit(20.0))) for x, h in (("- x", 30.0), ("big", 19.8), ("mid", 11.0), ("Step 1", 10.0), ("ALL CAPS", 10.0), ("plain", 10.0), (" ", 10.0))]
     assert kinds == ["list_item", "h1", "h2", "h2", "h1", "paragraph", "paragraph"]
+
+
+def test_a_page_of_a_table_is_one_exchange_and_its_run_is_looked_for_once(spark):
+    """Filters that Spark infers had the search for the run in them, again and again; joins of rows dealt the words out anew."""
+    words = spark.createDataFrame([("p", 25.0 * i, 100.0 * c, 100.0 * c + 20, f"{i}{c}") for i in range(4) for c in range(3)], "page string, top double, x0 double, x1 double, text string")
+    found = pages.columnar_tables(words, ["page"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(transform(") <= 1 and plan.count("Join") == 0
+    assert [r["cells"] for r in found.orderBy("row").collect()] == [[f"{i}{c}" for c in range(3)] for i in range(4)]
+
+
+def test_rows_without_a_place_and_words_between_columns(spark):
+    """A shorter row goes under the words that it begins under; words without a page or a top are in no row."""
+    rows = [("p", 0.0, x, x + 5.0, w) for x, w in ((0.0, "a"), (50.0, "b"), (100.0, "c"))] + [("p", 15.0, 1.0, 4.0, "x"), ("p", 15.0, 160.0, 164.0, "y"), (None, 0.0, 0.0, 1.0, "no"), ("p", None, 0.0, 1.0, "no")]
+    got = pages.table_rows(spark.createDataFrame(rows, "page string, top double, x0 double, x1 double, text string"), ["page"]).orderBy("top", "place").collect()
+    assert [(r["top"], r["place"], r["text"]) for r in got] == [(0.0, 1, "a x"), (0.0, 2, "b"), (0.0, 3, "c y")]
