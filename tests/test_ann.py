@@ -97,3 +97,21 @@ def test_empty_tables(spark, chunks, index):
     assert ann.nearest_exactly(empty, asked(chunks)).count() == 0
     with pytest.raises(ValueError):
         ann.nearest(index, chunks, k=0)
+
+
+def test_routes_are_made_in_bounded_batches():
+    """512 queries with all cells were one batch, with a vector for each pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomdoc.operators import ann
+
+    rng = np.random.default_rng(1)
+    model = ann.Model(rng.normal(size=(3000, 8)), [])
+    queries = rng.normal(size=(20, 8))
+    batch = pa.record_batch([pa.array(range(20)), pa.array(list(queries), pa.list_(pa.float64()))], names=["name", "vector"])
+    made = list(ann._routes(batch, model, 3000))
+    assert max(b.num_rows for b in made) <= ann.ROUTED and sum(b.num_rows for b in made) == 20 * 3000
+    nearest = [b.to_pandas().groupby("name")["cell"].first() for b in made]
+    want = ((queries[:, None] - model.centres[None]) ** 2).sum(2).argmin(1)
+    assert [int(c) for s in nearest for c in s] == [int(c) for c in want]
