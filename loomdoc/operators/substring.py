@@ -47,7 +47,8 @@ def index(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     The files keep a list's sorted numbers as packed steps from one to the next.
     """
-    held = rows.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.explode(grams(_lower(F.col(text)))).alias("gram"))
+    # outer: of an inner explode Spark infers a filter, which makes every text's trigrams once more
+    held = rows.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.explode_outer(grams(_lower(F.col(text)))).alias("gram")).where("gram is not null")
     block, low = F.shiftright("key", BITS), F.col("key").bitwiseAND((1 << BITS) - 1).cast("int")
     lists = held.groupBy("gram", block.alias("block")).agg(F.array_sort(F.collect_set(low)).alias("low"))
     path = scratch(rows.sparkSession, "trigrams")
