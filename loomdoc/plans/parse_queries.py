@@ -29,7 +29,8 @@ FROM numbered GROUP BY p_brand""")
 def document_parse(spark: SparkSession, root: str) -> DataFrame:
     """Catalogues from their characters: columns, bands around images, both ways to lines, types by font, margins, order, Markdown."""
     i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    parts = table(spark, root, "part").withColumn("i", i).withColumn("page_number", F.floor(F.col("i") / 8).cast("int") + 1).withColumn("slot", F.col("i") % 8)
+    parts = table(spark, root, "part").select("p_brand", "p_partkey", "p_name", "p_type", "p_size", i.alias("i"))
+    parts = stored(parts.withColumn("page_number", F.floor(F.col("i") / 8).cast("int") + 1).withColumn("slot", F.col("i") % 8), "catalogues")
     left, top = F.floor(F.col("slot") / 4) * 270 + 60.0, F.col("slot") % 4 * 150 + 60.0
     name = F.concat(F.lit("in "), "p_brand", F.lit(" of size "), "p_size")
     texts = [F.concat(F.lit("Part "), "p_partkey"), F.col("p_name"), name, F.concat(F.lit("- "), "p_type", F.lit(" "), "p_partkey")]

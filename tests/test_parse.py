@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomdoc.operators import parse
+from loomdoc.session import stored
 
 SHEET = "d string, p int, page_width double, page_height double"
 LINE = "d string, p int, x0 double, top double, size double, font string, text string"
@@ -54,3 +55,24 @@ def test_repeated_margins_go(spark):
     made = parse.document_parse(*blocks(spark, lines, things, pages=tuple((p, 600.0, 800.0) for p in (1, 2, 3))), "d", "p").first()["markdown"]
     assert "Running head" not in made
     assert made.count("<!-- page:") == 3 and all(f"Page {p} line {k}." in made for p in (1, 2, 3) for k in range(3))
+
+
+def test_pages_of_one_document_are_dealt(spark, monkeypatch):
+    """No task makes or sorts most of a document, however few bytes its shuffles have; its pages stay in order."""
+    monkeypatch.setattr(parse, "PART", 300, raising=False)
+    most = {}
+
+    def watched(df, name):
+        rows = stored(df.withColumn("task", F.spark_partition_id()), name)
+        found = [r["count"] for r in rows.groupBy("task").count().collect()]
+        most[name] = max(found, default=0) / max(1, sum(found))
+        return rows.drop("task")
+
+    monkeypatch.setattr(parse, "stored", watched)
+    lines = [(p, 60.0, 200.0 + 100 * k, 10.0, "Sans", f"Page {p} has line {k}.") for p in range(1, 41) for k in range(4)]
+    sheets, chars, things = blocks(spark, lines, pages=tuple((p, 600.0, 800.0) for p in range(1, 41)))
+    made = parse.document_parse(sheets, chars, things, "d", "p").first()["markdown"]
+    assert made == "".join(f"\n<!-- page: {p} -->\n" + "".join(f"Page {p} has line {k}.\n" for k in range(4)) for p in range(1, 41))
+    assert most["parse-words"] < 0.5 and most["parse-blocks"] < 0.5
+    shares = [r["count"] for r in chars.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < 0.5 * sum(shares)
