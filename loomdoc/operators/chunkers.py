@@ -140,16 +140,24 @@ def chunk_pages(documents: DataFrame, key: str = "doc_id", config: ChunkConfig =
 
 
 def page_units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Units of each page, whatever the configuration of the chunks; write them where several are tried."""
+    """Units of each page, whatever the configuration of the chunks."""
     return semantic_units(page_lines(documents, key), [key, "source_file", "first", "page_number"])
 
 
+def page_chunks(units: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig(), apart: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of pages, not numbered, without those that a page has again: key, source_file, first, page_number, chunk, content and more.
+
+    Where units have columns `apart`, as their configuration, chunks are packed and compared within equal values of them.
+    Nothing is dealt anew where the units are dealt by the key.
+    """
+    chunks = packed_chunks(unit_parts(units, config), [key, "source_file", "first", "page_number", *apart], config)
+    same = F.row_number().over(Window.partitionBy(key, "page_number", *apart, t.casefold(t.collapse(F.col("content")))).orderBy("first", "chunk"))
+    return chunks.withColumn("same", same).where("same = 1").drop("same")
+
+
 def chunk_page_units(units: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks of pages from their units."""
-    by = [key, "source_file", "first", "page_number"]
-    chunks = packed_chunks(unit_parts(units, config), by, config)
-    same = F.row_number().over(Window.partitionBy(key, "page_number", t.casefold(t.collapse(F.col("content")))).orderBy("first", "chunk"))
-    kept = chunks.withColumn("same", same).where("same = 1")
+    kept = page_chunks(units, key, config)
     kept = kept.withColumn("number", _ordinal([key], "first", "chunk")).withColumn("part", _ordinal([key, "first"], "chunk"))
     parent = F.concat(F.lit("page:"), F.coalesce("page_number", F.lit(0)).cast("string"), F.lit(":"), F.left(F.sha1(t.casefold(F.col("heading_path")).cast("binary")), F.lit(12)))
     values = {"source_file": F.col("source_file"), "chunk_id": F.col("number"), "chunk_part": F.col("part"), **_unit_values(), "page_number": F.col("page_number"), "parent_id": parent, "child_index": F.col("part")}
@@ -201,4 +209,4 @@ def chunk_documents(documents: DataFrame, key: str = "doc_id", config: ChunkConf
     return reduce(DataFrame.unionByName, [*done, chunk_plain(rest, key)])
 
 
-__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_page_units", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "chunker_for", "heading_prefix", "metadata", "page_units", "pages", "register", "table_cells"]
+__all__ = ["chunk_documents", "chunk_extensions", "chunk_image", "chunk_page_units", "chunk_pages", "chunk_plain", "chunk_rows", "chunk_sections", "chunk_slides", "chunker_for", "heading_prefix", "metadata", "page_chunks", "page_units", "pages", "register", "table_cells"]

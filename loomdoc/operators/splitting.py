@@ -16,15 +16,17 @@ from loomdoc.functions import text as t
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Limits in estimated tokens."""
+    """Limits in estimated tokens; columns where rows of several configurations go one way, and those aren't checked."""
 
-    chunk_size: int = 400
-    overlap: int = 50
+    chunk_size: int | Column = 400
+    overlap: int | Column = 50
     image_chunk_size: int = 300
     image_overlap: int = 30
 
     def __post_init__(self) -> None:
         for size, overlap in ((self.chunk_size, self.overlap), (self.image_chunk_size, self.image_overlap)):
+            if isinstance(size, Column) or isinstance(overlap, Column):
+                continue
             if size <= 0:
                 raise ValueError("chunk sizes must be positive")
             if not 0 <= overlap < size:

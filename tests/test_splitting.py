@@ -106,3 +106,15 @@ def test_config_rules():
     for bad in ({"chunk_size": 0}, {"chunk_size": 10, "overlap": 10}, {"image_chunk_size": -1}, {"overlap": -1}):
         with pytest.raises(ValueError):
             ChunkConfig(**bad)
+
+
+def test_configurations_go_one_way_with_one_deal_of_the_texts(spark, tmp_path):
+    from loomdoc.plans import catalogue
+
+    made = spark.createDataFrame([(1, "en", "s1", "One line.\nAnother.")], "doc_id long, lang string, source string, text string")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    grid = catalogue.queries()["chunk_stats_grid"](spark, str(tmp_path))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    # lines by document, then counts by content and by configuration
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("parquet") == 1 and f"{tmp_path}" in plan
